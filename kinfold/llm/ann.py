@@ -134,16 +134,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
         names = ["qid", "cid", "least", "score"]
         if not len(rows_) or not len(asked_):
             return pd.DataFrame(columns=names)
-        x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), length) for t in (rows_, asked_))
+        x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), length) for t in (rows_, asked_.rename(columns={"q_vec": "vec"})))
         nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
         most = min(len(x), k + 4)
         close = (q / nq[:, None]) @ (x / nx[:, None]).T
         best = np.argpartition(-close, most - 1, axis=1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
         exact = (q[:, None, :] * x[best]).sum(2) / (nq[:, None] * nx[best])
         flat = best.ravel()
-        return pd.DataFrame({"qid": np.repeat(asked_["cid"].to_numpy(), most), "cid": rows_["cid"].to_numpy()[flat], "least": rows_["least"].to_numpy()[flat], "score": exact.ravel()})
+        return pd.DataFrame({"qid": np.repeat(asked_["q_cid"].to_numpy(), most), "cid": rows_["cid"].to_numpy()[flat], "least": rows_["least"].to_numpy()[flat], "score": exact.ravel()})
 
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("o", "block", "chunk")), "cid", "vec")
+    asked = asked.select("cid", "o", "block", "chunk", "vec").toDF("q_cid", "q_o", "q_block", "q_chunk", "q_vec")
     found = data.groupBy("o", "block", "chunk").cogroup(asked.groupBy("q_o", "q_block", "q_chunk")).applyInPandas(score, "qid long, cid long, least long, score double")
     order = [F.desc("score"), "least"]
     top = found.distinct().withColumn("_k", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_k") <= k + 1)

@@ -83,18 +83,17 @@ def queries() -> dict:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _crc32_sql(text: str) -> str:
-    """CRC-32 of a text's bytes in SQL: the reflected polynomial, one table step for each half byte."""
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 in SQL of the bytes that a column of hex digits spells: what the low byte adds is the sum of what its bits add."""
     poly = 0xEDB88320
-    steps = []
-    for n in range(16):
-        for _ in range(4):
+    term = "0"
+    for bit in range(8):
+        n = 1 << bit
+        for _ in range(8):
             n = n >> 1 ^ (poly if n & 1 else 0)
-        steps.append(n)
-    digits = f"hex(encode({text}))"
-    # Low halves come first: digit 2, digit 1, digit 4, digit 3 and so on.
-    halves = f"list_transform(range(0, length({digits})), lambda i: ('0x' || substr({digits}, CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END, 1))::BIGINT)"
-    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, b: xor(c >> 4, {steps}[1 + (xor(c, b) & 15)]::BIGINT))"
+        term = f"xor({term}, ((xor(c, b) >> {bit}) & 1) * {n})"
+    values = f"list_transform(range(1, length({digits}) // 2 + 1), lambda i: ('0x' || substr({digits}, 2 * i - 1, 2))::BIGINT)"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, {term}))"
     return f"xor({fold}, 4294967295)"
 
 
@@ -110,11 +109,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": f"""
             WITH RECURSIVE numbered AS (
-                SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_number, count(*) OVER () AS n FROM documents),
+                SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, row_number() OVER (ORDER BY doc_id) - 1 AS row_number, count(*) OVER () AS n FROM documents),
             sized AS (SELECT *, greatest(1, (length(bin(greatest(1, n - 1))) + 1) // 2) AS w FROM numbered),
             {sharding.position_sql("sized", SEED)},
             placed AS (SELECT row_number, x FROM walk WHERE x < n)
-            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32,
+            SELECT doc_id, length(digits) // 2 + 8 AS size, {_crc32_sql("digits")} AS text_crc32,
                 'rows' AS law, (x % {SHARDS})::INT AS shard, x // {SHARDS} AS slot, NULL::INT AS grown_shard
             FROM sized JOIN placed USING (row_number)""",
         "op3_warc": f"""
