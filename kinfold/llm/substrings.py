@@ -20,7 +20,7 @@ from .common import bounded_batches, shuffle_partitions, small_batches, utf8
 from .words import hash_spans, rolling_hashes, separators, spans
 
 WINDOW_WORDS = 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 _U = np.uint64
 _HASH_BYTES = 7
 
@@ -57,12 +57,18 @@ def _pack(bucket: np.ndarray, n: int, hashes: np.ndarray, docs: np.ndarray, star
         yield int(k), low.tobytes(), docs[at][first].astype("<i8").tobytes(), counts.tobytes(), place.tobytes()
 
 
-def _unpack(hashes: bytes, docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = np.frombuffer(hashes, np.uint8).reshape(-1, _HASH_BYTES)
+def _hashes(packed: bytes) -> np.ndarray:
+    low = np.frombuffer(packed, np.uint8).reshape(-1, _HASH_BYTES)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :_HASH_BYTES] = low
-    kind = "<u2" if len(starts) == 2 * len(low) else "<u4"
-    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(starts, kind).astype(np.int64)
+    return wide.view("<u8").ravel()
+
+
+def _places(at: np.ndarray, docs: bytes, counts: bytes, starts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and starts of some of a message's entries."""
+    ends = np.cumsum(np.frombuffer(counts, "<u4"))
+    kind = "<u2" if len(starts) == 2 * n else "<u4"
+    return np.frombuffer(docs, "<i8")[np.searchsorted(ends, at, "right")], np.frombuffer(starts, kind)[at].astype(np.int64)
 
 
 def _home(docs: Column | np.ndarray, n: int):
@@ -87,6 +93,7 @@ def repeated_windows(df: DataFrame, width: int, homes: int) -> DataFrame:
     message = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "docs", "counts", "starts"))])
 
     def share(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         held, size = [], 0
 
         def send():
@@ -122,23 +129,36 @@ def repeated_windows(df: DataFrame, width: int, homes: int) -> DataFrame:
             yield from send()
 
     def meet(batches):
-        parts = []
+        pa.set_memory_pool(pa.system_memory_pool())
+        messages, found = [], []
         for batch in batches:
-            for bucket, hashes, docs, counts, starts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for bucket, packed, docs, counts, starts in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if bucket < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (docs, counts, starts))], names=places.names)
                 else:
-                    h, d, s = _unpack(hashes, docs, counts, starts)
                     # Hashes of a bucket differ from those of others of the same task in their top bits.
-                    parts.append((h ^ (_U(bucket & 0xFF) << _U(56)), d, s))
-        if not parts:
+                    found.append(_hashes(packed) ^ (_U(bucket & 0xFF) << _U(56)))
+                    messages.append((docs, counts, starts))
+        if not found:
             return
-        hashes, docs, starts = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        shared = order[np.append(same, False) | np.append(False, same)] if len(order) else order
-        order = shared[np.lexsort((starts[shared], docs[shared], hashes[shared]))]
+        sizes = np.array([len(x) for x in found])
+        ends = np.cumsum(sizes)
+        every = np.concatenate(found)
+        found.clear()
+        # Places are read only for hashes that occur twice, so most of a task's data stays packed.
+        order = np.argsort(every)
+        same = every[order[1:]] == every[order[:-1]]
+        shared = np.sort(order[np.append(same, False) | np.append(False, same)])
+        del order, same
+        hashes = every[shared]
+        del every
+        docs, starts = np.empty(len(shared), np.int64), np.empty(len(shared), np.int64)
+        cuts = np.searchsorted(shared, np.append(0, ends))
+        for k, (docs_, counts_, starts_) in enumerate(messages):
+            part = slice(cuts[k], cuts[k + 1])
+            docs[part], starts[part] = _places(shared[part] - (ends[k] - sizes[k]), docs_, counts_, starts_, sizes[k])
+        messages.clear()
+        order = np.lexsort((starts, docs, hashes))
         first = _runs(hashes[order])
         lead = order[first][np.cumsum(first) - 1]
         again = order[~first & ((docs[order] != docs[lead]) | (starts[order] != starts[lead]))]

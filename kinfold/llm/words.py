@@ -10,7 +10,7 @@ import numpy as np
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
