@@ -69,7 +69,7 @@ def read_pieces(model: bytes) -> dict[str, float]:
 class Transducer:
     """Counts the tokens of chunks; keeps up to ``most`` states and as many chunk counts."""
 
-    def __init__(self, pieces: dict[str, float], most: int = 300_000):
+    def __init__(self, pieces: dict[str, float], most: int = 200_000):
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError("a piece goes on after a space, so chunks can't be counted apart")
         self.pieces, self.most = pieces, most
@@ -114,7 +114,7 @@ class Transducer:
     def _stays(self, last: str | None, token: str) -> bool:
         """Whether the merges leave ``last`` and ``token`` apart when they meet."""
         if (known := self.apart.get((last, token))) is None:
-            if len(self.apart) > 4 * self.most:
+            if len(self.apart) > 3 * self.most // 2:
                 self.apart.clear()
             whole = [token] if last is None else [last, token]
             known = self.apart[last, token] = self.merge("".join(whole)) == whole
