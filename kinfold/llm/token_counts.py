@@ -228,7 +228,9 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", part_charac
     parts = F.when(F.length(value) <= part_characters, F.array(value)).otherwise(
         F.transform(F.sequence(F.lit(0), F.length(value) - 1, F.lit(part_characters)), lambda at: F.substring(value, at + 1, F.lit(part_characters)))
     )
-    cut = df.select(F.monotonically_increasing_id().alias("_id"), F.struct(F.lit(1).alias("_"), *kept).alias("_row"), F.posexplode(parts).alias("_part", "_text"))
+    # The id is made before the parts are, else each part would get one of its own.
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    cut = rows.select("_id", F.struct(F.lit(1).alias("_"), *kept).alias("_row"), F.posexplode(parts).alias("_part", "_text"))
     made = T.StructType([*(cut.schema[c] for c in ("_id", "_row", "_part")), T.StructField("_bytes", T.LongType()), T.StructField("head", T.StringType()), T.StructField("count", T.LongType()), T.StructField("tail", T.StringType())])
 
     def maps(batches):
