@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
+from .graph import stored
 
 KEY = ["raw_value", "entity_type", "source_config"]
 
@@ -148,6 +149,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame, external: DataFrame | None
     # An exact hit on the very attested id stays an exact hit.
     out = out.withColumn("attested_id", F.when(~F.col("attested_id").eqNullSafe(F.col("exact_id")), F.col("attested_id")))
     if mode != "exact" and rules is not None:
+        # Both the open rest and the final join read this, so it is made once.
+        out = stored(out)
         open_ = out.where(F.coalesce(*(c for c, _, _ in stages)).isNull())
         fuzzy = match_fuzzy(open_, aliases, rules, org_map, known_orgs).withColumn("source_config", _scope("source_config"))
         out = out.withColumn("_s", _scope("source_config")).join(fuzzy.withColumnRenamed("source_config", "_s"), ["raw_value", "entity_type", "_s"], "left").drop("_s")

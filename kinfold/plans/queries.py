@@ -349,7 +349,7 @@ def records(spark, d):
 
 
 LINES = """
-    line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS i FROM lineitem),
+    line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_returnflag END, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, CASE WHEN l_linenumber % 3 = 0 THEN l_tax END, l_quantity) - 1 AS i FROM lineitem),
     named AS (SELECT 'e' || l_orderkey AS evaluation_id, i AS result_index, l_returnflag AS name, l_linestatus AS dataset,
         coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, CASE WHEN l_linenumber % 3 = 0 THEN l_tax END, l_quantity) AS score FROM line WHERE l_linenumber <> 3),
     parent AS (SELECT evaluation_id, name, arg_max_null(p, result_index) AS parent FROM (
