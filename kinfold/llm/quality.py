@@ -19,11 +19,12 @@ from .words import hash_spans, mix, separators, spans, window_hashes
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The bytes of the symbols # * $ % & | < >
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
-#: Least standard deviations, so that a statistic that hardly varies doesn't reject small departures.
-FLOORS = (0.5, 0.1, 0.5, 0.5, 0.5)
+#: Least standard deviations, so that a statistic that hardly varies doesn't reject small departures:
+#: length alone, a repeated line or a few repeated words leave a document in.
+FLOORS = (1.0, 0.1, 0.5, 1.0, 1.0)
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
-#: Squared distances beyond this are outliers: the chi-squared quantile for 5 degrees of freedom at 1 - 1e-9.
-CUTOFF = 51.5
+#: Squared distances beyond this are outliers: the chi-squared quantile for 5 degrees of freedom at 1 - 1e-7.
+CUTOFF = 40.9
 MEDIAN_CHI2 = 4.3515
 _VALUES = tuple(f"_x{k}" for k in range(len(BASE)))
 _PAIRS = tuple((j, k) for j in range(len(BASE)) for k in range(j, len(BASE)))
