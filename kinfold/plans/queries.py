@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import changes, checks, facts, graph, match, merge
+from ..operators import catalogue, changes, checks, facts, graph, match, merge
 from ..sources import registry, schemas
 from ..streaming.resolve import resolve_stream
 from . import jobs
@@ -694,6 +694,114 @@ def metric_fold_checks(spark, d):
     return checks.bad_metric_folds(folds, li.select(F.col("l_linestatus").alias("id")).distinct(), li.select(F.col("l_returnflag").alias("id")).distinct())
 
 
+# --- catalogue ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT source || '/d' || doc_id AS id, (doc_id % 3 = 0 OR doc_id % 5 = 0) AS open_weights, CASE WHEN doc_id % 3 = 0 THEN round(n_chars * 1000000 / 1e9, 2) END AS params_billions, 'lic-' || lang AS license, 'a,' || lang AS tags, 'base-' || lang AS base FROM documents""")
+def repo_features(spark, d):
+    doc = t(spark, d, "documents")
+    rows = doc.select(F.concat("source", F.lit("/d"), "doc_id").alias("id"), F.lit("2025-01-02T03:04:05Z").alias("created_at"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") * 1000000).alias("total"), (F.col("doc_id") % 5 == 0).alias("has_gguf"),
+        F.concat(F.lit('{"license": "lic-'), "lang", F.lit('"}')).alias("card"), F.array("lang", F.lit("a"), F.lit("junk"), F.lit("a")).alias("tags"), F.lit("lib").alias("library_name"), nothing().alias("pipeline_tag"), F.lit(1).alias("downloads"), nothing().alias("base_relation"), F.array(F.concat(F.lit("base-"), "lang")).alias("base_models"))
+    out = catalogue.external_features(rows, ["A", "en", "de", "fr", "es"])
+    return out.select("id", "open_weights", "params_billions", "license", F.array_join("tags", ",").alias("tags"), F.get("parents", F.lit(0))["id"].alias("base"))
+
+
+@query("""SELECT p_type AS family, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS modalities, count(DISTINCT p_name) AS snapshots, min('20' || lpad(p_size::VARCHAR, 2, '0')) AS release_date FROM part GROUP BY p_type""")
+def family_rollups(spark, d):
+    rec = t(spark, d, "part").select(F.col("p_type").alias("family"), F.array("p_brand").alias("input_modalities"), F.array(F.lit("x")).alias("output_modalities"), F.concat(F.lit("20"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("release_date"), F.col("p_name").alias("model_id"))
+    return catalogue.family_rollup(rec).select("family", F.array_join("input_modalities", ",").alias("modalities"), F.size("snapshots").cast("long").alias("snapshots"), "release_date")
+
+
+@query("""SELECT DISTINCT p_type || '/' || replace(p_name, ' ', '-') AS id, 'x.' || p_name AS form, 'pf' AS platform FROM part WHERE false UNION SELECT DISTINCT p_type || '/' || replace(p_name, ' ', '-'), upper(p_name), 'pf' FROM part""")
+def attached_spellings(spark, d):
+    p = t(spark, d, "part")
+    n = F.replace("p_name", F.lit(" "), F.lit("-"))
+    e = p.select(F.concat("p_type", F.lit("/"), n).alias("id"), F.concat("p_type", n).alias("grp")).distinct()
+    r = p.select(F.concat("p_type", n).alias("grp"), F.upper("p_name").alias("form"), F.when(F.col("p_partkey") % 2 == 1, "pf").alias("platform"), F.col("p_partkey").alias("pos"))
+    r = r.unionByName(r.withColumn("platform", F.lit("pf")).withColumn("pos", F.lit(10**9))).unionByName(r.withColumn("form", F.concat("form", F.lit("-9b"))))
+    return catalogue.attach_aliases(e, r)
+
+
+@query("""WITH tgt AS (SELECT DISTINCT 'o/' || CASE p_size % 3 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '_') ELSE p_name || 'z' END AS id, p_size % 3 AS k, p_name FROM part)
+    SELECT id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'rekey' ELSE 'mint' END AS action, CASE WHEN k = 1 THEN 'o/' || replace(p_name, ' ', '-') END AS incumbent FROM tgt""")
+def target_partition(spark, d):
+    p = t(spark, d, "part")
+    n = lambda sep: F.concat(F.lit("o/"), F.replace("p_name", F.lit(" "), F.lit(sep)))
+    targets = p.select(F.when(F.col("p_size") % 3 == 0, n("-")).when(F.col("p_size") % 3 == 1, n("_")).otherwise(F.concat(n(" "), F.lit("z"))).alias("id"))
+    return catalogue.partition_targets(targets, p.select(n("-").alias("id")).distinct())
+
+
+@query("""WITH x AS (SELECT p_partkey, p_name, p_size > 25 AS old FROM part), e AS (SELECT DISTINCT p_name FROM x WHERE old) SELECT DISTINCT 'o_' || replace(p_name, ' ', '_') AS id, CASE WHEN e.p_name IS NOT NULL THEN 'fold' ELSE 'keep' END AS outcome FROM x LEFT JOIN e USING (p_name) WHERE NOT old""")
+def existing_reconcile(spark, d):
+    p = t(spark, d, "part")
+    existing = p.where("p_size > 25").select(F.concat(F.lit("o/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("id"), F.lit("o").alias("org"), F.array().cast("array<string>").alias("aliases"), F.lit(1).alias("seq")).distinct()
+    fresh = p.where("p_size <= 25").select(F.concat(F.lit("o_"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("id"), F.lit("o").alias("org"), F.array(F.upper("p_name")).alias("forms")).distinct()
+    out = catalogue.reconcile_existing(fresh, existing, org_tables(spark, d)[0])
+    return out["folds"].select("id", F.lit("fold").alias("outcome")).unionByName(out["kept"].select("id", F.lit("keep").alias("outcome")))
+
+
+@query("""SELECT DISTINCT raw_value, draft FROM (SELECT 'Org/' || p_name AS raw_value, 'Org/' || p_name AS draft FROM part UNION ALL SELECT 'org/' || replace(p_name, ' ', '_'), 'Org/' || p_name FROM part)""")
+def residual_drafts(spark, d):
+    p = t(spark, d, "part")
+    m = p.select(F.concat(F.lit("Org/"), "p_name").alias("raw_value")).unionByName(p.select(F.concat(F.lit("org/"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("raw_value")))
+    none = spark.createDataFrame([], "id string, org string, aliases array<string>, seq int")
+    return catalogue.residual_mint(m, none, org_tables(spark, d)[0])["drafts"]
+
+
+@query("""SELECT c_custkey AS id, c_custkey % 2 AS layer_rank, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment ELSE lower(c_mktsegment) END AS org_id FROM customer""")
+def canonical_layers(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).cast("int").alias("layer_rank"), F.col("c_mktsegment").alias("org_id"))
+    orgs = c.select(F.lower("org_id").alias("name"), F.lower("org_id").alias("org")).distinct()
+    return catalogue.canonicalize_layers(c, orgs, [1])[0].select("id", "layer_rank", "org_id")
+
+
+@query("""SELECT lower(n_name) AS name, 'R' || n_regionkey AS org FROM nation UNION SELECT 'r' || r_regionkey, 'R' || r_regionkey FROM region UNION SELECT lower(r_name), 'R' || r_regionkey FROM region""")
+def org_map(spark, d):
+    orgs = t(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("hf_org"))
+    names = t(spark, d, "nation").select(F.col("n_name").alias("raw_value"), F.concat(F.lit("R"), "n_regionkey").alias("canonical_id"))
+    return match.build_org_map(orgs, names)
+
+
+@query("""SELECT lower(n_name) AS token, CASE WHEN n_regionkey = 0 THEN NULL ELSE 'R' || n_regionkey END AS platform FROM nation""")
+def host_platforms(spark, d):
+    return match.platform_map(t(spark, d, "nation").groupBy(F.when(F.col("n_regionkey") == 0, "unknown").otherwise(F.concat(F.lit("R"), "n_regionkey")).alias("id")).agg(F.collect_list("n_name").alias("aliases")))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'weak' END AS name FROM supplier""")
+def weak_fill(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    core = s.select("id", F.when((F.col("id") % 3 == 0) & (F.col("id") % 2 == 1), F.col("s_name")).alias("name"), F.when(F.col("id") % 2 == 0, F.array(F.lit("name"))).otherwise(F.array().cast("array<string>")).alias("explicit_keys"))
+    weak = s.select("id", F.lit("weak").alias("name"), F.lit(0).alias("layer_rank"), F.lit("f").alias("file"), F.lit(0).alias("pos"))
+    return merge.fill_weak(core, weak, ["name"]).select("id", "name")
+
+
+@query(f"""WITH {RESOLVED}, u AS (SELECT DISTINCT raw_value, canonical_id, strategy FROM answer) SELECT raw_value AS form, CASE WHEN canonical_id IS NULL THEN 'lost' WHEN strategy = 'fuzzy' THEN 'pinned' ELSE 'fine' END AS route FROM u""")
+def removal_floor(spark, d):
+    m = mentions(spark, d)
+    r = resolved_mentions(spark, d).select("raw_value", "canonical_id", "strategy").distinct()
+    return merge.nothing_removed(m.select(F.col("raw_value").alias("form")), m.where("false").select(F.col("raw_value").alias("form")), r).select("form", "route")
+
+
+@query("""SELECT 'run' AS id, 'completed' AS status, (SELECT count(*) FROM lineitem) AS records_processed, (SELECT count(*) FROM part) - (SELECT count(*) FROM supplier) AS aliases_created, 0 AS aliases_updated, (SELECT count(*) FROM region) AS entities_created""")
+def run_summaries(spark, d):
+    n = {x: t(spark, d, x) for x in ("lineitem", "supplier", "part", "region")}
+    return changes.run_summary("run", n["lineitem"], n["supplier"], n["part"], n["region"], n["region"].where("false")).drop("n_errors")
+
+
+@query(f"""WITH RECURSIVE {MODELS}, {walk_sql("g", GROUP, True)}, m2 AS (SELECT m.*, g.root AS grp FROM model m JOIN g USING (id))
+    SELECT 'self origin' AS problem, 0 AS n UNION ALL SELECT 'not total', 0 UNION ALL SELECT 'crossing', (SELECT count(*) FROM (SELECT grp FROM m2 WHERE org_id IS NOT NULL GROUP BY grp HAVING count(DISTINCT org_id) > 1))
+    UNION ALL SELECT 'own alias', (SELECT count(*) FROM model WHERE substr(id, 2)::INT % 2 = 1) UNION ALL SELECT 'lost', (SELECT count(*) FROM model WHERE substr(id, 2)::INT % 3 = 0)""")
+def lineage_checks(spark, d):
+    m = graph.stored(graph.derive_lineage(models(spark, d)))
+    al = m.where("cast(substr(id, 2) as int) % 2 = 0").select(F.col("id").alias("raw_value"), F.col("id").alias("canonical_id"), F.lit("auto").alias("status"))
+    found = [("self origin", checks.self_origin(m)), ("not total", checks.not_total(m)), ("crossing", checks.crossing_orgs(m)), ("own alias", checks.not_own_alias(m, al)), ("lost", checks.lost_since(m, m.where("cast(substr(id, 2) as int) % 3 <> 0"), ["id"]))]
+    out = None
+    for name, bad in found:
+        row = bad.agg(F.lit(name).alias("problem"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- sources, sinks, jobs and streams -------------------------------------------------------------------------
 
 
