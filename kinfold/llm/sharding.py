@@ -108,7 +108,7 @@ def assign_shards(df: DataFrame, order_by: list[str], n_shards: int, seed: int =
         return pd.Series(position_of(rows.to_numpy(), n, seed))
 
     out = numbered.withColumn("position", place("row_number"))
-    return out.withColumn("shard", (F.col("position") % n_shards).cast("int")).withColumn("slot", F.floor(F.col("position") / n_shards).cast("long") if n < 2**52 else F.expr(f"position div {n_shards}"))
+    return out.withColumn("shard", (F.col("position") % n_shards).cast("int")).withColumn("slot", F.expr(f"position div {n_shards}"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
