@@ -56,19 +56,16 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round doubles the distance looked ahead, so a chain of any length takes logarithmically many. Nodes that
     lead into a cycle are then walked over the cycle's members alone.
     """
-    spark = steps.sparkSession
     jump = stored(steps.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
-    for _ in range(most_rounds):
-        if jump.where("not done").isEmpty():
-            return jump.select("id", F.col("at").alias("root"), "depth")
+    n = steps.count()
+    for k in range(most_rounds):
+        # After k rounds 2**k hops are looked ahead; who isn't done by n hops runs into a cycle.
+        if 2**k > n or jump.where("not done").isEmpty():
+            break
         over = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
         ahead = jump.join(over, "at")
         far = ahead.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("_d")).alias("depth"), (F.col("done") | F.col("_done")).alias("done"))
-        left = far.where("not done").count()
         jump = stored(far)
-        n = steps.count() if _ == 0 else n  # noqa: F821
-        if 2**_ > n or left == 0:
-            break
     done = jump.where("done").select("id", F.col("at").alias("root"), "depth")
     # What never ends runs into a cycle: walk it with the path kept, a bounded number of hops a round.
     loose = stored(jump.where("not done").select("id"))
@@ -83,7 +80,6 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
         if state.where("not end").isEmpty():
             break
     ends = state.select("id", F.col("at").alias("root"), (F.size("path") - 1).cast("long").alias("depth"))
-    del spark
     return done.unionByName(ends)
 
 
