@@ -46,8 +46,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bounded_batches(batches, max_bytes: int = 2 << 20):
     """Cut Arrow batches into slices of about ``max_bytes``, so that long texts do not add up in memory.
 
-    One row is never cut, so a slice holds at least one row.
+    One row is never cut, so a slice holds at least one row. Workers are reused for other operators, so
+    memory that Arrow frees goes back to the system.
     """
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
