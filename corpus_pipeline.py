@@ -10,6 +10,8 @@ from kinfold.llm.common import stored, table
 from kinfold.llm.queries import PACK_RANKS, PACK_SPECIAL, SEED
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents are near-duplicates from this similarity of their shingles on; op4's contract has its own.
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id stay; of rows that repeat a kept doc_id all do.
     """
-    dropped = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    dropped = minhash.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
 
 
