@@ -20,8 +20,9 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The bytes of the symbols # * $ % & | < >
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 #: Least standard deviations, so that a statistic that hardly varies doesn't reject small departures:
-#: length alone, a repeated line or a few repeated words leave a document in.
-FLOORS = (1.0, 0.1, 0.5, 1.0, 1.0)
+#: length alone or a few repeated words leave a document in. Those of the repetition statistics leave the
+#: cutoff within the range that the base rules allow: either one alone can reject, from a gap of 3.2 on.
+FLOORS = (1.0, 0.1, 0.5, 0.5, 0.5)
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
 #: Squared distances beyond this are outliers: the chi-squared quantile for 5 degrees of freedom at 1 - 1e-7.
 CUTOFF = 40.9
