@@ -1,4 +1,4 @@
-"""Every operator as a query over the driver's tables, with the same result in SQL.
+"""Operators as queries over the driver's tables, with the same result in SQL; README lists those without one.
 
 The tables stand in for a registry: parts are entities and mentions, orders with their lines are nested
 records, documents are an external index, and part numbers halved give a parent graph.
