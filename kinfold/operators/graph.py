@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..storage import stored
+
 IDENTITY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode'))"
 FAMILY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode', 'training_stage', 'size', 'tier'))"
 LINEAGE = "relationship in ('quantized', 'finetune', 'merge', 'adapter')"
 INHERITED = "relationship in ('variant', 'quantized')"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the folder all executors share and read back, so that iterations don't grow the plan."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edges(nodes: DataFrame, parents: str = "parents") -> DataFrame:
     """(child, parent, relationship, axis, pos) of nodes with a parent list; self-edges are dropped."""
     e = nodes.select(F.col("id").alias("child"), F.posexplode(parents).alias("pos", "_p")).select("child", F.col("_p.id").alias("parent"), F.col("_p.relationship").alias("relationship"), F.col("_p.axis").alias("axis"), "pos")
@@ -51,47 +38,64 @@ def next_step(edges_: DataFrame, nodes: DataFrame, condition: str | Column, same
 
 
 def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(id, root, depth): the end of each node's walk, which stops before a node it has seen.
+    """(id, root, depth): the end of each node's walk over (id, up), which stops before a node it has seen.
 
-    Each round doubles the distance looked ahead, so a chain of any length takes logarithmically many. Nodes that
-    lead into a cycle are then walked over the cycle's members alone.
+    Each round doubles the distance looked ahead, so a chain of any length takes logarithmically many rounds. A
+    walk that runs into a cycle ends at the node before the place where it came in.
     """
     jump = stored(steps.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
-    n = steps.count()
+    n = jump.count()
     for k in range(most_rounds):
-        # After k rounds 2**k hops are looked ahead; who isn't done by n hops runs into a cycle.
+        # After k rounds 2**k hops are looked ahead; who isn't done by n hops has gone into a cycle.
         if 2**k > n or jump.where("not done").isEmpty():
             break
         over = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
         ahead = jump.join(over, "at")
         far = ahead.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("_d")).alias("depth"), (F.col("done") | F.col("_done")).alias("done"))
         jump = stored(far)
+    else:
+        raise RuntimeError("the walk did not settle")
     done = jump.where("done").select("id", F.col("at").alias("root"), "depth")
-    # What never ends runs into a cycle: walk it with the path kept, a bounded number of hops a round.
-    loose = stored(jump.where("not done").select("id"))
+    loose = jump.where("not done")
     if loose.isEmpty():
         return done
-    hop = stored(steps.join(loose, "id").select("id", "up"))
-    state = hop.select("id", F.col("id").alias("at"), F.array("id").alias("path"), F.lit(False).alias("end"))
-    for _ in range(10_000):
-        moved = state.join(hop.select(F.col("id").alias("at"), "up"), "at")
-        seen = F.array_contains("path", F.col("up"))
-        state = stored(moved.select("id", F.when(F.col("end") | seen, F.col("at")).otherwise(F.col("up")).alias("at"), F.when(F.col("end") | seen, F.col("path")).otherwise(F.concat("path", F.array("up"))).alias("path"), (F.col("end") | seen).alias("end")))
-        if state.where("not end").isEmpty():
-            break
-    ends = state.select("id", F.col("at").alias("root"), (F.size("path") - 1).cast("long").alias("depth"))
-    return done.unionByName(ends)
+    return done.unionByName(_into_cycles(steps.join(loose.select("id"), "id", "left_semi"), loose.select(F.col("at").alias("id")).distinct()))
+
+
+def _into_cycles(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, root, depth) of walks that end in cycles, whose ``members`` are given."""
+    members = stored(members)
+    inside = members.withColumn("_in", F.lit(True))
+    steps = stored(steps.join(inside, "id", "left"))
+    entries = walk_up(steps.select("id", F.when(F.col("_in").isNull(), F.col("up")).alias("up")))
+    ring = steps.where("_in").select("id", "up")
+    # Each member's cycle is named by its least member, found by doubling; the count of members is the length.
+    state = ring.select("id", F.col("up").alias("at"), F.least("id", "up").alias("least"))
+    for _ in range(members.count().bit_length()):
+        over = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_l"))
+        state = stored(state.join(over, "at").select("id", F.col("_at").alias("at"), F.least("least", "_l").alias("least")))
+    lengths = state.join(state.groupBy("least").agg(F.count("*").alias("_n")), "least").select(F.col("id").alias("_entry"), "_n")
+    before = ring.select(F.col("up").alias("_entry"), F.col("id").alias("root"))
+    out = entries.select("id", F.col("root").alias("_entry"), "depth").join(before, "_entry").join(lengths, "_entry")
+    return out.select("id", "root", (F.col("depth") + F.col("_n") - 1).alias("depth"))
 
 
 def derive_lineage(models: DataFrame, same_org: str = "org_id") -> DataFrame:
     """Add model_group_id, model_family_id (self at the root), lineage_origin_model_id (null at the origin) and its org."""
     e = edges(models)
-    group = walk_up(next_step(e, models, IDENTITY, same_org)).select("id", F.col("root").alias("model_group_id"))
-    family = walk_up(next_step(e, models, FAMILY, same_org)).select("id", F.col("root").alias("model_family_id"))
-    origin = walk_up(next_step(e, models, LINEAGE)).select("id", F.col("root").alias("_origin"))
+    kinds = {"group": next_step(e, models, IDENTITY, same_org), "family": next_step(e, models, FAMILY, same_org), "origin": next_step(e, models, LINEAGE)}
+    # One walk over the three graphs side by side: its nodes are (kind, id).
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    steps = None
+    for kind, step in kinds.items():
+        one = step.select(node(kind, "id").alias("id"), F.when(F.col("up").isNotNull(), node(kind, "up")).alias("up"))
+        steps = one if steps is None else steps.unionByName(one)
+    ends = walk_up(steps)
+    root = lambda kind: F.max(F.when(F.col("id.kind") == kind, F.col("root.id")))
+    roots = ends.groupBy(F.col("id.id").alias("id")).agg(root("group").alias("model_group_id"), root("family").alias("model_family_id"), root("origin").alias("_origin"))
     org = models.select(F.col("id").alias("_origin"), F.col(same_org).alias("_oorg"))
     out = models.drop("model_group_id", "model_family_id", "lineage_origin_model_id", "lineage_origin_model_org_id")
-    out = out.join(group, "id").join(family, "id").join(origin, "id").join(org, "_origin", "left")
+    out = out.join(roots, "id").join(org, "_origin", "left")
     return out.withColumn("lineage_origin_model_id", F.nullif("_origin", "id")).withColumn("lineage_origin_model_org_id", F.coalesce("_oorg", same_org)).drop("_origin", "_oorg")
 
 
@@ -99,13 +103,17 @@ def inherit(nodes: DataFrame, attribute: str, condition: str = INHERITED, most_r
     """(id, attribute): a node's own value, else the first explicit one up its walk."""
     step = next_step(edges(nodes), nodes, condition).join(nodes.select("id", F.col(attribute).alias("v")), "id")
     state = stored(step.select("id", F.when(F.col("v").isNull(), F.col("up")).alias("at"), "v"))
-    for _ in range(most_rounds):
+    n = state.count()
+    for k in range(most_rounds):
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("v").alias("_v"))
         new = stored(state.join(ahead, "at", "left").select("id", F.when(F.col("v").isNull() & F.col("_v").isNull(), F.col("_at")).alias("at"), F.coalesce("v", "_v").alias("v")))
-        if new.exceptAll(state).isEmpty():
-            break
+        if new.where("at is not null").isEmpty():
+            return new.select("id", F.col("v").alias(attribute))
+        # What is left open after as many hops as there are nodes goes round a cycle without a value.
+        if 2 ** (k + 1) > n:
+            return new.select("id", F.col("v").alias(attribute))
         state = new
-    return state.select("id", F.col("v").alias(attribute))
+    raise RuntimeError("the walk did not settle")
 
 
 def benchmark_family(benchmarks: DataFrame, families: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -135,19 +143,42 @@ def compress_remap(remap: DataFrame) -> DataFrame:
     return ends.where("root <> id").select(F.col("id").alias("loser"), F.col("root").alias("winner"))
 
 
-def components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(id, component): the least id connected over (a, b) pairs; minimum labels with shortcuts until stable."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null")
-    both = stored(both.distinct())
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("c")))
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """Link every neighbour on one side of each node to the least node it knows of.
+
+    Both sides are grouped minima and joins, so a node with any number of links is split by Spark.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    near = both.join(least, "a")
+    if large:
+        out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+    """(``id``, ``component``) for every node of ``links``: the least node it is connected to.
+
+    Large-star and small-star steps alternate until nothing changes. Nulls and self-links are ignored; repeated links
+    and either direction count once; an empty table gives an empty result. Each round is stored, so the plan doesn't
+    grow; the number of rounds grows with the logarithm of the longest path.
+    """
+    pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
+    pairs = stored(pairs, "links")
+    seen = None
     for _ in range(most_rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        new = label.join(near, "id").select("id", F.least("c", "m").alias("c"))
-        jump = stored(new.join(new.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", F.col("cc").alias("c")))
-        if jump.exceptAll(label).isEmpty():
+        pairs = stored(_star(_star(pairs, True), False), "stars")
+        # A fixed point maps every node straight to its component; a sum of row hashes shows it.
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(now) == seen:
             break
-        label = jump
-    return label.select("id", F.col("c").alias("component"))
+        seen = tuple(now)
+    else:
+        raise RuntimeError("components did not settle")
+    roots = pairs.select(F.col("b").alias("id")).distinct()
+    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("id")))
 
 
 def immediate_parent(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from .graph import stored
+from ..storage import stored
 
 KEY = ["raw_value", "entity_type", "source_config"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import keys
 from ..functions.keys import FuzzyRules
 from ..operators import changes, checks, facts, graph, match, merge
+from ..storage import stored
 
 
 def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, fields: list[str], **options) -> DataFrame:
@@ -24,14 +25,14 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     rows = rows.join(facts.detect_parents(rows), ["evaluation_id", "name"], "left")
     mentions = facts.mentions_of(rows).distinct()
     # Distinct mentions are few beside the facts; all outputs read this one table.
-    resolved = graph.stored(match.resolve(mentions, aliases, rules=rules, **options))
+    resolved = stored(match.resolve(mentions, aliases, rules=rules, **options))
     open_ = checks.unresolved(resolved)
-    drafts = graph.stored(changes.mint_drafts(open_, entities))
-    made = graph.stored(changes.draft_aliases(open_, drafts))
+    drafts = stored(changes.mint_drafts(open_, entities))
+    made = stored(changes.draft_aliases(open_, drafts))
     key = ["raw_value", "entity_type"]
     ids = made.select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d")).distinct()
     full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
-    full = graph.stored(full)
+    full = stored(full)
     return {"facts": facts.flatten_records(records, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, "sync", "")}
 
 

@@ -6,8 +6,6 @@ records, documents are an external index, and part numbers halved give a parent
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +14,7 @@ from ..functions import keys
 from ..functions.keys import FuzzyRules
 from ..operators import catalogue, changes, checks, facts, graph, match, merge
 from ..sources import registry, schemas
+from ..storage import shared_folder, stored
 from ..streaming.resolve import resolve_stream
 from . import jobs
 
@@ -792,7 +791,7 @@ def run_summaries(spark, d):
     SELECT 'self origin' AS problem, 0 AS n UNION ALL SELECT 'not total', 0 UNION ALL SELECT 'crossing', (SELECT count(*) FROM (SELECT grp FROM m2 WHERE org_id IS NOT NULL GROUP BY grp HAVING count(DISTINCT org_id) > 1))
     UNION ALL SELECT 'own alias', (SELECT count(*) FROM model WHERE substr(id, 2)::INT % 2 = 1) UNION ALL SELECT 'lost', (SELECT count(*) FROM model WHERE substr(id, 2)::INT % 3 = 0)""")
 def lineage_checks(spark, d):
-    m = graph.stored(graph.derive_lineage(models(spark, d)))
+    m = stored(graph.derive_lineage(models(spark, d)))
     al = m.where("cast(substr(id, 2) as int) % 2 = 0").select(F.col("id").alias("raw_value"), F.col("id").alias("canonical_id"), F.lit("auto").alias("status"))
     found = [("self origin", checks.self_origin(m)), ("not total", checks.not_total(m)), ("crossing", checks.crossing_orgs(m)), ("own alias", checks.not_own_alias(m, al)), ("lost", checks.lost_since(m, m.where("cast(substr(id, 2) as int) % 3 <> 0"), ["id"]))]
     out = None
@@ -847,8 +846,7 @@ def build_job(spark, d):
 def stream_resolve(spark, d):
     ev = t(spark, d, "events")
     al = ev.select("event_type").distinct().select(F.col("event_type").alias("raw_value"), F.lit("metric").alias("entity_type"), nothing().alias("source_config"), F.concat(F.lit("e-"), "event_type").alias("canonical_id"), F.lit("auto").alias("status"), F.lit(1).alias("seq"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinfold-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     stream = spark.readStream.schema(ev.schema).parquet(f"{d}/events*.parquet").select("event_id", F.upper("event_type").alias("raw_value"), F.lit("metric").alias("entity_type"), nothing().alias("source_config"))
     resolve_stream(stream, al, f"{root}/out", f"{root}/state", f"{root}/log", trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "raw_value", "canonical_id", "strategy")
