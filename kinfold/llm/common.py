@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_folder, stored  # noqa: F401  (part of what this module offers)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: later steps read files that outlive any executor, and see one fixed result
-    however often they run.
-    """
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,6 +45,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(value: bytes) -> bytes:
+    return pa.decompress(memoryview(value)[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Keep Arrow batches of whole texts small: at most ``rows`` rows each."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,7 +1,8 @@
 """Near-duplicates by min-max hashing: both the least and the greatest value under each permutation.
 
 One pass over a set's hashes under one permutation gives two signature values, so half as many
-permutations are evaluated. Bands of values find candidates; links are confirmed on the full sets.
+permutations are evaluated. Bands of values find candidates. Links are confirmed on the full sets: by their
+hashes first, and what these would link by the words themselves.
 
 No pairs are made within a class of equal sets, which is one node. In a band's bucket every node is first
 compared with the bucket's least node only. What that leaves open (nodes of a bucket that are not yet
@@ -15,8 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_batches, small_batches, stored, utf8
-from .components import components
+from ..operators.graph import components
+from .common import bounded_batches, small_batches, squeeze, stored, unsqueeze, utf8
 from .words import lower_ascii, mix, salted, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
@@ -102,43 +103,79 @@ def sketch(df: DataFrame, text: str = "text", permutations: int = PERMUTATIONS,
 
 
 def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(``node``, ``shingles``) for the wanted nodes (node, first) out of ``df`` (doc_id, text).
+    """(``node``, ``words``) for the wanted nodes (node, first) out of ``df`` (doc_id, text): lower-case words, compressed.
 
     Texts are found by doc_id, those without one are all read; each set's node is computed anew, so a
     doc_id that repeats with another text gives no wrong set.
     """
     ids = wanted.select(F.col("first").alias("doc_id")).where("doc_id is not null").distinct()
     few = df.join(ids, "doc_id", "left_semi").select("text").unionByName(df.where("doc_id is null").select("text"))
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         for batch in bounded_batches(batches):
             hashes, bounds = shingle_sets(batch.column(0))
             full = np.flatnonzero(np.diff(bounds))
             nodes = node_keys(hashes, bounds[:-1][full], np.diff(bounds)[full]) if len(full) else []
-            packed = [hashes[bounds[k] : bounds[k + 1]].tobytes() for k in full]
+            texts = batch.column(0).take(pa.array(full, pa.int64())).to_pylist()
+            packed = [squeeze(b" ".join(t.encode().lower().split())) for t in texts]  # bytes.lower changes A-Z alone
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], names=schema.names)
 
     return few.mapInArrow(run, schema).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.sort(np.concatenate((x, y)), kind="stable")
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def shingle_numbers(a: bytes, b: bytes, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of two texts as numbers, the same number only for the same words."""
+    table: dict[bytes, int] = {}
+    x, y = ([table.setdefault(w, len(table)) for w in text.split()] for text in (a, b))
+    if min(len(x), len(y)) < width:
+        # A shorter text is one shingle, which only a text of the same words shares.
+        return np.zeros(min(1, len(x)), np.int64), np.full(min(1, len(y)), 0 if x == y else 1, np.int64)
+    x, y = np.array(x, np.int64), np.array(y, np.int64)
+    left, right, most = x, y, len(table)
+    for _ in range(width - 1):
+        if most * len(table) >= 1 << 62:
+            # So many that a longer number would overflow: number those that occur.
+            kinds, every = np.unique(np.concatenate((left, right)), return_inverse=True)
+            left, right, most = every[: len(left)], every[len(left) :], len(kinds)
+        left, right, most = left[:-1] * len(table) + x[len(x) - len(left) + 1 :], right[:-1] * len(table) + y[len(y) - len(right) + 1 :], most * len(table)
+    return np.unique(left), np.unique(right)
+
+
+class _Sets:
+    """The sets of a batch of compressed texts: compared by hash, and confirmed word by word."""
+
+    def __init__(self, column: pa.Array, percent: int):
+        self.texts = [unsqueeze(t) for t in column.to_pylist()]
+        self.hashes, self.bounds = shingle_sets(pa.array(self.texts, pa.large_binary()))
+        self.percent = percent
+
+    def _of(self, k: int) -> np.ndarray:
+        return self.hashes[self.bounds[k] : self.bounds[k + 1]]
+
+    def linked(self, k: int, other: _Sets, j: int) -> bool:
+        if not _alike(self._of(k), other._of(j), self.percent):
+            return False
+        return _alike(*shingle_numbers(self.texts[k], other.texts[j]), self.percent)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b").join(sets.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
 
     def run(batches):
-        for batch in bounded_batches(batches, 16 << 20):
-            ok = [_linked(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        for batch in bounded_batches(batches):
+            x, y = _Sets(batch.column(2), percent), _Sets(batch.column(3), percent)
+            ok = [x.linked(k, y, k) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
 def _block_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,15 +217,16 @@ def _block_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFram
             return c
 
         sides = pdf["main"] if across else pdf["block"]
-        rows = list(zip(sides, pdf["node"], pdf["n"], pdf["component"], pdf["shingles"]))
+        rows = list(zip(sides, pdf["node"], pdf["n"], pdf["component"]))
+        sets = _Sets(pa.array(pdf["words"], pa.binary()), percent)
         out = []
         for x, p in enumerate(rows):
-            for q in rows[x + 1 :]:
+            for y, q in enumerate(rows[x + 1 :], x + 1):
                 if (across or not same) and p[0] == q[0]:
                     continue
                 if 100 * min(p[2], q[2]) < percent * max(p[2], q[2]) or find(p[3]) == find(q[3]):
                     continue
-                if _linked(p[4], q[4], percent):
+                if sets.linked(x, sets, y):
                     root[find(p[3])] = find(q[3])
                     out.append((p[1], q[1]))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -196,8 +234,8 @@ def _block_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return full.groupBy("bucket", "i", "across", "j").applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``, and the columns to ``carry``.
 
     Documents are linked where 100 times their sets' intersection is at least ``percent`` times the
     union; ``component_id`` is the least doc_id reachable over links, the document's own included, and
@@ -208,10 +246,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     kept. Rows that repeat a doc_id are rows of their own. An empty table gives an empty result; other
     columns are ignored. With 24 bands of 5 values a pair at 85 percent goes unseen with a probability
     below 1e-6, one at 80 percent with about 7e-5 (and may still be connected over others); more alike
-    pairs far less.
+    pairs far less. Documents whose sets have the same 128-bit key are taken for equal, all other links are
+    confirmed by their words. Names in ``carry`` must not be those of the other output columns.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    slim = stored(sketch(docs), "sketches")
+    slim = stored(sketch(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(1).alias("_"), *carry).alias("_carried"))), "sketches")
     classes = slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     entries = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("_size")).where("_size > 1")
@@ -221,14 +260,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     classes = classes.select("node", "first")
     sets = stored(_sets(docs, classes.join(members.select("node").distinct(), "node")), "sets")
     links = stored(_confirm(pairs, sets, percent), "confirmed")
-    found = components(links)
+    found = components(links).withColumnRenamed("id", "node")
     labelled = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     more = stored(_block_links(stored(labelled, "labelled"), sets, percent), "more")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        # The first run's result stands for its links.
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "node")
     grouped = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     resolved = grouped.join(ids, "component").select("node", "component_id")
-    out = slim.select("doc_id", "n_shingles", "node").join(resolved, "node", "left")
+    out = slim.select("doc_id", "n_shingles", "node", "_carried").join(resolved, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), *(F.col("_carried")[c].alias(c) for c in carry)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

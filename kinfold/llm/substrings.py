@@ -1,74 +1,91 @@
-"""Exact substring dedup: Rabin-Karp hashes of every window of words, counted by Spark.
-
-Each task hashes all windows of a batch of documents. Of windows that recur within the batch only the
-first one travels on, so a passage that many documents share arrives once from each batch. The rest is dealt out
-by hash, packed as plain arrays; where a hash meets itself, all but the first place (least document, then
-least start) repeat. Repeats go back to their documents, where overlapping windows merge into maximal
-intervals, which are removed.
+"""Exact substring dedup: Rabin-Karp hashes of every window of words, counted by Spark, then confirmed.
+
+Each task hashes all windows of a batch of documents. Windows that recur within the batch are compared word
+by word; only the first of equal ones travels on, so a passage that many documents share arrives once from
+each batch. The rest is dealt out by hash, packed as plain arrays. Where a hash meets itself, its windows are
+candidates: they go to their documents, whose words give a 128-bit digest for each, and where digests meet,
+all but the first place (least document, then least start) repeat. So a hash that two different windows share
+removes nothing. Repeats go back to their documents, where overlapping windows merge into maximal intervals,
+which are removed.
+
+Places and texts of a group of documents come together by a sort of Spark's, places first: a task keeps the
+group's packed places and passes the texts through one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches, shuffle_partitions, small_batches, utf8
+from .common import bounded_batches, shuffle_partitions, small_batches, squeeze, stored, unsqueeze, utf8
 from .words import hash_spans, rolling_hashes, separators, spans
 
 WINDOW_WORDS = 20
 BATCH_BYTES = 6 << 20
+#: So many digests leave a task at a time.
+DIGESTS = 1 << 18
 _U = np.uint64
-_HASH_BYTES = 7
-
-
-def _windows(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows, with the row and the start of each, in the order of rows."""
-    starts, ends = spans(separators(data), bounds)
-    at = np.searchsorted(starts, bounds)
-    hashes = rolling_hashes(hash_spans(data, starts, ends), width)
-    counts = np.maximum(np.diff(at) - width + 1, 0)
-    row = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return hashes[np.repeat(at[:-1], counts) + start], row, start
+#: Bytes of a window's hash that travel; the bucket it travels to implies more.
+_HASH_BYTES = 5
+_PACKED = [T.StructField(c, T.BinaryType()) for c in ("docs", "counts", "gaps")]
+_MESSAGE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), *_PACKED])
+_PLACES = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("sure", T.BooleanType()), *_PACKED])
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
+def _first(*keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    return first
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
 
 
-def _pack(bucket: np.ndarray, n: int, hashes: np.ndarray, docs: np.ndarray, start: np.ndarray):
-    """One message for each bucket: hashes without their top byte, documents by runs, starts."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+def _pack_places(rows: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Documents by runs of ``rows``, the runs' lengths, and each start's gap to the one before in its run.
+
+    A gap is bytes of 255 and then a smaller one, which add up to it.
+    """
+    first = _first(rows)
+    at = np.flatnonzero(first)
+    gaps = np.diff(starts, prepend=0)
+    gaps[at] = starts[at]
+    full = gaps // 255
+    ends = np.cumsum(full + 1)
+    packed = np.full(int(ends[-1]), 255, np.uint8)
+    packed[ends - 1] = gaps - 255 * full
+    return docs[at].astype("<i8").tobytes(), np.diff(at, append=len(rows)).astype("<u4").tobytes(), packed.tobytes()
+
+
+def _unpack_places(docs: bytes, counts: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs' documents, their lengths, and all starts."""
+    each = np.frombuffer(counts, "<u4").astype(np.int64)
+    raw = np.frombuffer(gaps, np.uint8)
+    run = np.cumsum(raw, dtype=np.int64)[raw != 255]
+    ends = np.cumsum(each)
+    base = np.zeros(len(each), np.int64)
+    base[1:] = run[ends[:-1] - 1]
+    return np.frombuffer(docs, "<i8"), each, run - np.repeat(base, each)
+
+
+def _dealt(group: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The entries of each of ``n`` groups, in their order."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(n + 1))
     for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k] : cuts[k + 1]]
-        first = np.flatnonzero(_runs(docs[at]))
-        counts = np.diff(np.append(first, len(at))).astype("<u4")
-        low = hashes[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
-        # Starts that all fit into 16 bits take two bytes each.
-        place = start[at].astype("<u2" if start[at].max() < 1 << 16 else "<u4")
-        yield int(k), low.tobytes(), docs[at][first].astype("<i8").tobytes(), counts.tobytes(), place.tobytes()
+        yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
-def _hashes(packed: bytes) -> np.ndarray:
-    low = np.frombuffer(packed, np.uint8).reshape(-1, _HASH_BYTES)
-    wide = np.zeros((len(low), 8), np.uint8)
-    wide[:, :_HASH_BYTES] = low
-    return wide.view("<u8").ravel()
+def _batch(rows: list, schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(zip(*rows), schema)], names=schema.names)
 
 
-def _places(at: np.ndarray, docs: bytes, counts: bytes, starts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and starts of some of a message's entries."""
-    ends = np.cumsum(np.frombuffer(counts, "<u4"))
-    kind = "<u2" if len(starts) == 2 * n else "<u4"
-    return np.frombuffer(docs, "<i8")[np.searchsorted(ends, at, "right")], np.frombuffer(starts, kind)[at].astype(np.int64)
+def _batches(rows: list, schema: T.StructType, most: int = 64) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), most):
+        yield _batch(rows[k : k + most], schema)
 
 
 def _home(docs: Column | np.ndarray, n: int):
@@ -83,111 +100,257 @@ def _odd(n: int) -> int:
     return n
 
 
-def repeated_windows(df: DataFrame, width: int, homes: int) -> DataFrame:
-    """(``home``, ``docs``, ``starts``): packed places of windows that also start earlier.
-
-    ``df`` has doc_id (long) and text. A place may be given more than once.
-    """
-    buckets = shuffle_partitions(df.sparkSession)
-    small_batches(df.sparkSession)
-    message = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "docs", "counts", "starts"))])
-
-    def share(batches):
+class _Windows:
+    """All windows of a batch of texts: hashes, rows, starts in their row, and places among the batch's words."""
+
+    def __init__(self, column: pa.Array, width: int):
+        data, bounds = utf8(column)
+        self.width = width
+        self.starts, self.ends = spans(separators(data), bounds)
+        at = np.searchsorted(self.starts, bounds)
+        counts = np.maximum(np.diff(at) - width + 1, 0)
+        self.row = np.repeat(np.arange(len(counts)), counts)
+        self.start = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.place = np.repeat(at[:-1], counts) + self.start
+        self.hashes = rolling_hashes(hash_spans(data, self.starts, self.ends), width)[self.place]
+        self.raw = data.tobytes()
+
+    def _same(self, a: int, b: int, words: int) -> bool:
+        x, y = (self.raw[self.starts[k] : self.ends[k + words - 1]] for k in (a, b))
+        return x == y or x.split() == y.split()  # bytes.split takes exactly space and 9 to 13 as white space
+
+    def equal(self, these: np.ndarray, those: np.ndarray) -> np.ndarray:
+        """Whether the words of windows ``these`` are those of ``those``; runs of both are compared at once."""
+        a, b = self.place[these], self.place[those]
+        follows = (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1) & (self.row[these[1:]] == self.row[these[:-1]]) & (self.row[those[1:]] == self.row[those[:-1]])
+        cuts = np.flatnonzero(np.concatenate(([True], ~follows, [True])))
+        out = np.empty(len(these), bool)
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[start:end] = self._same(a[start], b[start], end - start + self.width - 1)
+            if not out[start]:
+                out[start:end] = [self._same(x, y, self.width) for x, y in zip(a[start:end], b[start:end])]
+        return out
+
+
+def _share(df: DataFrame, width: int, buckets: int, homes: int) -> DataFrame:
+    """Messages of all windows of (doc_id, text): to a bucket by hash, or (bucket -1 - home) places that surely repeat."""
+
+    def send(held: list):
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        table = table.take(pa.compute.sort_indices(table.column(0)))
+        w = _Windows(table.column(1), width)
+        docs = table.column(0).to_numpy(zero_copy_only=False)[w.row]
+        order = np.argsort(w.hashes, kind="stable")
+        first = _first(w.hashes[order])
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[first][np.cumsum(first) - 1]
+        travels = np.zeros(len(order), bool)
+        travels[order[first]] = True
+        # A place equal to the first one (of a repeated row) is no repeat.
+        again = np.flatnonzero(~travels & ((docs != docs[lead]) | (w.start != w.start[lead])))
+        same = w.equal(again, lead[again]) if len(again) else np.zeros(0, bool)
+        travels[again[~same]] = True
+        again = again[same]
+        for home, at in _dealt(_home(docs[again], homes), homes):
+            k = again[at]
+            yield (-1 - home, b"", *_pack_places(w.row[k], docs[k], w.start[k]))
+        at = np.flatnonzero(travels)
+        hashes = w.hashes[at]
+        low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
+        for bucket, k in _dealt(((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), buckets):
+            yield (bucket, low[k].tobytes(), *_pack_places(w.row[at[k]], docs[at[k]], w.start[at[k]]))
+
+    def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         held, size = [], 0
-
-        def send():
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            table = table.take(pa.compute.sort_indices(table.column(0)))
-            ids = table.column(0).to_numpy(zero_copy_only=False)
-            hashes, row, start = _windows(*utf8(table.column(1)), width)
-            docs = ids[row]
-            order = np.argsort(hashes, kind="stable")
-            first = _runs(hashes[order])
-            # The first of each run stands for all; a place equal to it (a repeated row) is no repeat.
-            lead = order[first][np.cumsum(first) - 1]
-            again = ~first & ((docs[order] != docs[lead]) | (start[order] != start[lead]))
-            rows = []
-            if again.any():
-                at = np.sort(order[again])
-                for home, docs_, counts, starts in _send_home(docs[at], start[at], homes):
-                    rows.append((-1 - home, b"", docs_, counts, starts))
-            at = np.sort(order[first])
-            # The top byte and more are implied by the bucket, so the bytes sent still tell hashes apart.
-            bucket = (hashes[at] >> _U(32)) * _U(buckets) >> _U(32)
-            rows.extend(_pack(bucket.astype(np.int64), buckets, hashes[at], docs[at], start[at]))
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.dataType == T.IntegerType() and pa.int32() or pa.binary()) for c, f in zip(zip(*rows[k : k + 64]), message)], names=message.names)
-
         for batch in bounded_batches(batches):
             held.append(batch)
             size += batch.nbytes
             if size >= BATCH_BYTES:
-                yield from send()
+                yield from _batches(list(send(held)), _MESSAGE)
                 held, size = [], 0
         if held:
-            yield from send()
+            yield from _batches(list(send(held)), _MESSAGE)
+
+    return df.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _MESSAGE)
 
-    def meet(batches):
+
+def _meet(messages: DataFrame, buckets: int, homes: int, key_bytes: int, exact: bool) -> DataFrame:
+    """Places of keys that meet themselves: all of them as candidates, or if keys are exact all but the first."""
+
+    def keys_of(packed: bytes, bucket: int) -> list[np.ndarray]:
+        if key_bytes == 16:
+            both = np.frombuffer(packed, "<u8").reshape(-1, 2)
+            return [both[:, 0], both[:, 1]]
+        wide = np.zeros((len(packed) // key_bytes, 8), np.uint8)
+        wide[:, :key_bytes] = np.frombuffer(packed, np.uint8).reshape(-1, key_bytes)
+        # A task may hold several buckets, whose hashes differ in bytes that don't travel.
+        return [wide.view("<u8").ravel() | _U(bucket << 8 * key_bytes)]
+
+    def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
-        messages, found = [], []
+        messages_, found = [], []
         for batch in batches:
-            for bucket, packed, docs, counts, starts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for bucket, packed, docs, counts, gaps in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (docs, counts, starts))], names=places.names)
+                    yield _batch([(-1 - bucket, True, docs, counts, gaps)], _PLACES)
                 else:
-                    # Hashes of a bucket differ from those of others of the same task in their top bits.
-                    found.append(_hashes(packed) ^ (_U(bucket & 0xFF) << _U(56)))
-                    messages.append((docs, counts, starts))
+                    found.append(keys_of(packed, bucket))
+                    messages_.append((docs, counts, gaps))
         if not found:
             return
-        sizes = np.array([len(x) for x in found])
-        ends = np.cumsum(sizes)
-        every = np.concatenate(found)
+        sizes = np.array([len(x[0]) for x in found])
+        keys = [np.concatenate(parts) for parts in zip(*found)]
         found.clear()
-        # Places are read only for hashes that occur twice, so most of a task's data stays packed.
-        order = np.argsort(every)
-        same = every[order[1:]] == every[order[:-1]]
-        shared = np.sort(order[np.append(same, False) | np.append(False, same)])
-        del order, same
-        hashes = every[shared]
-        del every
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys)
+        first = _first(*(k[order] for k in keys))
+        # Places are read only for keys that occur twice, so most of a task's data stays packed.
+        shared = np.sort(order[~(first & np.append(first[1:], True))])
+        del order, first
+        keys = [k[shared] for k in keys]
         docs, starts = np.empty(len(shared), np.int64), np.empty(len(shared), np.int64)
-        cuts = np.searchsorted(shared, np.append(0, ends))
-        for k, (docs_, counts_, starts_) in enumerate(messages):
-            part = slice(cuts[k], cuts[k + 1])
-            docs[part], starts[part] = _places(shared[part] - (ends[k] - sizes[k]), docs_, counts_, starts_, sizes[k])
-        messages.clear()
-        order = np.lexsort((starts, docs, hashes))
-        first = _runs(hashes[order])
-        lead = order[first][np.cumsum(first) - 1]
-        again = order[~first & ((docs[order] != docs[lead]) | (starts[order] != starts[lead]))]
-        again = again[np.lexsort((starts[again], docs[again]))]
-        for home, docs_, counts, starts_ in _send_home(docs[again], starts[again], homes):
-            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), *(pa.array([x], pa.binary()) for x in (docs_, counts, starts_))], names=places.names)
-
-    places = T.StructType([T.StructField("home", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("docs", "counts", "starts"))])
-    shared = df.select("doc_id", "text").where("doc_id is not null").mapInArrow(share, message)
-    return shared.repartition(buckets, "bucket").mapInArrow(meet, places)
-
-
-def _send_home(docs: np.ndarray, start: np.ndarray, homes: int):
-    home = _home(docs, homes)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(homes + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k] : cuts[k + 1]]
-        first = np.flatnonzero(_runs(docs[at]))
-        counts = np.diff(np.append(first, len(at))).astype("<u4")
-        yield int(k), docs[at][first].astype("<i8").tobytes(), counts.tobytes(), start[at].astype("<u4").tobytes()
+        cuts, ends = np.searchsorted(shared, np.append(0, np.cumsum(sizes))), np.cumsum(sizes)
+        for k, packed in enumerate(messages_):
+            if cuts[k] < cuts[k + 1]:
+                at = shared[cuts[k] : cuts[k + 1]] - (ends[k] - sizes[k])
+                ids, counts, places = _unpack_places(*packed)
+                docs[cuts[k] : cuts[k + 1]] = np.repeat(ids, counts)[at]
+                starts[cuts[k] : cuts[k + 1]] = places[at]
+        messages_.clear()
+        if exact:
+            order = np.lexsort((starts, docs, *keys))
+            first = _first(*(k[order] for k in keys))
+            lead = order[first][np.cumsum(first) - 1]
+            keep = order[~first & ((docs[order] != docs[lead]) | (starts[order] != starts[lead]))]
+        else:
+            keep = np.arange(len(shared))
+        keep = keep[np.lexsort((starts[keep], docs[keep]))]
+        for home, at in _dealt(_home(docs[keep], homes), homes):
+            k = keep[at]
+            yield _batch([(home, exact, *_pack_places(docs[k], docs[k], starts[k]))], _PLACES)
+
+    return messages.repartition(buckets, "bucket").mapInArrow(run, _PLACES)
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW_WORDS) -> DataFrame:
+def _squeezed(df: DataFrame, text: str) -> DataFrame:
+    """Replace the text by ``_zip``: its length in bytes and its compressed bytes, null for null."""
+    names = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField("_zip", T.BinaryType())])
+
+    def run(batches):
+        for batch in bounded_batches(batches):
+            zipped = pa.array([None if t is None else squeeze(t.encode()) for t in batch.column(len(names)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], zipped], names=schema.names)
+
+    return df.select(*names, text).mapInArrow(run, schema)
+
+
+def _at_home(places: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """Packed places and rows (``_home``, ``_doc``, ``_zip`` and others) by home, the places before the rows."""
+    both = places.select(F.col("home").alias("_home"), F.lit(0).alias("_kind"), "docs", "counts", "gaps").unionByName(rows.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    first = ["_home", "_kind", "docs", "counts", "gaps", "_doc", "_zip"]
+    both = both.select(*first, *(c for c in rows.columns if c not in first))
+    return both.repartition(parts, "_home").sortWithinPartitions("_home", "_kind")
+
+
+class _Known:
+    """The starts of a group's documents, gathered packed and sorted once when first asked for."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.ids = None
+
+    def add(self, *packed: bytes) -> None:
+        self.held.append(packed)
+        self.ids = None
+
+    def of(self, doc: int) -> np.ndarray | None:
+        if self.ids is None:
+            parts = [_unpack_places(*p) for p in self.held]
+            docs = np.concatenate([np.repeat(ids, each) for ids, each, _ in parts]) if parts else np.zeros(0, np.int64)
+            starts = np.concatenate([x.astype(np.uint32) for _, _, x in parts]) if parts else np.zeros(0, np.uint32)
+            order = np.argsort(docs, kind="stable")
+            docs, self.starts = docs[order], starts[order]
+            self.ids, self.cuts = np.unique(docs, return_index=True)
+            self.cuts = np.append(self.cuts, len(docs))
+        at = int(np.searchsorted(self.ids, doc))
+        if at == len(self.ids) or self.ids[at] != doc:
+            return None
+        return np.unique(self.starts[self.cuts[at] : self.cuts[at + 1]]).astype(np.int64)
+
+
+def _visits(batches) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """For each batch of ``_at_home`` its rows that are no places, with (text, starts or none) for each."""
+    home, known = None, _Known()
+    for batch in bounded_batches(batches):
+        chosen, out = [], []
+        for k, (at, kind, docs, counts, gaps, doc, zipped) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+            if at != home:
+                home, known = at, _Known()
+            if kind:
+                chosen.append(k)
+                out.append((b"" if zipped is None else unsqueeze(zipped), None if doc is None else known.of(doc)))
+            else:
+                known.add(docs, counts, gaps)
+        if chosen:
+            yield batch.take(pa.array(chosen, pa.int64())), out
+
+
+def _digests(candidates: DataFrame, rows: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Messages of the digests of all candidate windows, by digest."""
+
+    def run(batches):
+        keys, docs, counts, starts = [], [], [], []
+
+        def send():
+            every = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+            ids, row, at = np.repeat(docs, counts), np.repeat(np.arange(len(docs)), counts), np.concatenate(starts)
+            for x in (keys, docs, counts, starts):
+                x.clear()
+            high = every.view("<u8")[:, 1] >> _U(32)
+            rows_ = [(bucket, every[k].tobytes(), *_pack_places(row[k], ids[k], at[k])) for bucket, k in _dealt((high * _U(buckets) >> _U(32)).astype(np.int64), buckets)]
+            yield from _batches(rows_, _MESSAGE)
+
+        for batch, visited in _visits(batches):
+            for doc, (text, found) in zip(batch.column(5).to_pylist(), visited):
+                if found is None:
+                    continue
+                words = text.split()
+                at = found[found <= len(words) - width]
+                if len(at):
+                    keys.extend(hashlib.blake2b(b" ".join(words[s : s + width]), digest_size=16).digest() for s in at.tolist())
+                    docs.append(doc)
+                    counts.append(len(at))
+                    starts.append(at)
+                if len(keys) >= DIGESTS:
+                    yield from send()
+        if keys:
+            yield from send()
+
+    return _at_home(candidates, rows, buckets).mapInArrow(run, _MESSAGE)
+
+
+def repeated_windows(df: DataFrame, width: int, homes: int) -> DataFrame:
+    """(``home``, ``sure``, ``docs``, ``counts``, ``gaps``): packed places of windows that also start earlier.
+
+    ``df`` has doc_id (long) and text. A place may be given more than once.
+    """
+    buckets = shuffle_partitions(df.sparkSession)
+    small_batches(df.sparkSession)
+    met = stored(_meet(_share(df, width, buckets, homes), buckets, homes, _HASH_BYTES, False), "candidates")
+    docs = df.where("doc_id is not null")
+    rows = _squeezed(docs.select(F.col("doc_id").alias("_doc"), _home(F.col("doc_id"), homes).alias("_home"), "text"), "text")
+    exact = _meet(_digests(met.where("not sure"), rows, width, buckets), buckets, homes, 16, True)
+    return met.where("sure").unionByName(exact)
+
+
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW_WORDS, leave_whole: bool = False) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text`` to each row and drop the text column.
 
     A word is removed if a window over it has a word sequence that also starts earlier: in a document of
     smaller id, or earlier in the same one. Windows are judged on the input. ``kept_text`` is the other
-    words joined by single spaces. Whole texts are read, all windows are counted.
+    words joined by single spaces; with ``leave_whole`` a text of which nothing is removed stays as it is,
+    null included. Whole texts are read, all windows are counted.
 
     A null text has no words. A row without a doc_id is returned with nothing removed and is no earlier
     place for others. Rows that repeat a doc_id share its places: a window at the same id and start is the
@@ -195,44 +358,39 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     replaced; an empty table gives an empty result.
     """
     df = df.drop("n_words", "n_removed", "kept_text")
-    homes = _odd(shuffle_partitions(df.sparkSession))
-    keyed = df.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_home", F.coalesce(_home(F.col("_doc"), homes), F.pmod(F.xxhash64(text), F.lit(homes)).cast("int")))
+    parts = shuffle_partitions(df.sparkSession)
+    homes = _odd(4 * parts)
     places = repeated_windows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width, homes)
     names = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-
-    def clean(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        starts_of: dict[int, list] = {}
-        for docs, counts, starts in zip(found["docs"], found["counts"], found["starts"]):
-            places_, at = np.frombuffer(starts, "<u4"), 0
-            for doc, count in zip(np.frombuffer(docs, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist()):
-                starts_of.setdefault(doc, []).append(places_[at : at + count])
-                at += count
-        words_, removed, kept = [], [], []
-        for doc, value in zip(rows["_doc"], rows[text]):
-            n, gone, left = _cut(value, starts_of.get(int(doc)) if not pd.isna(doc) else None, width)
-            words_.append(n)
-            removed.append(gone)
-            kept.append(left)
-        return rows[names].assign(n_words=words_, n_removed=removed, kept_text=kept)
-
-    return keyed.groupBy("_home").cogroup(places.groupBy("home")).applyInPandas(clean, schema)
-
-
-def _cut(text: str | None, starts: list | None, width: int) -> tuple[int, int, str]:
+    row = F.struct(F.lit(1).alias("_"), *names).alias("_row")
+    home = F.coalesce(_home(F.col(doc_id).cast("long"), homes), F.pmod(F.xxhash64(text), F.lit(homes)).cast("int")).alias("_home")
+    rows = _squeezed(df.select(row, F.col(doc_id).cast("long").alias("_doc"), home, F.col(text).alias("_text")), "_text")
+    schema = T.StructType([rows.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+
+    def clean(batches):
+        for batch, visited in _visits(batches):
+            made = [_cut(value, found, width, leave_whole) for value, found in visited]
+            if leave_whole:
+                empty = [z is None for z in batch.column(6).to_pylist()]
+                made = [(*m[:2], None) if e else m for m, e in zip(made, empty)]
+            counted, removed, kept = zip(*made)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_row")), pa.array(counted, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+
+    out = _at_home(places, rows, parts).mapInArrow(clean, schema)
+    return out.select(*(F.col("_row")[c].alias(c) for c in names), "n_words", "n_removed", "kept_text")
+
+
+def _cut(text: bytes, starts: np.ndarray | None, width: int, leave_whole: bool) -> tuple[int, int, str]:
     """Number of words, of removed ones, and the rest's text; overlapping windows merge first."""
-    data = (text or "").encode()
-    words = data.translate(None).split()  # bytes.split takes exactly space and 9 to 13 as white space
-    if not starts:
-        return len(words), 0, b" ".join(words).decode()
+    words = text.split()
+    whole = lambda: (text if leave_whole else b" ".join(words)).decode()
+    if starts is None:
+        return len(words), 0, whole()
     depth = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.concatenate(starts))
-    at = at[at <= len(words) - width]
+    at = starts[starts <= len(words) - width]
     np.add.at(depth, at, 1)
     np.add.at(depth, at + width, -1)
     gone = np.cumsum(depth[:-1]) > 0
+    if not gone.any():
+        return len(words), 0, whole()
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -1,15 +1,23 @@
 """Words of UTF-8 texts as 64-bit hashes, computed for a whole Arrow batch at a time.
 
 A word is a maximal run of bytes other than space and the control characters 9 to 13. All of these are
-single bytes in UTF-8, so words can be found without decoding.
+single bytes in UTF-8, so words can be found without decoding. No hash here is a polynomial modulo a power
+of two over bytes, which texts could make collide whatever its constants.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Spans of more bytes than this are hashed by BLAKE2b, one by one.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Two primes below 2**31 and a base for each.
+_FIELDS = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_812_433_253))
 _BLOCK = 1 << 20
 
 
@@ -26,21 +34,6 @@ def salted(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BYTE = salted(11, 256)
-_POWER = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to exponent n."""
-    if len(_POWER[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            grown = np.full(size, base, _U)
-            grown[0] = 1
-            _POWER[k] = np.cumprod(grown, dtype=_U)
-    return _POWER[0], _POWER[1]
-
-
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """The bytes with A to Z in lower case."""
     upper = (data >= 65) & (data <= 90)
@@ -62,20 +55,22 @@ def spans(apart: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span's bytes, from running sums over blocks of bounded size."""
-    out = np.empty(len(starts), _U)
-    at = 0
+    """A 64-bit hash of each span's bytes: eight bytes at a time, each mixed in after the last."""
+    sizes = ends - starts
+    aligned = np.zeros(len(data) // 8 + 2, "<u8")
+    aligned.view(np.uint8)[: len(data)] = data
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            low = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
-            high = int(ends[to - 1])
-            power, inverse = _powers(high - low)
-            total = np.zeros(high - low + 1, _U)
-            np.cumsum(_BYTE[data[low:high]] * power[: high - low], out=total[1:])
-            s, e = starts[at:to] - low, ends[at:to] - low
-            out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
-            at = to
+        out = mix(sizes.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(0x9E3779B97F4A7C15))
+        at, place, left = np.arange(len(starts)), starts, sizes
+        while len(at):
+            word, shift = place >> 3, ((place & 7) << 3).astype(_U)
+            piece = (aligned[word] >> shift) | (aligned[word + 1] << (_U(63) - shift) << _U(1))
+            out[at] = mix((out[at] ^ (piece & _MASKS[np.minimum(left, 8)])) * _U(0xFF51AFD7ED558CCD))
+            more = np.flatnonzero((left > 8) & (sizes[at] <= _SHORT))
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes > _SHORT):
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
     return out
 
 
@@ -97,17 +92,35 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
         return mix(out)
 
 
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate((out, out * _U(pow(base, len(out), prime)) % _U(prime)))
+    return out[:n]
+
+
+@lru_cache(maxsize=4)
+def _tables(width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    n = _BLOCK + width
+    return [(_powers(base, prime, n), _powers(pow(base, -1, prime), prime, n)) for prime, base in _FIELDS]
+
+
 def rolling_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hashes of all runs of ``width`` words, each from the one before by one step.
 
-    The running polynomial is taken modulo 2**64; the difference of two of its values, divided by the
-    power at the window's start, is the window's hash.
+    The difference of two values of the running polynomial, divided by the power at the window's start, is
+    the window's hash. One half of each word's hash goes through one prime, the other half through the other.
     """
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    with np.errstate(over="ignore"):
-        power, inverse = _powers(len(words))
-        total = np.zeros(len(words) + 1, _U)
-        np.cumsum(words * power[: len(words)], out=total[1:])
-        return mix((total[width:] - total[:-width]) * inverse[:n])
+    n = max(0, len(words) - width + 1)
+    out = np.empty(n, _U)
+    for at in range(0, n, _BLOCK):
+        part = words[at : at + _BLOCK + width - 1]
+        m = len(part) - width + 1
+        joined = np.zeros(m, _U)
+        for (prime, _), (power, inverse), half in zip(_FIELDS, _tables(width), (part >> _U(33), part & _U(2**31 - 1))):
+            total = np.zeros(len(part) + 1, _U)
+            np.cumsum(half * power[: len(part)] % _U(prime), out=total[1:])
+            joined = joined << _U(31) | (total[width:] - total[:-width]) % _U(prime) * inverse[:m] % _U(prime)
+        with np.errstate(over="ignore"):
+            out[at : at + m] = mix(joined)
+    return out

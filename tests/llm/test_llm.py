@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from kinfold.llm import ann, byte_bpe, components, minhash, packing, quality, sharding, substrings, token_counts, url_filter, warc, words  # noqa: E402
+from kinfold.llm import ann, byte_bpe, minhash, packing, quality, sharding, substrings, token_counts, url_filter, warc, words  # noqa: E402
 from kinfold.llm.queries import PACK_RANKS, PACK_SPECIAL, RULES  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,12 +188,6 @@ def test_chain_of_links_and_large_bucket(spark, monkeypatch):
     assert got == {k: c for k, (_, c) in brute_components(chain).items()}
 
 
-def test_components_of_a_long_path(spark):
-    pairs = [(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5), (None, 7)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000}
-
-
 def test_min_max_estimates_similarity():
     draw = np.random.default_rng(1)
     pool = words.mix(draw.integers(0, 2**63, 1200).astype(np.uint64))
@@ -402,7 +396,7 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and kept.join(docs, docs.columns, "left_anti").isEmpty()
     deduped = corpus_pipeline.near_dedup(spark, kept, "").cache()
     pairs = [(r.doc_id, r.text) for r in kept.collect()]
-    want = {k for k, (_, c) in brute_sparse(pairs).items() if k == c}
+    want = {k for k, (_, c) in brute_sparse(pairs, corpus_pipeline.NEAR_PERCENT).items() if k == c}
     assert {r.doc_id for r in deduped.collect()} == want
     cut = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, deduped, "").collect()}
     rows = [(r.doc_id, r.text) for r in deduped.collect()]
@@ -414,7 +408,7 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == set(cut)
 
 
-def brute_sparse(docs):
+def brute_sparse(docs, percent=85):
     """As brute_components, by way of shared shingles."""
     sets = {k: shingles(t) for k, t in docs}
     root = {k: k for k in sets}
@@ -428,7 +422,7 @@ def brute_sparse(docs):
     for k in sorted(sets):
         common = Counter(j for s in sets[k] for j in index.get(s, ()))
         for j, both in common.items():
-            if 100 * both >= 85 * (len(sets[k]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
                 a, b = find(j), find(k)
                 root[max(a, b)] = min(a, b)
         for s in sets[k]:
