@@ -359,7 +359,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """
     df = df.drop("n_words", "n_removed", "kept_text")
     parts = shuffle_partitions(df.sparkSession)
-    homes = _odd(4 * parts)
+    homes = _odd(parts)
     places = repeated_windows(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width, homes)
     names = [c for c in df.columns if c != text]
     row = F.struct(F.lit(1).alias("_"), *names).alias("_row")
