@@ -1,9 +1,16 @@
 """Quality rules: robust multivariate outliers among text statistics, per language and source.
 
 Each text gives a vector of transformed statistics. For every language and source, every language and the
-whole corpus, the minimum-covariance-determinant estimate is found by concentration steps: distances from
-the last estimate, then mean and covariance of the closer three quarters. A step is one aggregation over
-all rows into a bounded number of distance bins for each group, so a group may hold any share of the rows.
+whole corpus, the minimum-covariance-determinant estimate is sought from several starts by concentration steps
+(distances from the last estimate, then mean and covariance of the closer three quarters) until the determinant
+stops falling; the start with the least determinant counts. A step is one aggregation over all rows into a
+bounded number of distance bins for each group and start, so a group may hold any share of the rows.
+
+The statistics are counts, many of them zero, so a plain covariance of them may be singular. They are therefore
+taken as square roots of rates, whose counting noise is known: a quarter over the number of words, whatever the
+rate. Each row stands for a distribution of that variance around its vector, and the covariance of the closer
+rows is that of these distributions. A group's estimate is drawn towards its language's, and that towards the
+corpus's, the more the fewer rows it has.
 """
 
 from __future__ import annotations
@@ -19,14 +26,22 @@ from .words import hash_spans, mix, separators, spans, window_hashes
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The bytes of the symbols # * $ % & | < >
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
-#: Least standard deviations, so that a statistic that hardly varies doesn't reject small departures:
-#: length alone or a few repeated words leave a document in. Those of the repetition statistics leave the
-#: cutoff within the range that the base rules allow: either one alone can reject, from a gap of 3.2 on.
-FLOORS = (1.0, 0.1, 0.5, 0.5, 0.5)
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Words in a run of repeated words; a run, not each word, is counted as an event.
+RUN_WORDS = 4
+#: Counting noise of each coordinate: a variance of so much over the number of words.
+NOISE = (0.0, 0.25, 0.25, 0.25, 0.25)
+#: Variance of rounding, so that no matrix is singular.
+ROUNDING = 1e-9
+SHARE, STARTS, START_ROWS = 0.75, 3, 64
+#: Concentration goes on while a determinant's logarithm falls by more than this.
+FALL, MOST_STEPS = 1e-2, 30
+#: A group of so many rows counts half, and its parent's estimate the other half.
+HALF_ROWS = 20
 #: Squared distances beyond this are outliers: the chi-squared quantile for 5 degrees of freedom at 1 - 1e-7.
 CUTOFF = 40.9
 MEDIAN_CHI2 = 4.3515
+#: By how much the closest three quarters of a normal distribution in 5 dimensions have less variance than all of it.
+CONSISTENCY = 1.412
 _VALUES = tuple(f"_x{k}" for k in range(len(BASE)))
 _PAIRS = tuple((j, k) for j in range(len(BASE)) for k in range(j, len(BASE)))
 
@@ -100,50 +115,77 @@ def with_statistics(df: DataFrame, text: str = "text", keep_text: bool = False)
     return df.mapInArrow(run, schema).withColumn("base_failed", failed)
 
 
+def _words() -> Column:
+    return F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+
+
 def _vector() -> list[Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """Length (the square root of its logarithm, as lengths are more skewed than log-normal), log word length, and square roots of the rates of
+    symbols, repeated lines and runs of repeated words."""
+    words = _words()
+    rate = lambda events: F.sqrt((events + 0.375) / words)
     return [
-        F.log(words),
+        F.sqrt(F.log(words)),
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
-        F.log1p(100.0 * F.col("n_symbols") / words),
-        F.log1p(100.0 * F.col("n_dup_lines") / words),
-        F.log1p(100.0 * F.col("n_repeat_words") / words),
+        rate(F.col("n_symbols")),
+        rate(F.col("n_dup_lines")),
+        rate(F.col("n_repeat_words") / RUN_WORDS),
     ]
 
 
 def _levels(df: DataFrame, keys: list[str]) -> DataFrame:
     """Each row once for its full group and once for each shorter one; level 0 is the whole corpus."""
-    levels = F.array(*(F.struct(F.lit(n).alias("_level"), *((F.col(k) if i < n else F.lit(None).cast(df.schema[k].dataType)).alias(k) for i, k in enumerate(keys))) for n in range(len(keys) + 1)))
-    return df.select(F.explode(levels).alias("_g"), *_VALUES).select("_g", *_VALUES)
+    return df.select(F.explode(_groups(df, keys)).alias("_g"), *_VALUES, "_per")
+
 
+def _groups(df: DataFrame, keys: list[str]) -> Column:
+    level = lambda n: F.struct(F.lit(n).alias("_level"), *((F.col(k) if i < n else F.lit(None).cast(df.schema[k].dataType)).alias(k) for i, k in enumerate(keys)))
+    return F.array(*(level(n) for n in range(len(keys) + 1)))
 
-def _squared(mean: str = "mean", precision: str = "precision") -> Column:
-    """The squared Mahalanobis distance of the row's vector."""
-    gap = [F.col(v) - F.col(mean)[k] for k, v in enumerate(_VALUES)]
+
+def _squared(mean: str = "mean", precision: str = "precision", shrink: list[Column] | None = None) -> Column:
+    """The squared Mahalanobis distance of the row's vector, its gaps first multiplied by ``shrink``."""
+    gap = [(F.col(v) - F.col(mean)[k]) * (shrink[k] if shrink else 1.0) for k, v in enumerate(_VALUES)]
     n = len(BASE)
     return sum((F.col(precision)[j * n + k] * gap[j] * gap[k] * (1.0 if j == k else 2.0) for j, k in _PAIRS), F.lit(0.0))
 
 
+def _sums() -> list[Column]:
+    """The sums that give a group's mean and covariance, and its mean counting noise."""
+    return [
+        F.count("*").alias("_n"), F.sum("_per").alias("_per"), *(F.sum(v).alias(f"_f{k}") for k, v in enumerate(_VALUES)),
+        *(F.sum(F.col(_VALUES[j]) * F.col(_VALUES[k])).alias(f"_p{j}{k}") for j, k in _PAIRS),
+    ]
+
+
+_SUM_NAMES = ("_n", "_per", *(f"_f{k}" for k in range(len(BASE))), *(f"_p{j}{k}" for j, k in _PAIRS))
+
+
+def covariance(count: float, per: float, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance out of sums: that of the vectors, and the mean counting noise."""
+    n = len(BASE)
+    mean, cov = np.asarray(first) / count, np.zeros((n, n))
+    for (j, k), v in zip(_PAIRS, second):
+        cov[j, k] = cov[k, j] = v / count - mean[j] * mean[k]
+    # Rounding of sums may leave a variance slightly below 0.
+    cov[np.diag_indices(n)] = np.maximum(cov.diagonal(), 0)
+    return mean, cov + np.diag(np.array(NOISE) * per / count + ROUNDING)
+
+
 def _solve(sums: DataFrame) -> DataFrame:
-    """Mean and precision of each group out of its sums (one small row for each group)."""
+    """Mean, covariance, precision and log determinant of each group and start out of its sums (one small row for each)."""
     n = len(BASE)
 
-    @F.pandas_udf("struct<mean:array<double>,precision:array<double>>")
-    def solved(count: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        means, precisions = [], []
-        for c, f, s in zip(count, first, second):
-            mean = np.asarray(f) / c
-            cov = np.zeros((n, n))
-            for (j, k), v in zip(_PAIRS, s):
-                cov[j, k] = cov[k, j] = v / c - mean[j] * mean[k]
-            # The floor is added, not clipped, so the matrix stays positive definite.
-            precision = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-            means.append(mean)
-            precisions.append(precision.ravel())
-        return pd.DataFrame({"mean": means, "precision": precisions})
+    @F.pandas_udf("struct<mean:array<double>,cov:array<double>,precision:array<double>,logdet:double>")
+    def solved(count: pd.Series, per: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(count, per, first, second):
+            mean, cov = covariance(*row)
+            out.append((mean, cov.ravel(), np.linalg.inv(cov).ravel(), np.linalg.slogdet(cov)[1]))
+        return pd.DataFrame(out, columns=["mean", "cov", "precision", "logdet"])
 
-    out = sums.withColumn("_s", solved("_n", F.array(*(f"_f{k}" for k in range(n))), F.array(*(f"_p{j}{k}" for j, k in _PAIRS))))
-    return out.select("_g", "_rows", "_s.mean", "_s.precision")
+    out = sums.withColumn("_s", solved("_n", "_per", F.array(*(f"_f{k}" for k in range(n))), F.array(*(f"_p{j}{k}" for j, k in _PAIRS))))
+    return out.select("_g", "_start", "_rows", "_s.*")
 
 
 def _bin(squared: Column) -> Column:
@@ -151,65 +193,108 @@ def _bin(squared: Column) -> Column:
 
 
 def _concentrate(rows: DataFrame, squared: Column) -> DataFrame:
-    """Mean and precision of the closest ``SHARE`` of each group, by whole bins of the distance."""
-    n = len(BASE)
-    sums = [F.count("*").alias("_n"), *(F.sum(v).alias(f"_f{k}") for k, v in enumerate(_VALUES)), *(F.sum(F.col(_VALUES[j]) * F.col(_VALUES[k])).alias(f"_p{j}{k}") for j, k in _PAIRS)]
-    bins = rows.withColumn("_bin", _bin(squared)).groupBy("_g", "_bin").agg(*sums)
-    group = Window.partitionBy("_g")  # a bounded number of bins
+    """The estimate from the closest ``SHARE`` of each group (whole bins of the distance), for each start."""
+    bins = rows.withColumn("_bin", _bin(squared)).groupBy("_g", "_start", "_bin").agg(*_sums())
+    group = Window.partitionBy("_g", "_start")  # a bounded number of bins
     bins = bins.withColumn("_rows", F.sum("_n").over(group)).withColumn("_before", F.sum("_n").over(group.orderBy("_bin")) - F.col("_n"))
-    names = ["_n", *(f"_f{k}" for k in range(n)), *(f"_p{j}{k}" for j, k in _PAIRS)]
-    near = bins.where(F.col("_before") < SHARE * F.col("_rows")).groupBy("_g", "_rows").agg(*(F.sum(c).alias(c) for c in names))
-    return stored(_solve(near), "estimates")
+    near = bins.where(F.col("_before") < SHARE * F.col("_rows")).groupBy("_g", "_start", "_rows").agg(*(F.sum(c).alias(c) for c in _SUM_NAMES))
+    return _solve(near)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates: the middle and the quartiles of each statistic, and about ``START_ROWS`` rows at random for each other start."""
+    n = len(BASE)
+    each = rows.select("_g", "_per", F.posexplode(F.array(*_VALUES)).alias("_k", "_x")).groupBy("_g", "_k", F.floor(F.col("_x") * 256).alias("_b")).agg(F.count("*").alias("count"), F.sum("_per").alias("_per"))
+    group = Window.partitionBy("_g", "_k")
+    each = each.withColumn("_before", F.sum("count").over(group.orderBy("_b")) - F.col("count")).withColumn("_all", F.sum("count").over(group)).withColumn("_noise", F.sum("_per").over(group) / F.sum("count").over(group))
+    at = lambda share: F.min(F.when(F.col("_before") + F.col("count") >= share * F.col("_all"), F.col("_b"))) / 256
+    noise = F.element_at(F.array(*map(F.lit, NOISE)), F.col("_k") + 1) * F.first("_noise")
+    middle = each.groupBy("_g", "_k").agg(at(0.5).alias("m"), (F.pow((at(0.75) - at(0.25)) / 1.349, 2) + noise + ROUNDING).alias("v"), F.first("_all").alias("_all"))
+    pick = lambda name: [F.max(F.when(F.col("_k") == k, F.col(name))) for k in range(n)]
+    spread = pick("v")
+    diagonal = [1 / spread[j] if j == k else F.lit(0.0) for j in range(n) for k in range(n)]
+    middles = stored(middle.groupBy("_g").agg(F.array(*pick("m")).alias("mean"), F.array(*diagonal).alias("precision"), F.max("_all").alias("_all")), "middles")
+    first = middles.select("_g", F.lit(0).alias("_start"), "mean", "precision")
+    draw = F.explode(F.array(*(F.struct(F.lit(k).alias("_start"), F.pmod(F.xxhash64(*_VALUES, F.lit(k)), F.lit(1 << 30)).alias("_u")) for k in range(1, STARTS)))).alias("_d")
+    chance = F.least(F.lit(1.0), START_ROWS / F.col("_all")) * float(1 << 30)
+    few = rows.join(middles.select("_g", "_all"), "_g").select("_g", *_VALUES, "_per", "_all", draw).where(F.col("_d._u") < chance)
+    few = few.groupBy("_g", F.col("_d._start").alias("_start"), F.col("_all").alias("_rows")).agg(*_sums())
+    return stored(first.unionByName(_solve(few).select("_g", "_start", "mean", "precision")), "starts")
 
 
 def fit(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Estimates (``_g``, ``_rows``, mean, precision, ``_scale``) for each group of ``keys`` and each shorter one.
+    """One row for each group of ``keys``: the keys, ``_fit`` (mean, precision, spread, noise) and ``_rows``.
 
-    ``stats`` has the base statistics; rows with ``base_failed`` take no part. All other rows do.
+    ``stats`` has the base statistics; rows with ``base_failed`` take no part. All other rows do. Nulls in ``keys`` are
+    groups of their own; an empty table gives an empty result.
     """
-    rows = stored(_levels(stats.where(~F.col("base_failed")).select(*keys, *(x.alias(v) for v, x in zip(_VALUES, _vector()))), keys), "vectors")
-    # The first centre is the middle of each statistic, from bins of fixed width.
-    each = rows.select("_g", F.posexplode(F.array(*_VALUES)).alias("_k", "_x")).groupBy("_g", "_k", F.floor(F.col("_x") * 64).alias("_b")).count()
-    group = Window.partitionBy("_g", "_k")
-    each = each.withColumn("_before", F.sum("count").over(group.orderBy("_b")) - F.col("count")).withColumn("_all", F.sum("count").over(group))
-    at = lambda share: F.min(F.when(F.col("_before") + F.col("count") >= share * F.col("_all"), F.col("_b"))) / 64
-    middle = each.groupBy("_g", "_k").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("s"))
-    n = len(BASE)
-    pick = lambda name: [F.max(F.when(F.col("_k") == k, F.col(name))) for k in range(n)]
-    wide = middle.groupBy("_g").agg(F.array(*pick("m")).alias("mean"), F.array(*(F.greatest(x / 1.349, F.lit(f)) for x, f in zip(pick("s"), FLOORS))).alias("_s"))
-    start = stored(wide, "middles")
-    estimates = _concentrate(rows.join(start, "_g"), sum((F.pow((F.col(v) - F.col("mean")[k]) / F.col("_s")[k], 2) for k, v in enumerate(_VALUES)), F.lit(0.0)))
-    for _ in range(STEPS - 1):
-        estimates = _concentrate(rows.join(estimates, "_g"), _squared())
-    # Scale so that half of the rows are within the distance half of a normal distribution is; never narrower.
-    binned = rows.join(estimates, "_g").groupBy("_g", _bin(_squared()).alias("_b")).count()
+    fitted = stats.where(~F.col("base_failed")).select(*keys, *(x.alias(v) for v, x in zip(_VALUES, _vector())), (1 / _words()).alias("_per"))
+    rows = stored(_levels(fitted, keys), "vectors")
+    best = stored(_concentrate(rows.join(_starts(rows), "_g"), _squared()), "estimates")
+    for _ in range(MOST_STEPS):
+        now = _concentrate(rows.join(best.select("_g", "_start", "mean", "precision"), "_g"), _squared())
+        old = best.select("_g", "_start", F.struct("logdet", "_rows", "mean", "cov", "precision").alias("_old"))
+        both = now.select("_g", "_start", F.struct("logdet", "_rows", "mean", "cov", "precision").alias("_new")).join(old, ["_g", "_start"])
+        fell = F.col("_new.logdet") < F.col("_old.logdet") - FALL
+        both = stored(both.select("_g", "_start", F.when(fell, F.col("_new")).otherwise(F.col("_old")).alias("_e"), fell.alias("_fell")), "steps")
+        best = both.select("_g", "_start", "_e.*")
+        if both.where("_fell").isEmpty():
+            break
+    chosen = best.groupBy("_g").agg(F.min_by(F.struct("_rows", "mean", "cov", "precision"), F.struct("logdet", "_start")).alias("_e")).select("_g", "_e.*")
+    chosen = stored(chosen, "chosen")
+    # The consistency factor: that of a normal distribution, or more where half of the rows need more.
+    binned = rows.join(chosen, "_g").groupBy("_g", _bin(_squared()).alias("_b")).agg(F.count("*").alias("count"))
     group = Window.partitionBy("_g")
     binned = binned.withColumn("_before", F.sum("count").over(group.orderBy("_b")) - F.col("count")).withColumn("_all", F.sum("count").over(group))
     median = binned.groupBy("_g").agg(F.min(F.when(F.col("_before") + F.col("count") >= 0.5 * F.col("_all"), F.col("_b"))).alias("_b"))
-    scale = F.greatest(F.pow(F.lit(2.0), (F.col("_b") + 1) / 8) / MEDIAN_CHI2, F.lit(1.0))
-    return stored(estimates.join(median.select("_g", scale.alias("_scale")), "_g"), "fitted")
-
-
-def judge(stats: DataFrame, estimates: DataFrame, keys: list[str], cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+    noise = rows.groupBy("_g").agg(F.avg("_per").alias("_noise"))
+    scaled = chosen.join(median.select("_g", F.greatest(F.pow(F.lit(2.0), (F.col("_b") + 1) / 8) / MEDIAN_CHI2, F.lit(CONSISTENCY)).alias("_scale")), "_g").join(noise, "_g")
+    return stored(_blend(scaled, keys), "fitted")
+
+
+def _blend(estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """Each full group's estimate, drawn at every level towards that of the shorter group before."""
+
+    @F.pandas_udf("struct<mean:array<double>,cov:array<double>,noise:double>")
+    def blended(rows: pd.Series, mean: pd.Series, cov: pd.Series, scale: pd.Series, noise: pd.Series, above: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, m, c, s, e, am, ac, ae in zip(rows, mean, cov, scale, noise, above["mean"], above["cov"], above["noise"]):
+            m, c, am, ac = np.asarray(m), np.asarray(c) * s, np.asarray(am), np.asarray(ac)
+            w = n / (n + HALF_ROWS)
+            out.append((w * m + (1 - w) * am, w * c + (1 - w) * ac, w * e + (1 - w) * ae))
+        return pd.DataFrame(out, columns=["mean", "cov", "noise"])
+
+    @F.pandas_udf("array<double>")
+    def inverse(cov: pd.Series) -> pd.Series:
+        n = len(BASE)
+        return pd.Series([np.linalg.inv(np.asarray(c).reshape(n, n)).ravel() for c in cov])
+
+    top = estimates.where("_g._level = 0")
+    found = top.select(F.struct("mean", F.transform("cov", lambda x: x * F.col("_scale")).alias("cov"), F.col("_noise").alias("noise")).alias("_up"), F.col("_rows").alias("_n"))
+    for level in range(1, len(keys) + 1):
+        own = estimates.where(F.col("_g._level") == level).select(*(F.col(f"_g.{k}").alias(k) for k in keys[:level]), "_rows", "mean", "cov", "_scale", "_noise")
+        shorter = found.select(*(F.col(k).alias(f"_on_{k}") for k in keys[: level - 1]), "_up")
+        joined = own.join(shorter, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys[: level - 1]]) if level > 1 else own.join(F.broadcast(shorter), F.lit(True))  # a single row
+        found = joined.select(*keys[:level], blended("_rows", "mean", "cov", "_scale", "_noise", "_up").alias("_up"), F.col("_rows").alias("_n"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(len(BASE) - 1)), lambda k: F.element_at("_up.cov", (k * (len(BASE) + 1) + 1).cast("int")))
+    return found.select(*keys, F.struct(F.col("_up.mean").alias("mean"), inverse("_up.cov").alias("precision"), spread.alias("spread"), F.col("_up.noise").alias("noise")).alias("_fit"), F.col("_n").alias("_rows"))
+
+
+def judge(stats: DataFrame, estimates: DataFrame, keys: list[str], cutoff: float = CUTOFF) -> DataFrame:
     """Add ``distance`` (squared, null if not measured) and ``kept`` to rows with base statistics.
 
-    A row is measured against its own group if at least ``least_rows`` rows were fitted there, else
-    against the next shorter group that has as many; the whole corpus serves whatever its size. Nulls in
-    ``keys`` are groups of their own. ``kept`` is false for ``base_failed`` and beyond the cutoff.
+    A row is measured against the estimate of its own group of ``keys``. Gaps of a text shorter than the
+    group's usual ones shrink by its greater counting noise. Nulls in ``keys`` are groups of their own. ``kept``
+    is false for ``base_failed`` and beyond the cutoff.
     """
     names = [c for c in stats.columns if c not in ("distance", "kept")]
     out = stats.select(*names, *(x.alias(v) for v, x in zip(_VALUES, _vector())))
-    best = F.lit(None)
-    for level in range(len(keys) + 1):
-        fitted = estimates.where((F.col("_g._level") == level) & ((F.col("_rows") >= least_rows) | F.lit(level == 0)))
-        fitted = fitted.select(*(F.col(f"_g.{k}").alias(f"_key_{k}") for k in keys[:level]), F.struct("mean", "precision", "_scale").alias(f"_fit{level}"))
-        on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys[:level]]
-        out = out.join(fitted, on, "left") if on else out.join(F.broadcast(fitted), F.lit(True), "left")  # a single row
-        out = out.drop(*(f"_key_{k}" for k in keys[:level]))
-        best = F.coalesce(F.col(f"_fit{level}"), best)
-    out = out.withColumn("_fit", best)
-    distance = F.when(~F.col("base_failed"), _squared("_fit.mean", "_fit.precision") / F.col("_fit._scale"))
-    out = out.withColumn("distance", distance)
+    fitted = estimates.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_fit")
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    out = out.join(fitted, on, "left") if on else out.join(F.broadcast(fitted), F.lit(True), "left")  # a single row
+    more = F.greatest(1 / _words() - F.col("_fit.noise"), F.lit(0.0))
+    shrink = [F.sqrt(F.col("_fit.spread")[k] / (F.col("_fit.spread")[k] + noise * more)) for k, noise in enumerate(NOISE)]
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _squared("_fit.mean", "_fit.precision", shrink)))
     return out.select(*names, "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))).alias("kept"))
 
 

@@ -251,27 +251,6 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert quality.judge(empty, quality.fit(empty, ["lang", "source"]), ["lang", "source"]).count() == 0
 
 
-def test_estimate_matches_numpy(spark):
-    """One level's estimate against the same concentration steps in numpy."""
-    draw = np.random.default_rng(4)
-    rows = [(int(n), int(n * c), int(s), int(l), int(r), False) for n, c, s, l, r in zip(draw.integers(50, 900, 400), draw.uniform(4, 7, 400), draw.integers(0, 30, 400), draw.integers(0, 3, 400), draw.integers(0, 20, 400))]
-    stats = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
-    got = quality.fit(stats, []).first()
-    a = np.array([r[:5] for r in rows], float)
-    w = np.maximum(a[:, 0], 1)
-    x = np.stack([np.log(w), np.log(np.maximum(a[:, 1], 1) / w), *(np.log1p(100 * a[:, k] / w) for k in (2, 3, 4))], 1)
-    b = np.floor(x * 64)
-    at = lambda q: np.array([np.sort(b[:, k])[int(np.ceil(q * 400)) - 1] for k in range(5)]) / 64
-    d = (((x - at(0.5)) / np.maximum((at(0.75) - at(0.25)) / 1.349, quality.FLOORS)) ** 2).sum(1)
-    for _ in range(quality.STEPS):
-        bins = np.floor(8 * np.log2(np.maximum(d, 2.0**-20)))
-        near = np.array([(bins < v).sum() < 0.75 * 400 for v in bins])
-        mean = x[near].mean(0)
-        inverse = np.linalg.inv(np.cov(x[near].T, bias=True) + np.diag(np.square(quality.FLOORS)))
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    assert np.allclose(got["mean"], mean) and np.allclose(got["precision"], inverse.ravel())
-
-
 def test_token_counts(spark):
     spm = pytest.importorskip("sentencepiece")
     path = P.path("piece_bpe_32k.model")
