@@ -5,8 +5,8 @@ put in the order of a Hilbert curve. Spark sorts and numbers each ordering by ra
 candidates are the rows within a window around its own place in every ordering; they are scored on the
 original vectors, and the windows' best merge.
 
-Equal vectors are one class with its few smallest ids, so a vector that many rows share is one row in the
-orderings and one task never holds its group.
+Equal vectors are one class (of a 128-bit digest) with its few smallest ids, so a vector that many rows share is
+one row in the orderings and one task never holds its group.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .sharding import number_rows
 ORDERINGS, DIMENSIONS, BITS, BLOCK = 8, 4, 15, 2048
 #: Share of all rows in a window, both sides together.
 SHARE = 0.2
-_U = np.uint64
+#: More than rounding can move a cosine that a matrix product gives.
+MARGIN = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,7 +76,7 @@ def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["vec_id", "length", "vec"])
 
     packed = good.mapInArrow(pack, "vec_id long, length int, vec binary")
-    return packed.withColumn("cid", F.xxhash64("vec"))
+    return packed.withColumn("cid", F.unhex(F.md5("vec")))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 0, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, share: float = SHARE) -> DataFrame:
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
                 key = hilbert_keys((cells * ((1 << bits) - 1)).astype(np.int64), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, o, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["o", "key", "cid", "asks"])
 
-    ordered = classes.select("cid", "asks", "vec").mapInArrow(keys, "o int, key long, cid long, asks boolean")
+    ordered = classes.select("cid", "asks", "vec").mapInArrow(keys, "o int, key long, cid binary, asks boolean")
     numbered, rows = number_rows(ordered, ["o", "key", "cid"])
     n = rows // orderings
     half = max(math.ceil(share * n / 2), min(n, BLOCK // 4))
@@ -128,7 +129,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     vec = classes.select("cid", "vec", F.col("ids")[0].alias("least"))
     data = numbered.select("o", at(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "cid").join(vec, "cid")
     near = F.sequence(F.greatest(at(F.col("place") - half), F.lit(0)), F.least(at(F.col("place") + half), F.lit(last)))
-    asked = numbered.where("asks").select("o", F.explode(near).alias("block"), F.pmod("cid", F.lit(chunks)).cast("int").alias("chunk"), "cid").join(classes.select("cid", "vec"), "cid")
+    asked = numbered.where("asks").select("o", F.explode(near).alias("block"), F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int").alias("chunk"), "cid").join(classes.select("cid", "vec"), "cid")
 
     def score(rows_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         names = ["qid", "cid", "least", "score"]
@@ -136,15 +137,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
             return pd.DataFrame(columns=names)
         x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), length) for t in (rows_, asked_.rename(columns={"q_vec": "vec"})))
         nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        most = min(len(x), k + 4)
-        close = (q / nq[:, None]) @ (x / nx[:, None]).T
-        best = np.argpartition(-close, most - 1, axis=1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-        exact = (q[:, None, :] * x[best]).sum(2) / (nq[:, None] * nx[best])
-        flat = best.ravel()
-        return pd.DataFrame({"qid": np.repeat(asked_["q_cid"].to_numpy(), most), "cid": rows_["cid"].to_numpy()[flat], "least": rows_["least"].to_numpy()[flat], "score": exact.ravel()})
+        least, most = rows_["least"].to_numpy(), min(len(x), k + 1)
+        out: dict[str, list] = {name: [] for name in names}
+        for start in range(0, len(q), 64):
+            part = slice(start, start + 64)
+            near = (q[part] / nq[part, None]) @ (x / nx[:, None]).T
+            edge = -np.partition(-near, most - 1, axis=1)[:, most - 1]
+            # All rows within rounding of the edge are scored exactly, so no tie is decided here but by id.
+            for row, at in enumerate(near >= edge[:, None] - MARGIN, start):
+                at = np.flatnonzero(at)
+                exact = (q[row] * x[at]).sum(1) / (nq[row] * nx[at])
+                best = np.lexsort((least[at], -exact))[:most]
+                out["qid"].extend([asked_["q_cid"].iat[row]] * len(best))
+                out["cid"].extend(rows_["cid"].to_numpy()[at[best]])
+                out["least"].extend(least[at[best]].tolist())
+                out["score"].extend(exact[best].tolist())
+        return pd.DataFrame(out)
 
     asked = asked.select("cid", "o", "block", "chunk", "vec").toDF("q_cid", "q_o", "q_block", "q_chunk", "q_vec")
-    found = data.groupBy("o", "block", "chunk").cogroup(asked.groupBy("q_o", "q_block", "q_chunk")).applyInPandas(score, "qid long, cid long, least long, score double")
+    found = data.groupBy("o", "block", "chunk").cogroup(asked.groupBy("q_o", "q_block", "q_chunk")).applyInPandas(score, "qid binary, cid binary, least long, score double")
     order = [F.desc("score"), "least"]
     top = found.distinct().withColumn("_k", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_k") <= k + 1)
     ids = top.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
