@@ -88,6 +88,7 @@ class Transducer:
         self.starts = {p[:k] for p in pieces for k in range(1, len(p))}
         self.apart: dict[tuple[str | None, str], bool] = {}
         self.known: dict[str, int] = {}
+        self.single: dict[str, int] = {}
         self.longest_run = max(map(len, runs), default=1)
         self.run_counts = [0, *(len(self.merge(SPACE * k)) for k in range(1, 4 * self.longest_run + 1))]
         if any(self.run_counts[k + self.longest_run] != self.run_counts[k] + 1 for k in range(self.longest_run, 3 * self.longest_run + 1)):
@@ -232,16 +233,30 @@ class Transducer:
                 self.known[word] = found
         return found
 
-    def _closed(self, text: str) -> tuple[int, int, int, int | None]:
+    def _behind_single_spaces(self, words: list[str]) -> int:
+        """Tokens of all these words, each behind one space."""
+        found = list(map(self.single.get, words))
+        if None in found:
+            for k, count in enumerate(found):
+                if count is None:
+                    found[k] = self.chunk(1, self.word(words[k]))
+                    if len(self.single) < self.most * 2 and len(words[k]) < 60:
+                        self.single[words[k]] = found[k]
+        return sum(found)
+
+    def _closed(self, text: str, with_state: bool = True) -> tuple[int, int, int, int | None]:
         """Of text from a space on: tokens of its chunks but the last one; the last one's spaces, total and state."""
         if "  " not in text:
             *words, last = text[1:].split(" ")
-            between, spaces = sum(self.chunk(1, t) for t in map(self.word, words)), 1
+            between, spaces = self._behind_single_spaces(words), 1
         else:
             *chunks, (blank, last) = _CHUNK.findall(text)
             between, spaces = sum(self.chunk(len(b), self.word(w)) for b, w in chunks), len(blank)
         if not last:
             return between, spaces, 0, None
+        # What stands behind the last word matters to parts alone; a whole text needs its total.
+        if not with_state:
+            return between, spaces, self.word(last), None
         state, added = self.run(self.marked, last)
         return between, spaces, self.marked_count + _ALONE + added, state
 
@@ -249,7 +264,7 @@ class Transducer:
         """Tokens of a whole text; a space goes before a text that isn't empty."""
         if not text:
             return 0
-        between, spaces, total, _ = self._closed(" " + text.replace(SPACE, " "))
+        between, spaces, total, _ = self._closed(" " + text.replace(SPACE, " "), False)
         return between + self.chunk(spaces, total)
 
     def _key(self, state: int | None) -> str:
