@@ -38,7 +38,7 @@ class ChunkEncoder:
     word is one key whether or not a space goes before it in the text's first place.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], most: int = 200_000):
         self.encode_chunks, self.most = encode_chunks, most
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}

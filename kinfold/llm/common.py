@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,14 @@ def bounded_batches(batches, max_bytes: int = 2 << 20):
         rows = max(1, min(batch.num_rows, int(batch.num_rows * max_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can: a worker goes on to other operators."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from .common import bounded_batches, shuffle_partitions, small_batches, squeeze,
 from .words import hash_spans, rolling_hashes, separators, spans
 
 WINDOW_WORDS = 20
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: So many digests leave a task at a time.
 DIGESTS = 1 << 18
 _U = np.uint64

@@ -18,7 +18,7 @@ _SHORT = 64
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 #: Two primes below 2**31 and a base for each.
 _FIELDS = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_812_433_253))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
