@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys
+from ..storage import stored
 
 
 def score_of(result: str) -> Column:
@@ -16,20 +17,38 @@ def record_id(evaluation_id: Column, index: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", evaluation_id, index.cast("string")), 256), 1, 16)
 
 
+def _filled(*names: str) -> Column:
+    """The first of these that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+
+
 def explode_results(records: DataFrame) -> DataFrame:
-    """One row per named result: evaluation_id, source_config, result_index (its place among all results), name, dataset,
-    description, metric, model and harness names, and score. A record without an id gets a hash of its content.
+    """One row per named result: record, evaluation_id, source_config, result_index (its place among all results), name, dataset, model and
+    harness names, benchmark and metric (names as they are looked up), and score.
+
+    A record without a model is skipped. One without an id gets a hash of its config and model; ``record`` tells records
+    apart that share an id. The benchmark is the name without its metric. The metric is taken from the metric's name,
+    else its id, else the description. Both are worked out once for each distinct text.
     """
-    own = F.substring(F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256), 1, 16)
-    base = records.select(
-        F.coalesce("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id", own).alias("evaluation_id"), "source_config",
-        F.coalesce("model_info.id", "model_info.model_name", "model_info.name").alias("model_raw"), F.coalesce("eval_library.name", "eval_library.library_name").alias("harness_raw"), F.posexplode("evaluation_results").alias("result_index", "r"),
-    )
-    named = base.where("r.evaluation_name is not null and trim(r.evaluation_name) <> ''")
-    return named.select(
-        "evaluation_id", "source_config", "result_index", "model_raw", "harness_raw", F.col("r.evaluation_name").alias("name"), F.col("r.source_data.dataset_name").alias("dataset"),
-        F.coalesce("r.metric_config.metric_id", "r.metric_config.metric_name", keys.metric_phrase(F.col("r.metric_config.evaluation_description"))).alias("metric_raw"), score_of("r").alias("score"),
+    model = _filled("model_info.id", "model_info.model_name", "model_info.name")
+    own = F.concat("source_config", F.lit("/auto-"), F.substring(F.sha2(F.concat_ws(":", "source_config", "model_raw"), 256), 1, 12))
+    base = records.withColumn("model_raw", model).where("model_raw is not null").select(
+        F.md5(F.to_json(F.struct(*sorted(records.columns)))).alias("record"), F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
+        _filled("eval_library.name", "eval_library.library_name").alias("harness_raw"), F.posexplode("evaluation_results").alias("result_index", "r"),
     )
+    rows = stored(base.where("r.evaluation_name <> ''").select(
+        "record", "evaluation_id", "source_config", "result_index", "model_raw", "harness_raw", F.col("r.evaluation_name").alias("name"), F.col("r.source_data.dataset_name").alias("dataset"),
+        _filled("r.metric_config.metric_name", "r.metric_config.metric_id", "r.metric_config.evaluation_description").alias("_metric"), score_of("r").alias("score"),
+    ), "results")
+    names = rows.select("name").distinct().withColumn("benchmark_raw", keys.clean_name(F.col("name")))
+    metrics = rows.select("_metric").distinct().where("_metric is not null").withColumn("metric_raw", F.nullif(keys.metric_phrase(F.col("_metric")), F.lit("")))
+    return rows.join(names, "name").join(metrics, "_metric", "left").drop("_metric")
+
+
+def result_rows(records: DataFrame) -> DataFrame:
+    """The records' results with their parents, stored: mentions and facts are both taken from them."""
+    rows = explode_results(records)
+    return stored(rows.join(detect_parents(rows, "record"), ["record", "name"], "left"), "rows")
 
 
 def detect_parents(results: DataFrame, record: str = "evaluation_id", name: str = "name", dataset: str = "dataset", position: str = "result_index") -> DataFrame:
@@ -44,17 +63,15 @@ def detect_parents(results: DataFrame, record: str = "evaluation_id", name: str
 
 def mentions_of(results: DataFrame) -> DataFrame:
     """All mentions of result rows: raw_value, entity_type, source_config."""
-    kinds = [("model_raw", "model"), ("harness_raw", "harness"), ("name", "benchmark"), ("parent", "benchmark"), ("metric_raw", "metric")]
+    kinds = [("model_raw", "model"), ("harness_raw", "harness"), ("benchmark_raw", "benchmark"), ("parent", "benchmark"), ("metric_raw", "metric")]
     each = F.array(*(F.struct(F.col(c).alias("raw_value"), F.lit(k).alias("entity_type")) for c, k in kinds if c in results.columns))
     return results.select(F.explode(each).alias("m"), "source_config").select("m.*", "source_config").where("raw_value is not null")
 
 
-def flatten_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Fact rows: ids of model, harness, benchmark, parent and metric from ``resolved`` (mention key to canonical_id)."""
-    rows = explode_results(records)
-    rows = rows.join(detect_parents(rows), ["evaluation_id", "name"], "left").withColumn("_clean", keys.clean_name(F.col("name")))
+def flatten_records(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Fact rows out of ``result_rows``: ids of model, harness, benchmark, parent and metric from ``resolved`` (mention key to canonical_id)."""
     look = resolved.select(F.col("raw_value").alias("_raw"), F.col("entity_type").alias("_type"), F.col("source_config"), F.col("canonical_id").alias("_id")).distinct()
-    for column, kind, name in (("model_raw", "model", "model_id"), ("harness_raw", "harness", "harness_id"), ("name", "benchmark", "benchmark_id"), ("parent", "benchmark", "parent_benchmark_id"), ("metric_raw", "metric", "metric_id")):
+    for column, kind, name in (("model_raw", "model", "model_id"), ("harness_raw", "harness", "harness_id"), ("benchmark_raw", "benchmark", "benchmark_id"), ("parent", "benchmark", "parent_benchmark_id"), ("metric_raw", "metric", "metric_id")):
         hit = look.where(F.col("_type") == kind).select(F.col("_raw").alias(column), "source_config", F.col("_id").alias(name))
         rows = rows.join(hit, [column, "source_config"], "left")
     return rows.select(record_id(F.col("evaluation_id"), F.col("result_index")).alias("id"), "evaluation_id", "result_index", "source_config", "model_id", "harness_id", "benchmark_id", "parent_benchmark_id", "metric_id", "score")

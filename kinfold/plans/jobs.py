@@ -21,8 +21,7 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     All distinct mentions are resolved at once; what is left open gets drafts by match key, so spelling twins
     share one whatever the order of the records.
     """
-    rows = facts.explode_results(records)
-    rows = rows.join(facts.detect_parents(rows), ["evaluation_id", "name"], "left")
+    rows = facts.result_rows(records)
     mentions = facts.mentions_of(rows).distinct()
     # Distinct mentions are few beside the facts; all outputs read this one table.
     resolved = stored(match.resolve(mentions, aliases, rules=rules, **options))
@@ -33,7 +32,7 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     ids = made.select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d")).distinct()
     full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
     full = stored(full)
-    return {"facts": facts.flatten_records(records, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, "sync", "")}
+    return {"facts": facts.flatten_records(rows, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, "sync", "")}
 
 
 def build_registry(layers: DataFrame, org_map: DataFrame, scalars: list[str], unions: list[str]) -> dict[str, DataFrame]:

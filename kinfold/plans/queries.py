@@ -334,22 +334,28 @@ def org_attribution(spark, d):
 
 
 def records(spark, d):
+    """Orders as records: names carry metrics, metrics have names, ids or descriptions, some records lack an id or a model."""
     li = t(spark, d, "lineitem")
+    k, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    name = F.when(k == 3, None).when(k % 4 == 1, F.concat(flag, F.lit(" Score"))).when(k % 4 == 2, F.concat(F.lit("gaming."), flag)).when(k % 4 == 0, F.concat(flag, F.lit(" mean win rate"))).otherwise(flag)
     r = F.struct(
-        F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")).alias("evaluation_name"), F.struct(F.col("l_linestatus").alias("dataset_name")).alias("source_data"),
-        F.struct(nothing().alias("metric_name"), nothing().alias("metric_id"), F.lit("Accuracy on X").alias("evaluation_description")).alias("metric_config"),
+        name.alias("evaluation_name"), F.struct(F.col("l_linestatus").alias("dataset_name")).alias("source_data"),
+        F.struct(F.when(k % 5 == 1, "Win Rate").alias("metric_name"), F.when(k % 2 == 1, "bfcl.live.accuracy").otherwise("").alias("metric_id"), F.lit("Elo on X").alias("evaluation_description")).alias("metric_config"),
         F.struct(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")).alias("score")).alias("score_details"), nothing("double").alias("score"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_tax")).alias("value"), F.col("l_quantity").alias("result"),
     )
     per = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", r.alias("r")))), lambda x: x["r"]).alias("evaluation_results"))
     return per.select(
-        F.concat(F.lit("e"), "l_orderkey").alias("evaluation_id"), F.struct(nothing().alias("evaluation_id"), nothing().alias("id")).alias("source_metadata"), F.lit("cfg").alias("source_config"),
-        F.struct(F.concat(F.lit("model-"), F.col("l_orderkey") % 50).alias("id"), nothing().alias("model_name"), nothing().alias("name")).alias("model_info"), F.struct(F.lit("lib").alias("name"), nothing().alias("library_name"), nothing().alias("version")).alias("eval_library"), "evaluation_results",
+        F.when(F.col("l_orderkey") % 7 != 0, F.concat(F.lit("e"), "l_orderkey")).alias("evaluation_id"), F.struct(nothing().alias("evaluation_id"), nothing().alias("id")).alias("source_metadata"), F.lit("cfg").alias("source_config"),
+        F.struct(F.when(F.col("l_orderkey") % 50 != 0, F.concat(F.lit("model-"), F.when(F.col("l_orderkey") % 7 == 0, F.col("l_orderkey")).otherwise(F.col("l_orderkey") % 50))).alias("id"), nothing().alias("model_name"), nothing().alias("name")).alias("model_info"), F.struct(F.lit("lib").alias("name"), nothing().alias("library_name"), nothing().alias("version")).alias("eval_library"), "evaluation_results",
     )
 
 
 LINES = """
-    line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_returnflag END, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, CASE WHEN l_linenumber % 3 = 0 THEN l_tax END, l_quantity) - 1 AS i FROM lineitem),
-    named AS (SELECT 'e' || l_orderkey AS evaluation_id, i AS result_index, l_returnflag AS name, l_linestatus AS dataset,
+    line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_returnflag END, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, CASE WHEN l_linenumber % 3 = 0 THEN l_tax END, l_quantity) - 1 AS i FROM lineitem WHERE l_orderkey % 50 <> 0),
+    named AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'cfg/auto-' || substr(sha256('cfg:model-' || l_orderkey), 1, 12) ELSE 'e' || l_orderkey END AS evaluation_id, i AS result_index,
+        'model-' || CASE WHEN l_orderkey % 7 = 0 THEN l_orderkey ELSE l_orderkey % 50 END AS model, CASE WHEN l_linenumber % 5 = 1 THEN 'Win Rate' WHEN l_linenumber % 2 = 1 THEN 'Accuracy' ELSE 'Elo' END AS metric,
+        CASE l_linenumber % 4 WHEN 1 THEN l_returnflag || ' Score' WHEN 2 THEN 'gaming.' || l_returnflag WHEN 0 THEN l_returnflag || ' mean win rate' ELSE l_returnflag END AS name,
+        CASE l_linenumber % 4 WHEN 2 THEN 'gaming' ELSE l_returnflag END AS clean, l_linestatus AS dataset,
         coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, CASE WHEN l_linenumber % 3 = 0 THEN l_tax END, l_quantity) AS score FROM line WHERE l_linenumber <> 3),
     parent AS (SELECT evaluation_id, name, arg_max_null(p, result_index) AS parent FROM (
         SELECT *, CASE WHEN dataset IS NOT NULL AND count(*) OVER (PARTITION BY evaluation_id, dataset) > 1 THEN dataset END AS p FROM named) GROUP BY ALL)"""
@@ -360,14 +366,12 @@ def sub_categories(spark, d):
     return facts.detect_parents(facts.explode_results(records(spark, d)))
 
 
-@query(f"""WITH {LINES} SELECT substr(sha256(evaluation_id || ':' || result_index), 1, 16) AS id, evaluation_id, result_index, 'M-' || name AS benchmark_id, 'M-' || parent AS parent_benchmark_id, 'M-Accuracy' AS metric_id, score
+@query(f"""WITH {LINES} SELECT substr(sha256(evaluation_id || ':' || result_index), 1, 16) AS id, evaluation_id, result_index, 'M-' || model AS model_id, 'M-lib' AS harness_id, 'M-' || clean AS benchmark_id, 'M-' || parent AS parent_benchmark_id, 'M-' || metric AS metric_id, score
     FROM named LEFT JOIN parent USING (evaluation_id, name)""")
 def flatten_facts(spark, d):
-    rec = records(spark, d)
-    rows = facts.explode_results(rec)
-    m = facts.mentions_of(rows.join(facts.detect_parents(rows), ["evaluation_id", "name"], "left")).distinct()
-    resolved = m.withColumn("canonical_id", F.concat(F.lit("M-"), "raw_value"))
-    return facts.flatten_records(rec, resolved).select("id", "evaluation_id", "result_index", "benchmark_id", "parent_benchmark_id", "metric_id", "score")
+    rows = facts.result_rows(records(spark, d))
+    resolved = facts.mentions_of(rows).distinct().withColumn("canonical_id", F.concat(F.lit("M-"), "raw_value"))
+    return facts.flatten_records(rows, resolved).drop("source_config")
 
 
 @query("""WITH f AS (SELECT DISTINCT l_linestatus AS b, 'F' AS m FROM lineitem WHERE l_linestatus = 'O') SELECT l_orderkey, l_linenumber, CASE WHEN f.b IS NOT NULL THEN 'G' ELSE l_returnflag END AS metric_id, l_quantity * CASE WHEN f.b IS NOT NULL THEN 0.5 ELSE 1 END AS score
@@ -826,12 +830,18 @@ def registry_manifest(spark, d):
     return registry.manifest(rec).select("table", "rows")
 
 
-@query(f"""WITH {LINES} SELECT count(*) AS facts, count(DISTINCT evaluation_id) AS records, (SELECT count(DISTINCT 'model-' || (l_orderkey % 50)) + count(DISTINCT 'lib') FROM lineitem) + (SELECT count(DISTINCT n) FROM (SELECT name AS n FROM named UNION SELECT parent FROM parent WHERE parent IS NOT NULL)) + 1 AS drafts FROM named""")
+@query(f"""WITH {LINES} SELECT substr(sha256(evaluation_id || ':' || result_index), 1, 16) AS id, model AS model, clean AS benchmark, parent, metric, score, lower(replace(model, '-', ' ')) AS model_key, lower(metric) AS metric_key
+    FROM named LEFT JOIN parent USING (evaluation_id, name)""")
 def sync_job(spark, d):
+    """Each fact with the display names and match keys of the drafts it points at: nothing is known before the sync."""
     empty = spark.createDataFrame([], "raw_value string, entity_type string, source_config string, canonical_id string, status string, seq long")
     out = jobs.sync_records(records(spark, d), empty, spark.createDataFrame([], "id string, entity_type string"))
-    n = out["facts"].where("model_id is not null and benchmark_id is not null and metric_id is not null").agg(F.count("*").alias("facts"), F.count_distinct("evaluation_id").alias("records"))
-    return n.crossJoin(out["drafts"].agg(F.count("*").alias("drafts")))
+    made = out["aliases"].groupBy("entity_type", F.col("canonical_id").alias("_id")).agg(F.min("raw_value").alias("_raw"))
+    result = out["facts"]
+    for column, kind in (("model", "model"), ("benchmark", "benchmark"), ("parent_benchmark", "benchmark"), ("metric", "metric")):
+        one = made.where(F.col("entity_type") == kind).select(F.col("_id").alias(f"{column}_id"), F.col("_raw").alias(column))
+        result = result.join(one, f"{column}_id", "left")
+    return result.select("id", "model", "benchmark", F.col("parent_benchmark").alias("parent"), "metric", "score", keys.match_key(F.col("model")).alias("model_key"), keys.match_key(F.col("metric")).alias("metric_key"))
 
 
 @query("""SELECT p_type || '/' || replace(p_name, ' ', '-') AS id, count(*) AS n FROM part GROUP BY ALL""")
