@@ -38,6 +38,29 @@ TRAILING_METRICS = [
 ]
 
 
+#: Suffix tokens of model names and the edge each stands for (relationship, axis).
+SEGMENT_KINDS: dict[str, tuple[str, str | None]] = {
+    **dict.fromkeys(("instruct", "it", "chat", "base", "pt", "sft"), ("variant", "training_stage")),
+    **dict.fromkeys(("haiku", "sonnet", "opus", "mini", "nano", "micro", "flash", "pro", "small", "medium", "large", "lite"), ("variant", "tier")),
+    **dict.fromkeys(("thinking", "reasoning", "nothink", "guard", "safeguard", "moderation"), ("variant", "mode")),
+    **dict.fromkeys(("vision", "vl"), ("variant", "modality")),
+    **dict.fromkeys(("coder", "code", "math"), ("variant", "domain")),
+    **dict.fromkeys(("turbo", "fp8", "fp16", "bf16", "int4", "int8", "awq", "gptq", "gguf"), ("quantized", None)),
+}
+
+
+@dataclass(frozen=True)
+class CatalogueRules:
+    """Rule tables of catalogue ids; the defaults are fixed values. ``paths`` and ``prefixes`` are patterns, tried once each in order."""
+
+    paths: tuple[str, ...] = ("accounts/[^/]+/models/", "hf:", "@cf/", "clarifai/[^/]+/models/", "route/", "orcarouter/")
+    prefixes: tuple[str, ...] = ("databricks-", "azure-", "aws-", "openai-", "anthropic-", "ai21-", "stealth/")
+    regions: tuple[str, ...] = ("us", "eu", "jp", "au", "apac", "global")
+    hosts: tuple[str, ...] = ("amazon", "anthropic", "qwen", "meta", "google", "cohere", "ai21", "deepseek", "mistral")
+    serving: tuple[str, ...] = ("fast", "precision", "free", "maas", "tee")
+    variants: tuple[str, ...] = ("thinking", "think", "reasoner", "reasoning", "turbo", "fp8", "bf16", "int8", "awq", "gptq")
+
+
 def _sub(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, "(?U)" + pattern, to)
 
@@ -94,19 +117,60 @@ def signature(key: Column) -> Column:
     return F.concat_ws(" ", F.array_sort(F.filter(parts, lambda x: ~number(x))), F.filter(parts, number))
 
 
-def catalogue_key(c: Column, variants: Sequence[str] = (), serving: Sequence[str] = (), scaffolding: Sequence[str] = ()) -> Column:
-    """A provider's model id without host paths, serving tags, variants, dates, ``latest`` and trailing ``vN``.
+def catalogue_name(c: Column, rules: CatalogueRules | None = None, variants: bool = True) -> Column:
+    """A provider's model id as a name: without account paths, hosts, regions and serving tags, in lower case with dashes.
 
-    The lists are rule tables: ``scaffolding`` are prefixes, ``serving`` and ``variants`` tails.
+    ``variants`` also drops tails that name a variant (grouping wants that, aliases don't). A size behind a colon stays.
+    """
+    r = rules or CatalogueRules()
+    hosted = lambda x: F.regexp_replace(x, "^(?:(?:" + _quoted([*r.regions, *r.hosts]) + ")[.])+", "")
+    tails = "|".join([*r.serving, *(r.variants if variants else ())])
+    out = F.regexp_replace(F.trim(c), "^~+", "")
+    out = F.regexp_replace(out, "^" + "".join(f"(?:{x})?" for x in r.paths), "")
+    out = F.regexp_replace(F.replace(out, F.lit("--"), F.lit("/")), "^" + "".join(f"(?:{x})?" for x in r.prefixes), "")
+    out = F.lower(hosted(F.regexp_replace(hosted(out), "(?s)^.*/", "")))
+    out = F.regexp_replace(F.replace(out, F.lit("@default"), F.lit("")), r"@(\d{8})$", "-$1")
+    out = F.regexp_replace(F.regexp_replace(out, "@.*$", ""), r"-v\d+:\d+$", "")
+    out = F.regexp_replace(out, r":(\d+(?:\.\d+)?[bmkt])$", "-$1")
+    out = F.regexp_replace(out, f"(?::.*|-(?:{tails}))+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(\d)\.(\d)", "$1-$2"), r"[_\s]+", "-")
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"\(.*$", ""), "-+", "-"), F.lit("-"))
+
+
+def catalogue_key(c: Column, rules: CatalogueRules | None = None) -> Column:
+    """The model behind a provider's id: its catalogue name without ``latest`` (``old``, ``new``), dates and a trailing ``vN``."""
+    out = F.regexp_replace(catalogue_name(c, rules), "-(?:latest|old|new)$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"-\d{4}-\d{2}-\d{2}$", ""), r"-\d{2}-\d{2}$", "")
+    out = F.array_join(F.filter(F.split(out, "-"), lambda w: ~w.rlike(r"^(?:\d{8}|\d{6})$")), "-")
+    return F.regexp_replace(out, r"(?:^|-)v\d+$", "")
+
+
+def catalogue_signature(key: Column) -> Column:
+    """A catalogue key's words in sorted order, then its numbers (with a letter at most) in their own."""
+    parts = F.split(key, "-")
+    number = lambda w: w.rlike(r"^\d+[a-z]?$")
+    return F.concat(F.array_join(F.array_sort(F.filter(parts, lambda w: ~number(w))), "|"), F.lit("#"), F.array_join(F.filter(parts, number), "-"))
+
+
+def suffix_segments(c: Column, kinds: dict[str, tuple[str, str | None]] | None = None) -> Column:
+    """The parts of a name behind its family, left to right: an array of (token, relationship, axis).
+
+    Dots and underscores separate as dashes do. A date and ``vN-N`` are one token each; from the first unknown token on,
+    the rest is one version.
     """
-    tails = lambda words: "(?:[-:@](?:" + "|".join(words) + "))+$"
-    out = F.lower(F.trim(c))
-    if scaffolding:
-        out = F.regexp_replace(out, "^(?:(?:" + "|".join(scaffolding) + r")[/.])+", "")
-    for words in (serving, variants):
-        if words:
-            out = F.regexp_replace(out, tails(words), "")
-    return F.regexp_replace(out, r"(?:[-@:](?:\d{8}|\d{4}-\d{2}(?:-\d{2})?|latest|v\d+(?::\d+)?))+$", "")
+    kinds = SEGMENT_KINDS if kinds is None else kinds
+    size = r"\d+b|\d+x\d+b|a\d+b"
+    whole = "|".join([r"\d{4}-\d{2}-\d{2}", r"v\d+-\d+", r"\d{4}-\d{2}", r"v\d+", r"\d{8}", r"\d{3,4}", size, _quoted(list(kinds))])
+    norm = F.btrim(F.regexp_replace(F.lower(c), "[._]+", "-"), F.lit("-"))
+    found = F.regexp_extract_all(norm, F.lit(rf"\G-?((?:{whole})(?=-|$)|.+)"), F.lit(1))
+    edge = lambda r, a: F.struct(F.lit(r).cast("string").alias("relationship"), F.lit(a).cast("string").alias("axis"))
+    table = F.create_map(*(x for k, (r, a) in kinds.items() for x in (F.lit(k), edge(r, a))))
+
+    def typed(w: Column) -> Column:
+        e = F.coalesce(F.try_element_at(table, w), F.when(w.rlike(f"^(?:{size})$"), edge("variant", "size")), edge("variant", "version"))
+        return F.struct(w.alias("token"), e["relationship"].alias("relationship"), e["axis"].alias("axis"))
+
+    return F.transform(found, typed)
 
 
 def family_slug(c: Column) -> Column:

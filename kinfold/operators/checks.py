@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
-from . import graph
+from . import graph, match
 
 
 def unresolved(results: DataFrame) -> DataFrame:
@@ -76,6 +76,77 @@ def attested_mismatch(results: DataFrame) -> DataFrame:
     return results.where("strategy = 'attested' and lower(canonical_id) <> lower(raw_value)")
 
 
+def oracle_mismatch(results: DataFrame, truth: DataFrame, org_map: DataFrame, deny: DataFrame) -> DataFrame:
+    """(raw_value, fixed_id, canonical_id, problem): mentions that don't resolve to their known answer (truth: raw_value, fixed_id, status).
+
+    Names are compared with their case, orgs after mapping. A near miss that would change what is meant (see
+    ``match.guard_redirects``) must not be followed: it offends where it is.
+    """
+    fixed = truth.where("status in ('fixed_exact', 'fixed_near_miss')").select("raw_value", "fixed_id", "status").distinct()
+    near = fixed.where("status = 'fixed_near_miss'").select(F.col("raw_value").alias("raw"), F.col("fixed_id").alias("fixed"))
+    good = match.guard_redirects(near, deny, org_map).select(F.col("raw").alias("raw_value"), F.col("fixed").alias("fixed_id"), F.lit(True).alias("_good"))
+    out = fixed.join(good, ["raw_value", "fixed_id"], "left").join(results.select("raw_value", "canonical_id").distinct(), "raw_value", "left")
+    for side, c in (("_ro", "canonical_id"), ("_fo", "fixed_id")):
+        out = out.withColumn("name", F.lower(F.substring_index(c, "/", 1))).join(org_map, "name", "left").withColumn(side, F.lower(F.coalesce("org", "name"))).drop("name", "org")
+    leaf = lambda c: F.regexp_replace(c, "^[^/]*/", "")
+    name, org = leaf("canonical_id") == leaf("fixed_id"), F.col("_ro") == F.col("_fo")
+    refused = (F.col("status") == "fixed_near_miss") & F.col("_good").isNull()
+    problem = (
+        F.when(F.col("canonical_id").isNull(), "no match").when(refused, F.when(name & org, "bad redirect"))
+        .when(~name & ~org, "name and org").when(~name, "name").when(~org, "org")
+    )
+    return out.select("raw_value", "fixed_id", "canonical_id", problem.alias("problem")).where("problem is not null")
+
+
+def duplicated_by_slug(models: DataFrame, org_map: DataFrame) -> DataFrame:
+    """(org, name, real, slugs): real ids (``is_real``) and other ids of the same developer and name up to separators."""
+    name = F.regexp_replace(F.lower(F.regexp_replace("id", "^[^/]*/", "")), r"([a-z])[-_ /]+(\d)", "$1$2")
+    name = F.regexp_replace(F.regexp_replace(name, r"(\d)\.(\d)(?![bmkt])", "$1-$2"), "[-_ /]+", "-")
+    m = models.where("contains(id, '/')").select("id", "is_real", F.lower(F.substring_index("id", "/", 1)).alias("name"), name.alias("_n")).join(org_map, "name", "left")
+    found = m.groupBy(F.coalesce("org", "name").alias("org"), F.col("_n").alias("name")).agg(F.min(F.when(F.col("is_real"), F.col("id"))).alias("real"), F.count_if(~F.col("is_real")).alias("slugs"))
+    return found.where("real is not null and slugs > 0")
+
+
+def shadowing_mints(mints: DataFrame, real: DataFrame, org_map: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, target, tier): minted rows that would still fold onto a real id, but for allowed ids."""
+    out = match.decide_folds(mints, real, org_map)
+    return out if allowed is None else out.join(allowed.select("id"), "id", "left_anti")
+
+
+def hidden_lineage(results: DataFrame, models: DataFrame) -> DataFrame:
+    """(id, problem): models with parents, or a group or family above them, whose results (canonical_id, parents, ancestry) don't show it."""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    r = results.groupBy(F.col("canonical_id").alias("id")).agg(F.bool_or(~none("parents")).alias("_p"), F.bool_or(~none("ancestry")).alias("_a"))
+    m = models.where(~none("parents")).select("id", F.coalesce((F.col("model_family_id") != F.col("id")) | (F.col("model_group_id") != F.col("id")), F.lit(False)).alias("_up")).join(r, "id", "left")
+    shown = lambda c: F.coalesce(c, F.lit(False))
+    problems = F.array(F.when(~shown("_p"), "parents"), F.when(F.col("_up") & ~shown("_a"), "ancestry"))
+    return m.select("id", F.explode(F.filter(problems, lambda x: x.isNotNull())).alias("problem"))
+
+
+def unresolved_keys(external: DataFrame, resolved: DataFrame, own: str) -> DataFrame:
+    """External keys that nothing resolves, but for the router's own products (``own`` as the org part)."""
+    keys_ = external.where(~F.lower(F.ltrim("key", F.lit("~"))).startswith(own + "/")).select("key").distinct()
+    return keys_.join(resolved.where("canonical_id is not null").select(F.col("raw_value").alias("key")), "key", "left_anti")
+
+
+def foreign_prefixes(models: DataFrame, external: DataFrame, org_map: DataFrame) -> DataFrame:
+    """(id, org_id): ids whose org part isn't their developer's, after mapping; adopted external ids (``id``) may keep theirs.
+
+    A placeholder org part without an org passes; ids without an org part aren't judged here.
+    """
+    m = models.where("contains(id, '/')").join(external.select("id"), "id", "left_anti").select("id", "org_id", F.lower(F.substring_index("id", "/", 1)).alias("_p"))
+    for c, to in (("_p", "_a"), ("org_id", "_b")):
+        named = org_map.select(F.col("name").alias("_n"), F.col("org").alias(to))
+        m = m.withColumn("_n", F.lower(c)).join(named, "_n", "left").withColumn(to, keys.org_key(F.coalesce(to, c))).drop("_n")
+    fits = F.when(F.col("org_id").isNull(), F.col("_p").isin(*keys.PLACEHOLDER_ORGS)).otherwise(F.col("_a") == F.col("_b"))
+    return m.where(~fits).select("id", "org_id")
+
+
+def bare_ids(models: DataFrame, most: int) -> DataFrame:
+    """The number of ids without an org part, where it is over the ceiling."""
+    return models.where("not contains(id, '/')").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
 def lost_since(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of the earlier snapshot that are missing now."""
     return before.select(*columns).distinct().join(after.select(*columns), columns, "left_anti")

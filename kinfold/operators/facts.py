@@ -160,6 +160,11 @@ def list_entities(df: DataFrame, search: str | None = None, review_status: str |
     return out
 
 
+def with_developer(entities: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Add ``developer``: the display name of the entity's org, null where the org has no row."""
+    return entities.join(orgs.select(F.col("id").alias("org_id"), F.col("display_name").alias("developer")), "org_id", "left")
+
+
 def facts_of(df: DataFrame, model_id: str | None = None, benchmark_id: str | None = None, source_config: str | None = None) -> DataFrame:
     """Facts of a model, a benchmark or a config; the conditions reach the scan."""
     for column, value in (("model_id", model_id), ("benchmark_id", benchmark_id), ("source_config", source_config)):

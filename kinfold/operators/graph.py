@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import keys
 from ..storage import stored
 
 IDENTITY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode'))"
@@ -186,16 +187,17 @@ def immediate_parent(df: DataFrame) -> DataFrame:
     return df.withColumn("parent_canonical_id", F.get(F.filter("parents", lambda p: p["relationship"] == "variant"), F.lit(0))["id"])
 
 
-def family_chain(df: DataFrame, family: str, leaf: str, kinds: DataFrame) -> DataFrame:
-    """Nodes between a family and a member: (id, parent, relationship, axis, token), one for each token after the family.
+def family_chain(df: DataFrame, family: str, leaf: str, kinds: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
+    """Nodes between a family and its members: (id, parent, relationship, axis, token), one for each segment behind the family.
 
-    ``kinds`` (token, relationship, axis) types the edges; an unknown token is a version. Of nodes that several members
-    give, the one of the smallest member stays.
+    Members are compared with the family's dashed spelling, ids keep the family's own; a member without that prefix gives
+    nothing. ``kinds`` types the tokens (see ``keys.suffix_segments``). Of nodes that several members give, the one of the
+    smallest member stays.
     """
-    rest = F.filter(F.split(F.expr(f"substring({leaf}, length({family}) + 1)"), "-"), lambda t: t != "")
-    out = df.where(F.col(leaf).startswith(F.col(family))).select(F.col(family).alias("_f"), F.col(leaf).alias("_l"), rest.alias("_t"))
-    out = out.select("_f", "_l", "_t", F.posexplode("_t").alias("pos", "token"))
-    chain = lambda n: F.concat_ws("-", F.array("_f"), F.slice("_t", F.lit(1), n))
-    out = out.select("_l", "token", chain(F.col("pos") + 1).alias("id"), F.when(F.col("pos") == 0, F.col("_f")).otherwise(chain(F.col("pos"))).alias("parent"))
-    out = out.join(kinds, "token", "left").withColumn("axis", F.when(F.col("relationship").isNull(), "version").otherwise(F.col("axis"))).withColumn("relationship", F.coalesce("relationship", F.lit("variant")))
+    dashed = F.replace(F.col(family), F.lit("."), F.lit("-"))
+    out = df.select(F.col(family).alias("_f"), F.replace(F.col(leaf), F.lit("."), F.lit("-")).alias("_l"), F.concat(dashed, F.lit("-")).alias("_d")).where("startswith(_l, _d)")
+    out = out.withColumn("_t", keys.suffix_segments(F.expr("substring(_l, length(_d) + 1)"), kinds))
+    out = out.select("_f", "_l", "_t", F.posexplode("_t").alias("pos", "_s"))
+    chain = lambda n: F.concat_ws("-", F.col("_f"), F.slice(F.col("_t")["token"], F.lit(1), n))
+    out = out.select("_l", chain(F.col("pos") + 1).alias("id"), F.when(F.col("pos") == 0, F.col("_f")).otherwise(chain(F.col("pos"))).alias("parent"), "_s.*")
     return out.groupBy("id").agg(F.min_by(F.struct("parent", "relationship", "axis", "token"), "_l").alias("_n")).select("id", "_n.*")

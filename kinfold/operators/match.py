@@ -320,6 +320,30 @@ def guard_redirects(pairs: DataFrame, deny: DataFrame, org_map: DataFrame) -> Da
     return orgs_agree(out, "raw", "fixed", org_map, org_map.select(F.col("org").alias("id"))).where("agree").drop("agree")
 
 
+def defer_targets(groups: DataFrame, authority: DataFrame, org_map: DataFrame) -> DataFrame:
+    """(id, target): the attested repo that a catalogue group (id, org, forms) is, within its own developer; others are to be minted.
+
+    ``authority`` has fixed_id, status and seq; only rows fixed exactly or nearly count, of one name the first. A form is
+    compared by its last part, with and without a leading word that stands for the group's org. The shortest form that
+    hits decides (fewest words, then characters, then the alphabet). Groups without an org give nothing.
+    """
+    leaf = lambda c: keys.match_key(F.regexp_replace(c, "(?s)^.*/", ""))
+    real = authority.where("status in ('fixed_exact', 'fixed_near_miss') and contains(fixed_id, '/')")
+    real = real.withColumn("name", F.lower(F.substring_index("fixed_id", "/", 1))).join(org_map, "name", "left")
+    real = real.groupBy(F.coalesce("org", "name").alias("org"), keys.match_key(F.regexp_replace("fixed_id", "^[^/]*/", "")).alias("_k")).agg(F.min_by("fixed_id", F.struct("seq", "fixed_id")).alias("target"))
+    g = groups.where("org is not null").select("id", "org", F.explode(F.array_union(F.filter("forms", lambda x: x.isNotNull()), F.array("id"))).alias("_f")).withColumn("_k", leaf(F.col("_f")))
+    branded = g.withColumn("name", F.substring_index("_k", " ", 1)).join(org_map.withColumnRenamed("org", "_o"), "name").where("_o = org and contains(_k, ' ')")
+    names = g.select("id", "org", "_k").unionByName(branded.select("id", "org", F.regexp_replace("_k", "^[^ ]* ", "").alias("_k"))).where("_k <> ''")
+    spaces = F.length("_k") - F.length(F.replace("_k", F.lit(" "), F.lit("")))
+    return names.join(real, ["org", "_k"]).groupBy("id").agg(F.min_by("target", F.struct(spaces.alias("s"), F.length("_k").alias("l"), "_k")).alias("target"))
+
+
+def case_variants(names: DataFrame, entities: DataFrame, column: str = "raw_value") -> DataFrame:
+    """(column, id): the least entity id that equals a name up to case."""
+    ids = entities.groupBy(F.lower("id").alias("_k")).agg(F.min("id").alias("id"))
+    return names.select(column).distinct().withColumn("_k", F.lower(column)).join(ids, "_k").drop("_k")
+
+
 def stolen_forms(forms: DataFrame, owners: DataFrame) -> DataFrame:
     """Forms (form, id) that another id already owns, exactly or by match key; with ``owner``."""
     exact = owners.groupBy("form").agg(F.min("id").alias("_e"))

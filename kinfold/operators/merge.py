@@ -216,18 +216,25 @@ def nothing_removed(before: DataFrame, claimed: DataFrame, resolved: DataFrame)
     return out.withColumn("route", F.when(F.col("canonical_id").isNull(), "lost").when(F.col("strategy") == "fuzzy", "pinned").otherwise("fine"))
 
 
-def group_catalogue(records: DataFrame) -> DataFrame:
-    """Add ``grp``: the catalogue key; keys of one signature and a common family (or none) are one group, the least key."""
-    rows = records.withColumn("_key", keys.catalogue_key(F.col("model_id"))).withColumn("_sig", keys.signature(keys.catalogue_key(F.col("model_id"))))
-    links = rows.groupBy("_key", "_sig").agg(F.collect_set("family").alias("_fams"))
-    family = links.select("_key", "_sig", F.explode_outer("_fams").alias("_fam"))
-    # Keys meet through their signature and a family; keys without a family join the signature's least key.
-    named = family.where("_fam is not null").groupBy("_sig", "_fam").agg(F.min("_key").alias("b"))
-    pairs = family.join(named, ["_sig", "_fam"]).select(F.col("_key").alias("a"), "b")
-    least = links.groupBy("_sig").agg(F.min("_key").alias("b"))
-    pairs = pairs.unionByName(family.where("_fam is null").join(least, "_sig").select(F.col("_key").alias("a"), "b"))
-    comp = graph.components(pairs).withColumnRenamed("id", "_key")
-    return rows.join(comp, "_key", "left").withColumn("grp", F.coalesce("component", "_key")).drop("_key", "_sig", "component")
+def group_catalogue(records: DataFrame, rules: keys.CatalogueRules | None = None) -> DataFrame:
+    """Add ``grp``: the catalogue key, or the least key of its signature where their families meet.
+
+    In key order, a key joins the first one if it has a family in common with those that joined before, or either side has
+    none. Keys of one signature are orders of the same words, so the sorted list is short however many rows there are. Rows
+    with an empty key are left out.
+    """
+    rows = records.withColumn("_key", keys.catalogue_key(F.col("model_id"), rules)).where("_key <> ''")
+    each = rows.groupBy("_key").agg(F.collect_set(F.nullif("family", F.lit(""))).alias("fams"))
+    listed = each.groupBy(keys.catalogue_signature(F.col("_key")).alias("_sig")).agg(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), "fams"))).alias("all"))
+
+    def join(acc, x):
+        meets = (F.size(acc["fams"]) == 0) | (F.size(x["fams"]) == 0) | F.arrays_overlap(acc["fams"], x["fams"])
+        return F.when(meets, F.struct(F.array_union(acc["fams"], x["fams"]).alias("fams"), F.array_append(acc["members"], x["key"]).alias("members"))).otherwise(acc)
+
+    none = F.array().cast("array<string>")
+    first = F.struct(F.get("all", F.lit(0))["fams"].alias("fams"), none.alias("members"))
+    base = listed.where("size(all) > 1").select(F.col("all")[0]["key"].alias("_base"), F.aggregate("all", first, join)["members"].alias("members"))
+    return rows.join(base.select(F.explode("members").alias("_key"), "_base"), "_key", "left").withColumn("grp", F.coalesce("_base", "_key")).drop("_key", "_base")
 
 
 def pick_heads(groups: DataFrame) -> DataFrame:

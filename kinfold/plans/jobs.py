@@ -15,10 +15,11 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return match.enrich(match.resolve(mentions, aliases, **options), entities, fields)
 
 
-def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, rules: FuzzyRules | None = None, **options) -> dict[str, DataFrame]:
-    """Records to facts, drafts, draft aliases and log.
+def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, rules: FuzzyRules | None = None, known_facts: DataFrame | None = None, run_id: str = "sync", now: str = "", rerun: bool = False, **options) -> dict[str, DataFrame]:
+    """Records to facts, drafts, draft aliases, log and the run's summary.
 
-    All distinct mentions are resolved at once; what is left open gets drafts by match key, so spelling twins
+    ``known_facts`` are facts stored before: facts of the same id replace them, the others stay (``all_facts``). A rerun also
+    compares the stored aliases of the mentions with what they resolve to now (``refreshed``). All distinct mentions are resolved at once; what is left open gets drafts by match key, so spelling twins
     share one whatever the order of the records.
     """
     rows = facts.result_rows(records)
@@ -32,7 +33,14 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     ids = made.select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d")).distinct()
     full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
     full = stored(full)
-    return {"facts": facts.flatten_records(rows, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, "sync", "")}
+    out = {"facts": facts.flatten_records(rows, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, run_id, now)}
+    if known_facts is not None:
+        out["all_facts"] = changes.upsert(known_facts, out["facts"], now=now or None)
+    if rerun:
+        noted = aliases if "notes" in aliases.columns else aliases.withColumn("notes", F.lit(None).cast("string"))
+        out["refreshed"] = changes.refresh_aliases(match.compare_stored(noted, resolved.dropDuplicates(match.KEY)))
+    out["run"] = changes.run_summary(run_id, records, aliases, aliases.select("raw_value").unionByName(made.select("raw_value")), drafts, open_.where("false"), rerun)
+    return out
 
 
 def build_registry(layers: DataFrame, org_map: DataFrame, scalars: list[str], unions: list[str]) -> dict[str, DataFrame]:

@@ -521,13 +521,36 @@ def org_casing(spark, d):
     return out.select("p_partkey", "org_in", "org")
 
 
-@query("""WITH g AS (SELECT replace(p_name, ' ', '-') AS grp, * FROM part) SELECT grp, count(*) AS n, arg_max(f, c * 100000 - p) AS family FROM (SELECT grp, p_type AS f, count(*) AS c, min(p_partkey) AS p FROM g GROUP BY ALL) x JOIN (SELECT grp AS g2, count(*) AS n FROM g GROUP BY grp) ON g2 = grp GROUP BY grp, n""".replace("count(*) AS n, arg_max", "max(n) AS n, arg_max").replace("GROUP BY grp, n", "GROUP BY grp"))
-def catalogue_heads(spark, d):
+CATALOGUE = """
+    cat AS (SELECT p_partkey, split_part(p_name, ' ', 1) || '0' AS a, split_part(p_name, ' ', 2) AS b, CASE WHEN p_partkey % 3 <> 0 THEN 'fam-' || p_partkey % 5 END AS family FROM part),
+    keyed AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN a || '-' || b ELSE b || '-' || a END AS k FROM cat)"""
+
+
+def catalogue_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Provider rows: two words in either order, with a host, path or prefix in front and serving, variant or date tails."""
     p = t(spark, d, "part")
-    # All parts of a name share a provider family, so a key is a group.
-    rec = p.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 2 == 0, "-20250101").otherwise("-latest")).alias("model_id"), F.lit("one").alias("family"), "p_type", F.col("p_partkey").alias("pos"), F.lit("2025-01-01").alias("release_date"), F.lit(True).alias("open_weights"), F.col("p_type").alias("name"))
-    heads = merge.pick_heads(merge.group_catalogue(rec).withColumn("grp", keys.catalogue_key(F.col("model_id"))))
-    return heads.select("grp", "n", F.col("name").alias("family"))
+    n = F.col("p_partkey")
+    a, b = F.concat(F.substring_index("p_name", " ", 1), F.lit("0")), F.substring_index("p_name", " ", -1)
+    front = F.element_at(F.array(*map(F.lit, ("", "us.meta.", "accounts/x/models/", "hf:org/", "azure-", "org--"))), (n % 6 + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, ("", ":free", "-fast", "-turbo", "-20250101", "@20250101", "-2025-01-02", "-latest", "-v2", "-fp8:1024"))), (n % 10 + 1).cast("int"))
+    id_ = F.concat(front, F.when(n % 2 == 0, F.concat_ws("-", a, b)).otherwise(F.concat_ws("_", b, F.upper(a))), tail)
+    return p.select(n.alias("pos"), id_.alias("model_id"), F.when(n % 3 != 0, F.concat(F.lit("fam-"), n % 5)).alias("family"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 400).cast("int")), "yyyy-MM-dd").alias("release_date"), (F.col("p_size") > 45).alias("open_weights"), F.col("p_type").alias("name"))
+
+
+@query(f"WITH {CATALOGUE} SELECT p_partkey AS pos, k AS key FROM keyed")
+def catalogue_keys(spark, d):
+    return catalogue_rows(spark, d).select("pos", keys.catalogue_key(F.col("model_id")).alias("key"))
+
+
+@query(f"""WITH {CATALOGUE}, fams AS (SELECT a, b, k, list(DISTINCT family) FILTER (family IS NOT NULL) AS f FROM keyed GROUP BY ALL),
+    pair AS (SELECT x.k AS low, y.k AS high FROM fams x JOIN fams y ON x.a = y.a AND x.b = y.b AND x.k < y.k WHERE x.f IS NULL OR y.f IS NULL OR list_has_any(x.f, y.f)),
+    g AS (SELECT coalesce(low, k) AS grp, keyed.*, p_type, p_size, date '2024-01-01' + (keyed.p_partkey % 400)::INT AS day FROM keyed JOIN part USING (p_partkey) LEFT JOIN pair ON high = k),
+    fam AS (SELECT grp, arg_max(family, c * 1e9 - p) AS family FROM (SELECT grp, family, count(*) AS c, min(p_partkey) AS p FROM g WHERE family IS NOT NULL GROUP BY ALL) GROUP BY grp),
+    nam AS (SELECT grp, arg_max(p_type, c * 1e9 - p) AS name FROM (SELECT grp, p_type, count(*) AS c, min(p_partkey) AS p FROM g GROUP BY ALL) GROUP BY grp)
+    SELECT grp, count(*) AS n, strftime(min(day), '%Y-%m-%d') AS release_date, bool_or(p_size > 45) AS open_weights, any_value(fam.family) AS family, any_value(name) AS name FROM g LEFT JOIN fam USING (grp) JOIN nam USING (grp) GROUP BY grp""")
+def catalogue_heads(spark, d):
+    heads = merge.pick_heads(merge.group_catalogue(catalogue_rows(spark, d)))
+    return heads.select("grp", "n", "release_date", "open_weights", "family", "name")
 
 
 @query("""WITH e AS (SELECT DISTINCT 'x/' || replace(p_name, ' ', '-') AS id, replace(p_name, ' ', '') AS k FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT 'x/' || replace(p_name, ' ', '_'), replace(p_name, ' ', '') FROM part WHERE p_partkey % 2 = 1),
@@ -591,12 +614,26 @@ def repointed_edges(spark, d):
     return out.select("child", "parent", "relationship", "axis").unionByName(left.where("child <> parent"))
 
 
-@query("""WITH x AS (SELECT DISTINCT p_type, string_split(p_name, ' ') AS n FROM part) SELECT p_type || '-' || n[1] AS id, p_type AS parent, 'variant' AS relationship, 'version' AS axis FROM x UNION SELECT p_type || '-' || n[1] || '-' || n[2], p_type || '-' || n[1], 'variant', 'size' FROM x""")
+@query(r"""WITH RECURSIVE member AS (SELECT DISTINCT 'x/brand-' || substr(p_brand, 7) || '.0' AS family, 'x/brand-' || substr(p_brand, 7) || '-0-' AS prefix, CASE p_partkey % 6 WHEN 0 THEN 'instruct-2025-01-0' || (p_size % 9 + 1) WHEN 1 THEN '7b-chat-v0-' || p_size
+        WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'pro-20250101' WHEN 4 THEN 'fp8-' || split_part(p_name, ' ', 2) || '-chat' ELSE 'a16b-2025-07' END AS rest FROM part),
+    walk AS (SELECT prefix || rest AS leaf, family AS parent, '' AS token, rest FROM member
+        UNION ALL SELECT leaf, CASE WHEN token = '' THEN parent ELSE parent || '-' || token END, tok, substr(rest, length(tok) + 2) FROM (
+            SELECT *, CASE WHEN regexp_matches(rest, '^\d{4}-\d{2}-\d{2}(-|$)') THEN left(rest, 10) WHEN regexp_matches(rest, '^v\d+-\d+(-|$)') THEN regexp_extract(rest, '^v\d+-\d+') WHEN regexp_matches(rest, '^\d{4}-\d{2}(-|$)') THEN left(rest, 7)
+                WHEN regexp_matches(rest, '^(instruct|chat|pro|fp8|small|large|\d{8}|7b|a16b)(-|$)') THEN split_part(rest, '-', 1) ELSE rest END AS tok FROM walk WHERE rest <> '')),
+    node AS (SELECT parent || '-' || token AS id, leaf, parent, token FROM walk WHERE token <> '')
+    SELECT id, arg_min(parent, leaf) AS parent, CASE WHEN any_value(token) = 'fp8' THEN 'quantized' ELSE 'variant' END AS relationship,
+        CASE WHEN any_value(token) IN ('instruct', 'chat') THEN 'training_stage' WHEN any_value(token) IN ('pro', 'small', 'large') THEN 'tier' WHEN any_value(token) IN ('7b', 'a16b') THEN 'size' WHEN any_value(token) <> 'fp8' THEN 'version' END AS axis
+    FROM node GROUP BY id""")
 def family_nodes(spark, d):
     p = t(spark, d, "part")
-    kinds = p.select(F.substring_index("p_name", " ", -1).alias("token")).distinct().select("token", F.lit("variant").alias("relationship"), F.lit("size").alias("axis"))
-    rows = p.select(F.col("p_type").alias("family"), F.concat_ws("-", "p_type", F.replace("p_name", F.lit(" "), F.lit("-"))).alias("leaf")).distinct()
-    return graph.family_chain(rows, "family", "leaf", kinds).select("id", "parent", "relationship", "axis")
+    n, last = F.col("p_partkey") % 6, F.substring_index("p_name", " ", -1)
+    rest = (
+        F.when(n == 0, F.concat(F.lit("instruct-2025-01-0"), F.col("p_size") % 9 + 1)).when(n == 1, F.concat(F.lit("7b-chat-v0-"), "p_size")).when(n == 2, F.replace("p_name", F.lit(" "), F.lit("-")))
+        .when(n == 3, "pro-20250101").when(n == 4, F.concat(F.lit("fp8-"), last, F.lit("-chat"))).otherwise("a16b-2025-07")
+    )
+    brand = F.concat(F.lit("x/brand-"), F.expr("substring(p_brand, 7)"))
+    rows = p.select(F.concat(brand, F.lit(".0")).alias("family"), F.concat(brand, F.lit("-0-"), rest).alias("leaf")).distinct()
+    return graph.family_chain(rows, "family", "leaf").select("id", "parent", "relationship", "axis")
 
 
 # --- changes --------------------------------------------------------------------------------------------------

@@ -17,10 +17,11 @@ def resolve_stream(mentions: DataFrame, aliases: DataFrame, path: str, checkpoin
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        out = match.resolve(batch, aliases, external, rules, org_map, known_orgs)
-        out.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        match.resolve(batch, aliases, external, rules, org_map, known_orgs).write.mode("overwrite").parquet(f"{path}/batch={n}")
         if log_path:
-            log = changes.log_rows(match.resolve(batch.dropDuplicates(match.KEY), aliases, external, rules, org_map, known_orgs), f"stream-{n}", "")
+            # The log is taken from the rows just written, so each batch is resolved once.
+            done = batch.sparkSession.read.parquet(f"{path}/batch={n}")
+            log = changes.log_rows(done, f"stream-{n}", "")
             log.drop("created_at").withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("overwrite").parquet(f"{log_path}/batch={n}")
 
     return mentions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "300 seconds"})).start()
