@@ -135,7 +135,7 @@ def resolve(mentions: DataFrame, aliases: DataFrame, external: DataFrame | None
 
     Order: exact; an external id equal up to case, which outranks an exact hit that differs; normalized (0.95,
     if the threshold allows); external by index key; fuzzy (0.9, left out in mode ``exact``); no_match. Only
-    what is still open is expanded into fuzzy candidates.
+    what is still open is expanded into fuzzy candidates. Without an org map, orgs agree where they are spelled alike.
     """
     distinct = mentions.select(*KEY).distinct()
     out = match_normalized(match_exact(distinct, aliases), aliases)
@@ -152,7 +152,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame, external: DataFrame | None
         # Both the open rest and the final join read this, so it is made once.
         out = stored(out)
         open_ = out.where(F.coalesce(*(c for c, _, _ in stages)).isNull())
-        fuzzy = match_fuzzy(open_, aliases, rules, org_map, known_orgs).withColumn("source_config", _scope("source_config"))
+        nobody = mentions.sparkSession.createDataFrame([], "name string, org string, id string")
+        fuzzy = match_fuzzy(open_, aliases, rules, nobody if org_map is None else org_map, nobody if known_orgs is None else known_orgs).withColumn("source_config", _scope("source_config"))
         out = out.withColumn("_s", _scope("source_config")).join(fuzzy.withColumnRenamed("source_config", "_s"), ["raw_value", "entity_type", "_s"], "left").drop("_s")
         stages.append(("fuzzy_id", "fuzzy", 0.9))
     else:

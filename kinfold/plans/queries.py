@@ -506,10 +506,12 @@ def layer_union(spark, d):
     return merge.union_layers([c, c], c.where("id % 5 = 0"), c.where("id % 3 = 0"))
 
 
-@query("""SELECT DISTINCT p_type AS id FROM part WHERE p_size % 2 = 0 EXCEPT SELECT p_type FROM part WHERE p_size = 9""")
+@query("""WITH o AS (SELECT p_brand || ' ' || p_name AS id, p_size, regexp_replace(lower(p_brand || p_name), '[^a-z0-9]', '', 'g') AS k FROM part) SELECT DISTINCT id FROM o WHERE p_size <= 25 AND k NOT IN (SELECT k FROM o WHERE p_size > 25)""")
 def absent_orgs(spark, d):
-    p = t(spark, d, "part")
-    return merge.missing_orgs(p.where("p_size % 2 = 0").select(F.col("p_type").alias("org_id")), p.where("p_size = 9").select(F.col("p_type").alias("id")))
+    """Small parts refer to orgs, large ones are orgs, half of them in another spelling."""
+    p = t(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("id"), "p_size", "p_partkey")
+    spelled = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("id", F.lit(" "), F.lit("_")))).otherwise(F.col("id"))
+    return merge.missing_orgs(p.where("p_size <= 25").select(F.col("id").alias("org_id")), p.where("p_size > 25").select(spelled.alias("id")))
 
 
 @query("""SELECT DISTINCT p_partkey, upper(p_brand) AS org_in, p_brand AS org FROM part""")
@@ -593,25 +595,25 @@ def inherited(spark, d):
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey % 4 <> 0 AND p_partkey // 3 > 0), r AS (SELECT a AS id, a AS o FROM e UNION SELECT b, b FROM e UNION SELECT r.id, x.n FROM r JOIN (SELECT a AS m, b AS n FROM e UNION ALL SELECT b, a FROM e) x ON x.m = r.o)
     SELECT id, min(o) AS component FROM r GROUP BY id""")
 def connected(spark, d):
-    e = t(spark, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 3").alias("b")).where("b > 0")
-    return graph.components(e)
+    """Each part links to a third of its number; a fourth of them only to themselves, the first to nothing."""
+    third = F.expr("p_partkey div 3")
+    return graph.components(t(spark, d, "part").select(F.col("p_partkey").alias("a"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey")).when(third > 0, third).alias("b")))
 
 
 @query("""WITH RECURSIVE r AS (SELECT s_suppkey AS loser, s_suppkey // 2 AS winner FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey > 1), w AS (SELECT loser AS id, winner AS place, 1 AS n FROM r UNION ALL SELECT id, winner, n + 1 FROM w JOIN r ON loser = place)
     SELECT id AS loser, arg_max(place, n) AS winner FROM w GROUP BY id""")
 def compressed_remap(spark, d):
-    s = t(spark, d, "supplier").where("s_suppkey % 3 <> 0 and s_suppkey > 1")
-    return graph.compress_remap(s.select(F.col("s_suppkey").alias("loser"), F.expr("s_suppkey div 2").alias("winner")))
+    """A third of the suppliers, and the first two, win over themselves."""
+    own = (F.col("s_suppkey") % 3 == 0) | (F.col("s_suppkey") <= 1)
+    return graph.compress_remap(t(spark, d, "supplier").select(F.col("s_suppkey").alias("loser"), F.when(own, F.col("s_suppkey")).otherwise(F.expr("s_suppkey div 2")).alias("winner")))
 
 
-@query(f"""WITH {MODELS}, e AS (SELECT id AS child, CASE WHEN substr(parent, 2)::INT % 10 = 0 THEN 'm1' ELSE parent END AS parent, relationship, axis FROM model WHERE parent IS NOT NULL) SELECT child, parent, relationship, axis FROM e WHERE child <> parent AND parent <> 'm0'
-    UNION ALL SELECT child, parent, relationship, axis FROM e WHERE parent = 'm0'""")
+@query(f"""WITH {MODELS}, e AS (SELECT CASE WHEN substr(id, 2)::INT % 10 = 0 THEN 'm1' ELSE id END AS child, CASE WHEN substr(parent, 2)::INT % 10 = 0 THEN 'm1' ELSE parent END AS parent, relationship, axis FROM model WHERE parent IS NOT NULL AND parent <> id)
+    SELECT child, parent, relationship, axis FROM e WHERE child <> parent QUALIFY row_number() OVER (PARTITION BY child, parent ORDER BY relationship NULLS FIRST, axis NULLS FIRST) = 1""")
 def repointed_edges(spark, d):
     m = models(spark, d)
     remap = m.where("cast(substr(id, 2) as int) % 10 = 0").select(F.col("id").alias("loser"), F.lit("m1").alias("winner"))
-    out = graph.repoint(graph.edges(m).where("cast(substr(child, 2) as int) % 10 <> 0"), remap)
-    left = graph.edges(m).where("cast(substr(child, 2) as int) % 10 = 0").join(remap.withColumnRenamed("loser", "parent"), "parent", "left").select("child", F.coalesce("winner", "parent").alias("parent"), "relationship", "axis")
-    return out.select("child", "parent", "relationship", "axis").unionByName(left.where("child <> parent"))
+    return graph.repoint(graph.edges(m), remap).select("child", "parent", "relationship", "axis")
 
 
 @query(r"""WITH RECURSIVE member AS (SELECT DISTINCT 'x/brand-' || substr(p_brand, 7) || '.0' AS family, 'x/brand-' || substr(p_brand, 7) || '-0-' AS prefix, CASE p_partkey % 6 WHEN 0 THEN 'instruct-2025-01-0' || (p_size % 9 + 1) WHEN 1 THEN '7b-chat-v0-' || p_size
@@ -645,11 +647,11 @@ def entity_upsert(spark, d):
     return changes.upsert(s.where("id % 5 <> 0"), s.where("id % 2 = 0").select("id", F.lit("upd").alias("name")))
 
 
-@query("""WITH n AS (SELECT p_name, p_partkey FROM part WHERE p_size < 10), l AS (SELECT DISTINCT p_name FROM part WHERE p_size = 30) SELECT p_partkey, n.p_name AS raw_value, CASE WHEN l.p_name IS NOT NULL THEN 'taken' WHEN count(*) OVER (PARTITION BY n.p_name) > 1 THEN 'repeated' END AS reason FROM n LEFT JOIN l USING (p_name)""")
+@query("""WITH p AS (SELECT p_partkey, p_size, p_name || ' ' || (p_partkey * 7 % 97) AS raw FROM part), l AS (SELECT DISTINCT raw FROM p WHERE p_size >= 30) SELECT p_partkey, n.raw AS raw_value, CASE WHEN l.raw IS NOT NULL THEN 'taken' WHEN count(*) OVER (PARTITION BY n.raw) > 1 THEN 'repeated' END AS reason FROM (SELECT * FROM p WHERE p_size < 30) n LEFT JOIN l USING (raw)""")
 def alias_inserts(spark, d):
-    row = lambda df: df.select("p_partkey", F.col("p_name").alias("raw_value"), F.lit("model").alias("entity_type"), nothing().alias("source_config"), F.lit("auto").alias("status"))
-    p = t(spark, d, "part")
-    ok, clashes = changes.insert_aliases(row(p.where("p_size = 30")), row(p.where("p_size < 10")))
+    """Spellings of large parts are there already, those of the others are new."""
+    p = t(spark, d, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_name", F.col("p_partkey") * 7 % 97).alias("raw_value"), F.lit("model").alias("entity_type"), nothing().alias("source_config"), F.lit("auto").alias("status"))
+    ok, clashes = changes.insert_aliases(p.where("p_size >= 30").drop("p_size"), p.where("p_size < 30").drop("p_size"))
     return ok.withColumn("reason", nothing()).unionByName(clashes).select("p_partkey", "raw_value", "reason")
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kinfold.plans import queries
+from kinfold.plans import more_queries, queries  # noqa: F401  (more_queries adds to the same tables)
 
 SF = "/root/testdata/sf0.001"
 
