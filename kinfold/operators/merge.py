@@ -16,9 +16,12 @@ def _filled(c: str, kind: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c) != "" if kind == "string" else F.lit(True))
 
 
-def merge_layers(layers: DataFrame, scalars: list[str], unions: list[str] = (), maps: list[str] = ()) -> DataFrame:
+def merge_layers(layers: DataFrame, scalars: list[str], unions: list[str] = (), maps: list[str] = (), edges: str | None = None) -> DataFrame:
     """One row per id: of scalars the last that isn't empty, lists joined without repeats in case, maps by key the last.
 
+    ``edges`` names a list of parents (id, relationship, axis), joined by the parent's id: an edge keeps its first place, and of
+    its fields the last that isn't empty counts.
+
     Rows have layer_rank, file and pos for their order. List items keep the order and the spelling of their first place.
     """
     kinds = dict(layers.dtypes)
@@ -31,6 +34,13 @@ def merge_layers(layers: DataFrame, scalars: list[str], unions: list[str] = (),
     for c in maps:
         items = layers.select("id", _rank().alias("_r"), F.explode(c).alias("_k", "_v")).groupBy("id", "_k").agg(F.max_by("_v", "_r").alias("_v"))
         out = out.join(items.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c)), "id", "left")
+    if edges:
+        items = layers.select("id", _rank().alias("_n"), F.posexplode(edges).alias("_k", "_e")).select("id", "_e", F.struct("_n", "_k").alias("_r"))
+        items = items.where("_e.id <> ''")
+        last = lambda f: F.max_by(f"_e.{f}", F.when(F.col(f"_e.{f}") != "", F.col("_r"))).alias(f)
+        each = items.groupBy("id", F.col("_e.id").alias("_p")).agg(F.min("_r").alias("_r"), last("relationship"), last("axis"))
+        lists = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_r", F.struct(F.col("_p").alias("id"), "relationship", "axis").alias("e")))).alias("_l"))
+        out = out.join(lists.select("id", F.transform("_l", lambda x: x["e"]).alias(edges)), "id", "left").withColumn(edges, F.coalesce(edges, F.array().cast(kinds[edges])))
     return out
 
 
@@ -112,9 +122,13 @@ def dedup_by_id(entries: DataFrame, unions: list[str]) -> DataFrame:
 
 
 def latest_by_id(entries: DataFrame, date: str = "release_date") -> DataFrame:
-    """One row per id, that of the latest date."""
-    others = [c for c in entries.columns if c != "id"]
-    return entries.groupBy("id").agg(F.max_by(F.struct(*others), F.struct(date, *others)).alias("_r")).select("id", "_r.*")
+    """One row per id, that of the latest date; it has the ``aliases`` of all, sorted."""
+    others = [c for c in entries.columns if c not in ("id", "aliases")]
+    out = entries.groupBy("id").agg(F.max_by(F.struct(*others), F.struct(date, *others)).alias("_r")).select("id", "_r.*")
+    if "aliases" not in entries.columns:
+        return out
+    forms = entries.select("id", F.explode("aliases").alias("_a")).groupBy("id").agg(F.array_sort(F.collect_set("_a")).alias("aliases"))
+    return out.join(forms, "id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
 def ambiguous(forms: DataFrame) -> DataFrame:

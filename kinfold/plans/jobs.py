@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import changes, checks, facts, graph, match, merge
+from ..operators import catalogue, changes, checks, facts, graph, match, merge
 from ..storage import stored
 
 
@@ -61,6 +61,22 @@ def add_lineage(models: DataFrame) -> DataFrame:
     return graph.derive_lineage(models).drop("open_weights").join(open_, "id", "left")
 
 
+def oracle_layer(truth: DataFrame, models: DataFrame, org_map: DataFrame, deny: DataFrame) -> dict[str, DataFrame]:
+    """Known answers (raw_value, fixed_id, status) as a layer over ``models`` (id, parents).
+
+    ``targets``: each true id with what becomes of it (ok, rekey an incumbent of other spelling, mint); ``aliases``: the
+    mentions that lead to it, but for near misses that would change what is meant (``refused``); ``edges``: the models' edges
+    with re-keyed ids at both ends.
+    """
+    fixed = truth.where("status in ('fixed_exact', 'fixed_near_miss') and contains(fixed_id, '/')").select("raw_value", "fixed_id", "status").distinct()
+    near = fixed.where("status = 'fixed_near_miss'").select(F.col("raw_value").alias("raw"), F.col("fixed_id").alias("fixed"))
+    good = stored(match.guard_redirects(near, deny, org_map).select("raw", "fixed").distinct())
+    targets = stored(catalogue.partition_targets(fixed.select(F.col("fixed_id").alias("id")), models.select("id")))
+    pairs = fixed.where("status = 'fixed_exact'").select("raw_value", F.col("fixed_id").alias("canonical_id")).unionByName(good.select(F.col("raw").alias("raw_value"), F.col("fixed").alias("canonical_id")))
+    remap = targets.where("action = 'rekey'").select(F.col("incumbent").alias("loser"), F.col("id").alias("winner"))
+    return {"targets": targets, "aliases": pairs.where("raw_value <> canonical_id").distinct(), "refused": near.join(good, ["raw", "fixed"], "left_anti"), "edges": graph.repoint(graph.edges(models), remap)}
+
+
 def refresh_catalogue(records: DataFrame, existing: DataFrame, org_map: DataFrame) -> dict[str, DataFrame]:
     """Provider rows to groups; groups that fold onto an existing model give it their spellings, the others are minted."""
     groups = merge.group_catalogue(records)

@@ -168,6 +168,23 @@ def whole_replacement(spark, d):
     return merge.replace_whole(row(p, "p_type"), row(p.where("p_size > 25"), "p_brand"))
 
 
+@query("""WITH l AS (SELECT p_name, p_type, CASE WHEN p_size % 2 = 0 THEN 'variant' WHEN p_size % 2 = 1 AND p_size % 5 = 0 THEN 'finetune' END AS relationship, CASE WHEN p_size % 3 = 1 THEN p_brand END AS axis, row_number() OVER (PARTITION BY p_name ORDER BY p_size % 3, p_brand, p_partkey) AS o FROM part),
+    e AS (SELECT p_name AS id, p_type AS parent, arg_max(relationship, o) FILTER (relationship IS NOT NULL) AS relationship, arg_max(axis, o) FILTER (axis IS NOT NULL) AS axis, min(o) AS o FROM l GROUP BY ALL)
+    SELECT id, parent, relationship, axis, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS place FROM e""")
+def edge_union(spark, d):
+    size = F.col("p_size")
+    edge = F.struct(F.col("p_type").alias("id"), F.when(size % 2 == 0, "variant").when(size % 5 == 0, "finetune").alias("relationship"), F.when(size % 3 == 1, F.col("p_brand")).alias("axis"))
+    layers = t(spark, d, "part").select(F.col("p_name").alias("id"), (size % 3).alias("layer_rank"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.array(edge).alias("parents"))
+    out = merge.merge_layers(layers, [], edges="parents").select("id", F.posexplode("parents").alias("place", "e"))
+    return out.select("id", F.col("e.id").alias("parent"), "e.relationship", "e.axis", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT p_name AS id, max(p_retailprice) AS price, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS aliases FROM part GROUP BY p_name""")
+def latest_rows(spark, d):
+    p = t(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_retailprice").alias("price"), F.array("p_brand").alias("aliases"))
+    return merge.latest_by_id(p, "price").select("id", "price", F.array_join("aliases", "|").alias("aliases"))
+
+
 # --- checks ---------------------------------------------------------------------------------------------------
 
 
@@ -327,3 +344,24 @@ def audit_job(spark, d):
     org_map, orgs = org_tables(spark, d)
     out = jobs.audit(m, aliases(spark, d).where("source_config is null"), 10, rules=RULES, org_map=org_map, known_orgs=orgs)
     return out["unmatched"].select("raw_value", "n")
+
+
+@query("""WITH p AS (SELECT *, p_type || '/' || upper(replace(p_name, ' ', '-')) AS fixed, p_type || '/' || replace(p_name, ' ', '_') AS old FROM part), o AS (SELECT DISTINCT p_type, old, fixed FROM p WHERE p_size > 30), top AS (SELECT p_type, min(old) AS low, arg_min(fixed, old) AS up FROM o GROUP BY p_type)
+    SELECT DISTINCT CASE WHEN o.old IS NULL THEN 'mint' ELSE 'rekey' END AS kind, p.fixed AS a, o.old AS b FROM p LEFT JOIN o ON o.fixed = p.fixed
+    UNION ALL SELECT 'alias', CASE WHEN p_partkey % 4 = 2 THEN p_type || '/n' || p_partkey ELSE 'n' || p_partkey END, fixed FROM p WHERE p_partkey % 4 <> 0 UNION ALL SELECT 'refused', 'other/n' || p_partkey, fixed FROM p WHERE p_partkey % 4 = 0
+    UNION ALL SELECT 'edge', fixed, up FROM o JOIN top USING (p_type) WHERE old <> low""")
+def oracle_layer_job(spark, d):
+    """Every name has a known answer in capitals; large parts are there already in other spelling, with the least of their type as parent."""
+    p = t(spark, d, "part").withColumn("fixed", F.concat_ws("/", "p_type", F.upper(dashed("p_name")))).withColumn("old", F.concat_ws("/", "p_type", dashed("p_name", "_")))
+    n = F.col("p_partkey") % 4
+    raw = F.concat(F.when(n == 0, "other/").when(n == 2, F.concat("p_type", F.lit("/"))).otherwise(""), F.lit("n"), "p_partkey")
+    truth = p.select(raw.alias("raw_value"), F.col("fixed").alias("fixed_id"), F.when(n % 2 == 0, "fixed_near_miss").otherwise("fixed_exact").alias("status"))
+    o = p.where("p_size > 30").select("p_type", "old").distinct()
+    top = o.groupBy("p_type").agg(F.min("old").alias("low"))
+    old = o.join(top, "p_type").select(F.col("old").alias("id"), F.array(F.struct(F.col("low").alias("id"), F.lit("variant").alias("relationship"), F.lit("size").alias("axis"))).alias("parents"))
+    org_map = match.build_org_map(p.select(F.col("p_type").alias("id"), nothing().alias("hf_org")).distinct())
+    out = jobs.oracle_layer(truth, old, org_map, spark.createDataFrame([], "raw string"))
+    rows = [out["targets"].select(F.col("action").alias("kind"), F.col("id").alias("a"), F.col("incumbent").alias("b"))]
+    for kind, name, a, b in (("alias", "aliases", "raw_value", "canonical_id"), ("refused", "refused", "raw", "fixed"), ("edge", "edges", "child", "parent")):
+        rows.append(out[name].select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")))
+    return reduce(DataFrame.unionByName, rows)
