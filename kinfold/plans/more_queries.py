@@ -11,7 +11,7 @@ from ..operators import catalogue, checks, facts, graph, match, merge
 from ..sources import registry
 from ..storage import shared_folder, stored
 from . import jobs
-from .queries import ALIASES, FAMILY, GROUP, LINEAGE, MODELS, RESOLVED, RULES, aliases, mentions, models, nothing, org_tables, query, t, walk_sql
+from .queries import ALIASES, CATALOGUE, FAMILY, GROUP, LINEAGE, MODELS, RESOLVED, RULES, aliases, catalogue_rows, mentions, models, nothing, org_tables, query, t, walk_sql
 
 
 def counted(found: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -365,3 +365,19 @@ def oracle_layer_job(spark, d):
     for kind, name, a, b in (("alias", "aliases", "raw_value", "canonical_id"), ("refused", "refused", "raw", "fixed"), ("edge", "edges", "child", "parent")):
         rows.append(out[name].select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")))
     return reduce(DataFrame.unionByName, rows)
+
+
+@query(f"""WITH {CATALOGUE}, raw AS (SELECT keyed.*, p_size, ['', 'us.meta.', 'accounts/x/models/', 'hf:org/', 'azure-', 'org--'][p_partkey % 6 + 1] || CASE WHEN p_partkey % 2 = 0 THEN a || '-' || b ELSE b || '_' || upper(a) END
+        || ['', ':free', '-fast', '-turbo', '-20250101', '@20250101', '-2025-01-02', '-latest', '-v2', '-fp8:1024'][p_partkey % 10 + 1] AS model_id FROM keyed JOIN part USING (p_partkey)),
+    fams AS (SELECT a, b, k, list(DISTINCT family) FILTER (family IS NOT NULL) AS f FROM keyed GROUP BY ALL),
+    pair AS (SELECT x.k AS low, y.k AS high FROM fams x JOIN fams y ON x.a = y.a AND x.b = y.b AND x.k < y.k WHERE x.f IS NULL OR y.f IS NULL OR list_has_any(x.f, y.f)),
+    old AS (SELECT DISTINCT model_id FROM raw WHERE p_size > 45), g AS (SELECT coalesce(low, k) AS id, model_id, old.model_id AS target FROM raw LEFT JOIN pair ON high = k LEFT JOIN old USING (model_id))
+    SELECT id, min(target) AS target, CASE WHEN min(target) IS NULL THEN 0 ELSE count(DISTINCT model_id) END AS forms FROM g GROUP BY id""")
+def catalogue_job(spark, d):
+    """Groups with a row of a large part are known by that row's spelling and give it all of theirs; the others are minted."""
+    p = t(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("pos"))
+    rows = catalogue_rows(spark, d)
+    old = rows.join(p, "pos").select(F.col("model_id").alias("id")).distinct().select("id", nothing().alias("org"), F.array().cast("array<string>").alias("aliases"), F.lit(1).alias("seq"))
+    out = jobs.refresh_catalogue(rows, old, org_tables(spark, d)[0])
+    given = out["folds"].join(out["enriched"], "target").groupBy("id", "target").agg(F.count("*").alias("forms"))
+    return out["minted"].select("id", nothing().alias("target"), F.lit(0).cast("long").alias("forms")).unionByName(given)

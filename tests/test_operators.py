@@ -155,3 +155,25 @@ def test_drafts_share_spellings(spark):
     d = changes.mint_drafts(m, spark.createDataFrame([("foo-bar", "benchmark")], "id string, entity_type string")).collect()
     ids = {r.entity_type: r.id for r in d}
     assert len(d) == 3 and ids["model"] == "org/Name-7b" and ids["benchmark"].startswith("foo-bar-") and ids["metric"].startswith("auto-")
+
+
+def test_sync_twice(spark):
+    """A rerun keeps facts it didn't make, replaces its own, and reports its counts."""
+    from kinfold.plans import jobs, queries
+
+    records = queries.records(spark, "/root/testdata/sf0.001").limit(20)
+    none = spark.createDataFrame([], "raw_value string, entity_type string, source_config string, canonical_id string, status string, seq long")
+    entities = spark.createDataFrame([], "id string, entity_type string")
+    first = jobs.sync_records(records, none, entities, run_id="r1")
+    facts = first["facts"].cache()
+    n = facts.count()
+    run = first["run"].first()
+    assert (run.id, run.status, run.records_processed, run.entities_created) == ("r1", "completed", 20, first["drafts"].count())
+    assert run.aliases_created == first["aliases"].count() and run.aliases_updated == 0
+    known = first["aliases"].select("raw_value", "entity_type", "source_config", "canonical_id", "status").selectExpr("*", "1L AS seq")
+    old = facts.limit(1).withColumn("id", F.lit("other")).unionByName(facts.withColumn("score", F.lit(-1).cast(dict(facts.dtypes)["score"])))
+    again = jobs.sync_records(records, known, entities, known_facts=old, rerun=True)
+    kept = again["all_facts"]
+    assert kept.count() == n + 1 and kept.where("score = -1").count() == 0
+    assert again["drafts"].count() == 0 and again["run"].first().aliases_updated == 0
+    assert [r.outcome for r in again["refreshed"].select("outcome").distinct().collect()] == ["agree"]
