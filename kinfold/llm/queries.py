@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, byte_bpe, minhash, packing, quality, sharding, substrings, token_counts, url_filter, warc
+from . import ann, byte_bpe, filter_audit, lexical, minhash, packing, private_data, quality, sharding, substrings, token_counts, url_filter, warc
 from .common import table
 
 SHARDS, SEED = 24, 20240
@@ -76,8 +76,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_sequences(slim, packing.groups_for(docs.count()), SEED)
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.array_compact(F.transform("base", _is(kind)))).cast("long").alias(f"n_{kind}") for kind in private_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(private_data.spell(F.col("base")), 256).alias("base_sha256"), private_data.spell(F.concat("base", "added")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda span: F.when(span["kind"] == kind, True)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = filter_audit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(failures, "ABCDE", flags=("good", "toxic"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_warc, op4_near_duplicates, op5_byte_bpe, op6_quality, op7_token_counts, op8_url_filter, op9_substrings, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_nearest, op3_warc, op4_near_duplicates, op5_byte_bpe, op6_quality, op7_token_counts, op8_url_filter, op9_substrings, op10_packing, op11_private_data, op12_ranked_search, op13_filter_audit)}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,4 +175,41 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM one ANTI JOIN dropped USING (doc_id, k) GROUP BY doc_id)
             SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
             FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+        "op12_ranked_search": r"""
+            WITH t AS MATERIALIZED (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+            q AS (
+                SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+            c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+            m AS MATERIALIZED (SELECT doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) AS m FROM d, c),
+            tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+            w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+            p AS MATERIALIZED (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS p FROM tf JOIN m USING (doc_id) JOIN w USING (term)),
+            s AS (SELECT item_id, doc_id, sum(p)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL)
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+            FROM s WHERE score > 0 QUALIFY rank <= 50""",
+        "op13_filter_audit": rf"""
+            WITH said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+            x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+                min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+            f AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, {{
+                'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+                'C': 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(text),
+                'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)}} AS v FROM x LEFT JOIN said USING (doc_id)),
+            g AS MATERIALIZED (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN v.A WHEN 'B' THEN v.B WHEN 'C' THEN v.C WHEN 'D' THEN v.D ELSE v.E END) AS fails,
+                count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM f GROUP BY ALL),
+            k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+            o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+            s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+            r AS (SELECT part, o, step, o[step] AS filter,
+                coalesce(sum(n) FILTER (NOT list_has_any(fails, o[1:step])), 0) AS kept,
+                coalesce(sum(n) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])), 0) AS removed,
+                coalesce(sum(n) FILTER (list_contains(fails, o[step]) AND list_has_any(fails, o[1:step - 1])), 0) AS redundant,
+                coalesce(sum(n) FILTER (fails = [o[step]]), 0) AS unique_fails,
+                coalesce(sum(n_good) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])), 0) AS good_lost,
+                coalesce(sum(n_bad) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])), 0) AS toxic_lost
+                FROM g, s GROUP BY ALL)
+            SELECT part, array_to_string(o, '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+                good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r""",
     }
