@@ -10,13 +10,15 @@ ALIAS_KEY = ["entity_type", "raw_value", "source_config"]
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str = "id", now: str | None = None) -> DataFrame:
-    """Changes overwrite the columns they have; other columns, and ``created_at``, stay. The last change of a key (``seq``) counts.
+    """Changes overwrite the columns they have; other columns, and ``created_at``, stay. The last change of a key (by ``seq``) counts.
+
+    Where there is no ``seq``, or two changes share the last one, the greater one by its values counts, so that a key never has two rows.
 
     ``now`` is the time for ``updated_at`` of changed rows and for ``created_at`` of new ones.
     """
     given = [c for c in changes.columns if c not in (key, "seq", "created_at")]
-    if "seq" in changes.columns:
-        changes = changes.groupBy(key).agg(F.max_by(F.struct(*given), "seq").alias("_c")).select(key, "_c.*")
+    order = F.struct(*([F.col("seq")] if "seq" in changes.columns else []), F.to_json(F.struct(*given)))
+    changes = changes.groupBy(key).agg(F.max_by(F.struct(*given), order).alias("_c")).select(key, "_c.*")
     c = changes.select(F.col(key).alias("_k"), *(F.col(x).alias(f"_n_{x}") for x in given))
     out = base.join(c, base[key] == F.col("_k"), "full_outer")
     new = F.col("_k").isNotNull()
@@ -140,10 +142,11 @@ def enrich_drafts(drafts: DataFrame, external: DataFrame, index: DataFrame) -> D
 
 
 def log_rows(results: DataFrame, run_id: str, now: str) -> DataFrame:
-    """One log row per mention resolved in a run."""
+    """One log row per mention resolved in a run; ``created_new`` (false where the results have none) tells drafts made in this run."""
     once = results.dropDuplicates(["raw_value", "entity_type", "source_config"])
+    new = F.coalesce("created_new", F.lit(False)) if "created_new" in results.columns else F.lit(False)
     key = F.sha2(F.concat_ws("\x00", F.lit(run_id), "entity_type", "raw_value", F.coalesce("source_config", F.lit(""))), 256)
-    return once.select(F.substring(key, 1, 16).alias("id"), "raw_value", "entity_type", "source_config", "canonical_id", "strategy", "confidence", F.lit(run_id).alias("sync_run_id"), F.lit(now).alias("created_at"))
+    return once.select(F.substring(key, 1, 16).alias("id"), "raw_value", "entity_type", "source_config", "canonical_id", "strategy", "confidence", new.alias("created_new"), F.lit(run_id).alias("sync_run_id"), F.lit(now).alias("created_at"))
 
 
 def run_summary(run_id: str, facts: DataFrame, aliases_before: DataFrame, aliases_after: DataFrame, drafts: DataFrame, errors: DataFrame, rerun: bool = False) -> DataFrame:

@@ -26,14 +26,14 @@ def explode_results(records: DataFrame) -> DataFrame:
     """One row per named result: record, evaluation_id, source_config, result_index (its place among all results), name, dataset, model and
     harness names, benchmark and metric (names as they are looked up), and score.
 
-    A record without a model is skipped. One without an id gets a hash of its config and model; ``record`` tells records
-    apart that share an id. The benchmark is the name without its metric. The metric is taken from the metric's name,
+    A record without a model is skipped. One without an id gets a hash of its config and model; ``record`` numbers the rows in
+    their order, so records that share an id, or everything, are told apart. The benchmark is the name without its metric. The metric is taken from the metric's name,
     else its id, else the description. Both are worked out once for each distinct text.
     """
     model = _filled("model_info.id", "model_info.model_name", "model_info.name")
     own = F.concat("source_config", F.lit("/auto-"), F.substring(F.sha2(F.concat_ws(":", "source_config", "model_raw"), 256), 1, 12))
     base = records.withColumn("model_raw", model).where("model_raw is not null").select(
-        F.md5(F.to_json(F.struct(*sorted(records.columns)))).alias("record"), F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
+        F.monotonically_increasing_id().alias("record"), F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
         _filled("eval_library.name", "eval_library.library_name").alias("harness_raw"), F.posexplode("evaluation_results").alias("result_index", "r"),
     )
     rows = stored(base.where("r.evaluation_name <> ''").select(
@@ -68,13 +68,13 @@ def mentions_of(results: DataFrame) -> DataFrame:
     return results.select(F.explode(each).alias("m"), "source_config").select("m.*", "source_config").where("raw_value is not null")
 
 
-def flatten_records(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Fact rows out of ``result_rows``: ids of model, harness, benchmark, parent and metric from ``resolved`` (mention key to canonical_id)."""
+def flatten_records(rows: DataFrame, resolved: DataFrame, numbered: bool = False) -> DataFrame:
+    """Fact rows (with ``seq``, the place of their record, if ``numbered``) out of ``result_rows``: ids of model, harness, benchmark, parent and metric from ``resolved`` (mention key to canonical_id)."""
     look = resolved.select(F.col("raw_value").alias("_raw"), F.col("entity_type").alias("_type"), F.col("source_config"), F.col("canonical_id").alias("_id")).distinct()
     for column, kind, name in (("model_raw", "model", "model_id"), ("harness_raw", "harness", "harness_id"), ("benchmark_raw", "benchmark", "benchmark_id"), ("parent", "benchmark", "parent_benchmark_id"), ("metric_raw", "metric", "metric_id")):
         hit = look.where(F.col("_type") == kind).select(F.col("_raw").alias(column), "source_config", F.col("_id").alias(name))
         rows = rows.join(hit, [column, "source_config"], "left")
-    return rows.select(record_id(F.col("evaluation_id"), F.col("result_index")).alias("id"), "evaluation_id", "result_index", "source_config", "model_id", "harness_id", "benchmark_id", "parent_benchmark_id", "metric_id", "score")
+    return rows.select(record_id(F.col("evaluation_id"), F.col("result_index")).alias("id"), "evaluation_id", "result_index", "source_config", "model_id", "harness_id", "benchmark_id", "parent_benchmark_id", "metric_id", "score", *([F.col("record").alias("seq")] if numbered else []))
 
 
 def apply_metric_folds(facts: DataFrame, folds: DataFrame) -> DataFrame:

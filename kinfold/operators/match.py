@@ -120,8 +120,12 @@ def fuzzy_candidates(mentions: DataFrame, rules: FuzzyRules) -> DataFrame:
 
 
 def match_fuzzy(mentions: DataFrame, aliases: DataFrame, rules: FuzzyRules, org_map: DataFrame, known_orgs: DataFrame) -> DataFrame:
-    """(mention key, fuzzy_id, platform): the first candidate whose exact or normalized hit has an agreeing org."""
-    tried = fuzzy_candidates(mentions.select(*KEY), rules).withColumnRenamed("raw_value", "_raw").withColumnRenamed("candidate", "raw_value")
+    """(mention key, fuzzy_id, platform): the first candidate whose exact or normalized hit has an agreeing org.
+
+    Null and empty scopes are one scope, here spelled as the empty one.
+    """
+    one = mentions.select("raw_value", "entity_type", _scope("source_config").alias("source_config")).distinct()
+    tried = fuzzy_candidates(one, rules).withColumnRenamed("raw_value", "_raw").withColumnRenamed("candidate", "raw_value")
     tried = match_normalized(match_exact(tried, aliases), aliases)
     hits = tried.select("_raw", "entity_type", "source_config", "platform", "rank", "raw_value", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("exact_id").alias("id")), F.struct(F.lit(1).alias("tier"), F.col("normalized_id").alias("id")))).alias("_h"))
     hits = hits.select("*", F.col("_h.tier").alias("tier"), F.col("_h.id").alias("hit")).drop("_h").where("hit is not null")
@@ -153,7 +157,7 @@ def resolve(mentions: DataFrame, aliases: DataFrame, external: DataFrame | None
         out = stored(out)
         open_ = out.where(F.coalesce(*(c for c, _, _ in stages)).isNull())
         nobody = mentions.sparkSession.createDataFrame([], "name string, org string, id string")
-        fuzzy = match_fuzzy(open_, aliases, rules, nobody if org_map is None else org_map, nobody if known_orgs is None else known_orgs).withColumn("source_config", _scope("source_config"))
+        fuzzy = match_fuzzy(open_, aliases, rules, nobody if org_map is None else org_map, nobody if known_orgs is None else known_orgs)
         out = out.withColumn("_s", _scope("source_config")).join(fuzzy.withColumnRenamed("source_config", "_s"), ["raw_value", "entity_type", "_s"], "left").drop("_s")
         stages.append(("fuzzy_id", "fuzzy", 0.9))
     else:

@@ -95,12 +95,14 @@ def fold_collisions(entries: DataFrame, never: DataFrame | None = None, prefer:
 
 
 def apply_remap(entries: DataFrame, remap: DataFrame, unions: list[str]) -> DataFrame:
-    """Losers' list items (and ids) move to their winners; losers go."""
+    """Losers' list items (and ids) move to their winners; losers go. A loser whose winner has no row stays as it is."""
+    remap = remap.join(entries.select(F.col("id").alias("winner")).distinct(), "winner", "left_semi")
     out = entries.join(remap.select(F.col("loser").alias("id")), "id", "left_anti")
     lost = entries.join(remap.select(F.col("loser").alias("id"), "winner"), "id")
     given = lost.select(F.col("winner").alias("id"), *(F.concat(F.array("id") if c == "aliases" else F.array().cast("array<string>"), F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in unions))
-    given = given.groupBy("id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"_g_{c}") for c in unions))
-    out = out.join(given, "id", "left")
+    for c in unions:
+        items = given.select("id", F.explode(c).alias("_x")).groupBy("id").agg(F.array_sort(F.collect_set("_x")).alias(f"_g_{c}"))
+        out = out.join(items, "id", "left")
     for c in unions:
         out = out.withColumn(c, F.array_union(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"_g_{c}", F.array().cast("array<string>")))).drop(f"_g_{c}")
     return out

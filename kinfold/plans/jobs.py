@@ -18,7 +18,8 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
 def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, rules: FuzzyRules | None = None, known_facts: DataFrame | None = None, run_id: str = "sync", now: str = "", rerun: bool = False, **options) -> dict[str, DataFrame]:
     """Records to facts, drafts, draft aliases, log and the run's summary.
 
-    ``known_facts`` are facts stored before: facts of the same id replace them, the others stay (``all_facts``). A rerun also
+    ``known_facts`` are facts stored before: facts of the same id replace them (of several, that of the last record), the others
+    stay (``all_facts``). The log names drafts too. A rerun also
     compares the stored aliases of the mentions with what they resolve to now (``refreshed``). All distinct mentions are resolved at once; what is left open gets drafts by match key, so spelling twins
     share one whatever the order of the records.
     """
@@ -31,11 +32,12 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     made = stored(changes.draft_aliases(open_, drafts))
     key = ["raw_value", "entity_type"]
     ids = made.select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d")).distinct()
-    full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
+    full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("created_new", F.col("canonical_id").isNull() & F.col("_d").isNotNull()).withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
     full = stored(full)
-    out = {"facts": facts.flatten_records(rows, full), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(resolved, run_id, now)}
+    numbered = facts.flatten_records(rows, full, numbered=True)
+    out = {"facts": numbered.drop("seq"), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(full, run_id, now)}
     if known_facts is not None:
-        out["all_facts"] = changes.upsert(known_facts, out["facts"], now=now or None)
+        out["all_facts"] = changes.upsert(known_facts, numbered, now=now or None)
     if rerun:
         noted = aliases if "notes" in aliases.columns else aliases.withColumn("notes", F.lit(None).cast("string"))
         out["refreshed"] = changes.refresh_aliases(match.compare_stored(noted, resolved.dropDuplicates(match.KEY)))

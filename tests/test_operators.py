@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import keys
 from kinfold.functions.keys import FuzzyRules
 from kinfold.operators import changes, facts, graph, match, merge
+from kinfold.plans import jobs
 from kinfold.sources import registry, schemas
 
 ALIAS = "raw_value string, entity_type string, canonical_id string, source_config string, status string, seq int"
@@ -177,3 +178,44 @@ def test_sync_twice(spark):
     assert kept.count() == n + 1 and kept.where("score = -1").count() == 0
     assert again["drafts"].count() == 0 and again["run"].first().aliases_updated == 0
     assert [r.outcome for r in again["refreshed"].select("outcome").distinct().collect()] == ["agree"]
+
+
+def test_null_and_empty_scopes_are_one(spark):
+    aliases = spark.createDataFrame([("model", "x", None, "m1", "confirmed", 1)], "entity_type string, raw_value string, source_config string, canonical_id string, status string, seq long")
+    mentions = spark.createDataFrame([(1, "x-fp8", "model", None), (2, "x-fp8", "model", ""), (3, "x-fp8", "model", "s")], "n int, raw_value string, entity_type string, source_config string")
+    got = match.resolve(mentions, aliases, rules=FuzzyRules(suffixes=("-fp8",))).orderBy("n").collect()
+    assert [(r.n, r.canonical_id, r.strategy) for r in got] == [(1, "m1", "fuzzy"), (2, "m1", "fuzzy"), (3, "m1", "fuzzy")]
+
+
+def _records(spark, rows):
+    schema = (
+        "evaluation_id string, source_metadata struct<evaluation_id:string,id:string>, source_config string, model_info struct<id:string,model_name:string,name:string>, eval_library struct<name:string,library_name:string,version:string>, "
+        "evaluation_results array<struct<evaluation_name:string,source_data:struct<dataset_name:string>,metric_config:struct<metric_name:string,metric_id:string,evaluation_description:string>,score_details:struct<score:double>,score:double,value:double,result:double>>"
+    )
+    return spark.createDataFrame([(e, None, "cfg", (m, None, None), ("lib", None, None), [(n, (d,), ("Accuracy", None, None), None, s, None, None) for n, d, s in results]) for e, m, results in rows], schema)
+
+
+def test_repeated_records_have_no_false_parents_and_the_last_fact_wins(spark):
+    one = ("e1", "org/m", [("alpha", "D", 1.0)])
+    two = ("e1", "org/m", [("alpha", "D", 2.0)])
+    nothing = spark.createDataFrame([], "raw_value string, entity_type string, source_config string, canonical_id string, status string, seq long")
+    entities = spark.createDataFrame([], "id string, entity_type string")
+    base = jobs.sync_records(_records(spark, [one]), nothing, entities)["facts"]
+    out = jobs.sync_records(_records(spark, [one, one, two]).coalesce(1), nothing, entities, known_facts=base.limit(0), run_id="r", now="t")
+    rows = out["facts"].collect()
+    assert len(rows) == 3 and all(r.parent_benchmark_id is None for r in rows)
+    assert [r.score for r in out["all_facts"].collect()] == [2.0]
+    log = {(r.entity_type, r.raw_value): (r.canonical_id, r.created_new) for r in out["log"].collect()}
+    assert log["model", "org/m"] == ("org/m", True) and all(i is not None for i, _ in log.values())
+
+
+def test_repeated_changes_leave_one_row(spark):
+    base = spark.createDataFrame([("a", 1, "x")], "id string, v int, w string")
+    got = changes.upsert(base, spark.createDataFrame([("a", 2), ("a", 3), ("b", 5)], "id string, v int")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("a", 3, "x"), ("b", 5, None)]
+
+
+def test_a_loser_without_its_winner_stays(spark):
+    e = spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", None)], "id string, aliases array<string>")
+    got = {r.id: r.aliases for r in merge.apply_remap(e, spark.createDataFrame([("a", "gone"), ("b", "c")], "loser string, winner string"), ["aliases"]).collect()}
+    assert got == {"a": ["x"], "c": ["b", "y"]}
