@@ -35,8 +35,9 @@ ROUNDING = 1e-9
 SHARE, STARTS, START_ROWS = 0.75, 3, 64
 #: Concentration goes on while a determinant's logarithm falls by more than this.
 FALL, MOST_STEPS = 1e-2, 30
-#: A group of so many rows counts half, and its parent's estimate the other half.
-HALF_ROWS = 20
+#: An estimate in five dimensions from so few rows holds the group's own outliers, so these rows count for nothing; of a group with
+#: ``HALF_ROWS`` more, its own estimate counts half and its parent's the other half.
+FEW_ROWS, HALF_ROWS = 20, 20
 #: Squared distances beyond this are outliers: the chi-squared quantile for 5 degrees of freedom at 1 - 1e-7.
 CUTOFF = 40.9
 MEDIAN_CHI2 = 4.3515
@@ -260,7 +261,8 @@ def _blend(estimates: DataFrame, keys: list[str]) -> DataFrame:
         out = []
         for n, m, c, s, e, am, ac, ae in zip(rows, mean, cov, scale, noise, above["mean"], above["cov"], above["noise"]):
             m, c, am, ac = np.asarray(m), np.asarray(c) * s, np.asarray(am), np.asarray(ac)
-            w = n / (n + HALF_ROWS)
+            free = max(0, n - FEW_ROWS)
+            w = free / (free + HALF_ROWS) if free else 0.0
             out.append((w * m + (1 - w) * am, w * c + (1 - w) * ac, w * e + (1 - w) * ae))
         return pd.DataFrame(out, columns=["mean", "cov", "noise"])
 

@@ -107,3 +107,23 @@ def test_short_texts_of_a_group_of_long_ones_stay(spark):
     # Two hundred words hold one symbol or repeated line by chance; only their length is unusual.
     ratios = [got[1000 + k].distance - got[1000].distance for k in range(12)]
     assert max(ratios) < 20
+
+
+def test_junk_of_tiny_groups_does_not_hide_in_them(spark):
+    """Sources of 2 to 10 rows, one or two of which are junk: the junk goes, the others stay."""
+    draw = np.random.default_rng(10)
+    keys = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    rows, junk = [], set()
+    for size in range(2, 11):
+        for bad in (0, 1, 2):
+            for k in range(size):
+                doc = len(rows)
+                odd = k < min(bad, size - 1)
+                r = made(draw, doc, n=(150, 900), symbols=draw.choice([1.0, 2.5]) if odd else 0.004)
+                rows.append((*r[:2], f"s{size}-{bad}", *r[2:]))
+                junk |= {doc} if odd else set()
+    rows += [(len(rows) + k, r[1], "large", *r[2:]) for k, r in enumerate(made(draw, 0, n=(150, 900), symbols=0.004) for _ in range(300))]
+    stats = spark.createDataFrame(rows, keys)
+    got = {r.doc_id: r.kept for r in quality.judge(stats, quality.fit(stats, ["lang", "source"]), ["lang", "source"]).collect()}
+    assert not any(got[k] for k in junk)
+    assert np.mean([kept for k, kept in got.items() if k not in junk]) > 0.99
