@@ -63,8 +63,13 @@ def _directions(length: int, seed: int, orderings: int, dimensions: int) -> tupl
     return np.stack(frames), draw.random((orderings, min(length, dimensions)))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The vector times the power of two that brings its largest component between a half and one: no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0
+
+
 def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, vec) of the vectors that take part, as packed doubles."""
+    """(vec_id, vec) of the vectors that take part, as packed doubles; scaled, which changes no cosine."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     good = vectors.where(F.col(vec_id).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
@@ -72,7 +77,7 @@ def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     def pack(batches):
         for batch in batches:
             column = batch.column(1)
-            rows = [np.asarray(x, np.float64) + 0.0 for x in column.to_pylist()]
+            rows = [_scaled(np.asarray(x, np.float64)) for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["vec_id", "length", "vec"])
 
     packed = good.mapInArrow(pack, "vec_id long, length int, vec binary")
@@ -83,7 +88,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     """(``query_id``, ``rank``, ``vec_id``, ``score``): each query's ``k`` nearest found, by cosine.
 
     ``is_query`` is a condition on the id column; all rows are candidates of every query but itself. Ties
-    go to the smaller id. Vectors that are null, zero or empty, or hold null or non-finite components, and
+    go to the smaller id; multiples of a vector by powers of two tie exactly, others may differ in the last bit, by which a score
+    can also pass 1. Finite vectors of any length but 0 take part. Vectors that are null, zero or empty, or hold null or non-finite components, and
     rows without an id take no part; of vectors of several lengths only the commonest length does (the
     longer one on ties). An id that repeats takes part once for each of its different vectors. Other
     columns are ignored. An empty table gives an empty result.

@@ -57,3 +57,20 @@ def test_recall_on_many_vectors(spark):
     x = clustered(12_000, 2_000, 32, 3)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], SCHEMA)
     assert recall(neighbours(df), x) >= 0.9
+
+
+def test_scale_does_not_matter(spark):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(120, 8))
+    answers = []
+    for scale in (1.0, 2.0**-660, 2.0**660, 1e-200, 1e200):
+        rows = [(k, v) for k, v in enumerate((x * scale).tolist())]
+        answers.append([(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()])
+    assert len(answers[0]) == 15 and answers[1] == answers[2] == answers[0]
+    for other in answers[3:]:
+        assert [a[:3] for a in other] == [a[:3] for a in answers[0]]
+        assert np.allclose([a[3] for a in other], [a[3] for a in answers[0]], rtol=1e-12)
+    tiny = [(0, [5e-324, 0.0]), (1, [5e-324, 5e-324]), (2, [1.7e308, 1.7e308]), (3, [0.0, 1e-320])]
+    # 1 and 2 tie but for rounding.
+    got = sorted((r.vec_id, round(r.score, 9)) for r in ann.search(spark.createDataFrame(tiny, SCHEMA), F.col("vec_id") == 0).collect())
+    assert got == [(1, round(0.5**0.5, 9)), (2, round(0.5**0.5, 9)), (3, 0.0)]
