@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import catalogue, changes, checks, facts, graph, match, merge
+from ..operators import catalogue, changes, checks, facts, graph, match, merge, reconcile
 from ..storage import stored
 
 
@@ -96,3 +96,48 @@ def audit(mentions: DataFrame, aliases: DataFrame, top: int = 20, **options) ->
     frequency = facts.mention_frequency(mentions)
     resolved = match.resolve(mentions.select(*match.KEY).distinct(), aliases, **options)
     return {"coverage": facts.coverage(frequency, resolved), "strata": facts.stratified_coverage(frequency, resolved), "unmatched": facts.top_unmatched(frequency, resolved, top)}
+
+
+def regenerate_catalogue(
+    records: DataFrame, org_map: DataFrame, repos: DataFrame, committed: DataFrame, independent: DataFrame, derived: DataFrame, external: DataFrame | None = None, denied: DataFrame | None = None,
+    skip: DataFrame | None = None, casing: DataFrame | None = None, distinct_orgs: DataFrame | None = None, weak: tuple[str, ...] = ("family",), hosts: tuple[str, ...] = (), migrate: bool = False,
+) -> dict[str, DataFrame]:
+    """A provider catalogue to the next generation of entries, in order: group, defer to repos or adopt an external key or mint, attach the
+    providers' spellings, merge what is the same, carry the committed generation forward, reconcile with other sources, settle orgs.
+
+    ``records``: provider, model_id, family, name, release_date, open_weights, pos and, where known, platform. ``repos``: known repos as in
+    ``match.defer_targets``; ``external``: keys that a group without a repo may take as its id (not those in ``denied``). ``committed``, ``independent`` and
+    ``derived`` are entries (see ``reconcile``). Besides ``entries``, the steps' own outputs: claims, remap, report, suppressed, vetoed, dropped.
+    """
+    groups = stored(merge.group_catalogue(records), "groups")
+    heads = match.vendor_by_token(merge.pick_heads(groups), "grp", org_map.select(F.col("name").alias("token"), F.col("org").alias("vendor")))
+    slugged = keys.slug(keys.catalogue_name(F.col("spelling"), variants=False))
+    mints = heads.select("grp", F.concat_ws("/", F.col("vendor"), slugged).alias("mint"), F.col("vendor").alias("org_id"), "name", "family", "release_date", "open_weights")
+    mints = stored(mints, "mints")
+    spelled = groups.select("grp", F.col("model_id").alias("form")).unionByName(mints.select("grp", F.col("mint").alias("form"))).distinct()
+    names = spelled.groupBy("grp").agg(F.collect_set("form").alias("forms")).join(mints.select("grp", "org_id"), "grp").where("org_id is not null")
+    deferred = match.defer_targets(names.select(F.col("grp").alias("id"), F.col("org_id").alias("org"), "forms"), repos, org_map).select(F.col("id").alias("grp"), F.col("target").alias("_repo"))
+    rows = mints.join(deferred, "grp", "left")
+    if external is None:
+        rows = rows.withColumn("_key", F.lit(None).cast("string"))
+    else:
+        free = rows.where("_repo is null and org_id is not null").select(F.col("mint").alias("id"), "org_id").distinct()
+        rows = rows.join(merge.adopt_external_ids(free, external, denied).select(F.col("id").alias("mint"), F.col("key").alias("_key")), "mint", "left")
+    rows = rows.withColumn("id", F.coalesce("_repo", "_key", "mint")).withColumn("deferred", F.col("_repo").isNotNull()).withColumn("adopted", F.col("_repo").isNull() & F.col("_key").isNotNull())
+    rows = stored(rows.drop("_repo", "_key"), "adopted")
+    platform = F.col("platform") if "platform" in groups.columns else F.lit(None).cast("string")
+    attached = catalogue.attach_aliases(rows.select("id", "grp"), groups.select("grp", F.col("model_id").alias("form"), platform.alias("platform"), "pos"))
+    hosted = attached.where("form <> id").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "platform")))).alias("platforms"))
+    one = rows.groupBy("id").agg(
+        *(F.min_by(c, "grp").alias(c) for c in ("org_id", "family")), F.min(F.coalesce("name", keys.display_name(F.col("mint")))).alias("display_name"), F.min("release_date").alias("release_date"), F.bool_or("open_weights").alias("open_weights"),
+        F.bool_or("deferred").alias("deferred"), F.bool_or("adopted").alias("adopted"), F.collect_set("mint").alias("_m"),
+    )
+    one = one.join(hosted, "id", "left").withColumn("aliases", F.array_sort(F.array_except(F.array_union("_m", F.coalesce(F.map_keys("platforms"), F.array().cast("array<string>"))), F.array("id")))).drop("_m")
+    batch = reconcile.reconcile_batch(stored(one.withColumn("review_status", F.lit("draft")), "one"), org_map, weak)
+    carried = reconcile.carry_forward(batch["entries"], committed, org_map, weak, skip, independent.select(F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"), "id"), hosts, migrate)
+    claims = stored(carried["claims"], "claims")
+    out = reconcile.reconcile_existing(stored(carried["entries"], "carried"), independent, derived, org_map, weak, claims)
+    entries = out["entries"]
+    if casing is not None and distinct_orgs is not None:
+        entries = merge.canonicalize_orgs(entries, "org_id", org_map, casing, distinct_orgs)
+    return {"entries": entries, "claims": claims, "remap": batch["remap"].unionByName(carried["remap"]), "report": carried["report"], "suppressed": out["suppressed"], "vetoed": out["vetoed"], "dropped": batch["dropped"], "lost": out["lost"]}
