@@ -32,8 +32,10 @@ def explode_results(records: DataFrame) -> DataFrame:
     """
     model = _filled("model_info.id", "model_info.model_name", "model_info.name")
     own = F.concat("source_config", F.lit("/auto-"), F.substring(F.sha2(F.concat_ws(":", "source_config", "model_raw"), 256), 1, 12))
-    base = records.withColumn("model_raw", model).where("model_raw is not null").select(
-        F.monotonically_increasing_id().alias("record"), F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
+    # Numbered before results are exploded, or each result would get a number of its own.
+    numbered = records.withColumn("model_raw", model).withColumn("record", F.monotonically_increasing_id())
+    base = numbered.where("model_raw is not null").select(
+        "record", F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
         _filled("eval_library.name", "eval_library.library_name").alias("harness_raw"), F.posexplode("evaluation_results").alias("result_index", "r"),
     )
     rows = stored(base.where("r.evaluation_name <> ''").select(

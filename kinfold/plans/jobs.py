@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import catalogue, changes, checks, facts, graph, match, merge, reconcile
+from ..operators import catalogue, changes, checks, facts, graph, match, merge, minting, reconcile
 from ..storage import stored
 
 
@@ -15,24 +15,28 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return match.enrich(match.resolve(mentions, aliases, **options), entities, fields)
 
 
-def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, rules: FuzzyRules | None = None, known_facts: DataFrame | None = None, run_id: str = "sync", now: str = "", rerun: bool = False, **options) -> dict[str, DataFrame]:
+def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, rules: FuzzyRules | None = None, known_facts: DataFrame | None = None, run_id: str = "sync", now: str = "", rerun: bool = False, repos: DataFrame | None = None, **options) -> dict[str, DataFrame]:
     """Records to facts, drafts, draft aliases, log and the run's summary.
 
     ``known_facts`` are facts stored before: facts of the same id replace them (of several, that of the last record), the others
     stay (``all_facts``). The log names drafts too. A rerun also
-    compares the stored aliases of the mentions with what they resolve to now (``refreshed``). All distinct mentions are resolved at once; what is left open gets drafts by match key, so spelling twins
-    share one whatever the order of the records.
+    compares the stored aliases of the mentions with what they resolve to now (``refreshed``). All distinct mentions are resolved at once; what is left open gets drafts by match key (``minting.mint_dependents``; ``repos`` has what
+    is known of repos), so spelling twins share one whatever the order of the records. Attested repos that aren't registered are minted too.
     """
     rows = facts.result_rows(records)
     mentions = facts.mentions_of(rows).distinct()
     # Distinct mentions are few beside the facts; all outputs read this one table.
     resolved = stored(match.resolve(mentions, aliases, rules=rules, **options))
-    open_ = checks.unresolved(resolved)
-    drafts = stored(changes.mint_drafts(open_, entities))
-    made = stored(changes.draft_aliases(open_, drafts))
+    # What nothing matches, and attested repos that nobody has registered.
+    ids_ = entities.where("entity_type = 'model'").select(F.col("id").alias("canonical_id"))
+    attested = resolved.where("startswith(strategy, 'attested')").join(ids_, "canonical_id", "left_anti")
+    open_ = checks.unresolved(resolved).select(*match.KEY, F.lit(None).cast("string").alias("attested_id")).unionByName(attested.select(*match.KEY, F.col("canonical_id").alias("attested_id")))
+    minted = minting.mint_dependents(open_, entities, aliases, repos, options.get("org_map"))
+    drafts, made = minted["drafts"], stored(minted["aliases"])
     key = ["raw_value", "entity_type"]
-    ids = made.select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d")).distinct()
-    full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("created_new", F.col("canonical_id").isNull() & F.col("_d").isNotNull()).withColumn("canonical_id", F.coalesce("canonical_id", "_d")).drop("_s", "_d")
+    new = drafts.select("entity_type", F.col("id").alias("canonical_id"), F.lit(True).alias("_made"))
+    ids = made.join(new, ["entity_type", "canonical_id"], "left").select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d"), "_made").distinct()
+    full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("created_new", F.coalesce("_made", F.lit(False))).withColumn("canonical_id", F.coalesce("_d", "canonical_id")).drop("_s", "_d", "_made")
     full = stored(full)
     numbered = facts.flatten_records(rows, full, numbered=True)
     out = {"facts": numbered.drop("seq"), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(full, run_id, now)}
@@ -41,7 +45,7 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     if rerun:
         noted = aliases if "notes" in aliases.columns else aliases.withColumn("notes", F.lit(None).cast("string"))
         out["refreshed"] = changes.refresh_aliases(match.compare_stored(noted, resolved.dropDuplicates(match.KEY)))
-    out["run"] = changes.run_summary(run_id, records, aliases, aliases.select("raw_value").unionByName(made.select("raw_value")), drafts, open_.where("false"), rerun)
+    out["run"] = changes.run_summary(run_id, records, aliases, aliases.select("raw_value").unionByName(made.select("raw_value")), drafts, resolved.where("false"), rerun)
     return out
 
 
@@ -126,7 +130,7 @@ def regenerate_catalogue(
     rows = rows.withColumn("id", F.coalesce("_repo", "_key", "mint")).withColumn("deferred", F.col("_repo").isNotNull()).withColumn("adopted", F.col("_repo").isNull() & F.col("_key").isNotNull())
     rows = stored(rows.drop("_repo", "_key"), "adopted")
     platform = F.col("platform") if "platform" in groups.columns else F.lit(None).cast("string")
-    attached = catalogue.attach_aliases(rows.select("id", "grp"), groups.select("grp", F.col("model_id").alias("form"), platform.alias("platform"), "pos"))
+    attached = _attached(rows, groups.select("grp", "model_id", "pos", platform.alias("platform")))
     hosted = attached.where("form <> id").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "platform")))).alias("platforms"))
     one = rows.groupBy("id").agg(
         *(F.min_by(c, "grp").alias(c) for c in ("org_id", "family")), F.min(F.coalesce("name", keys.display_name(F.col("mint")))).alias("display_name"), F.min("release_date").alias("release_date"), F.bool_or("open_weights").alias("open_weights"),
@@ -141,3 +145,14 @@ def regenerate_catalogue(
     if casing is not None and distinct_orgs is not None:
         entries = merge.canonicalize_orgs(entries, "org_id", org_map, casing, distinct_orgs)
     return {"entries": entries, "claims": claims, "remap": batch["remap"].unionByName(carried["remap"]), "report": carried["report"], "suppressed": out["suppressed"], "vetoed": out["vetoed"], "dropped": batch["dropped"], "lost": out["lost"]}
+
+
+def _attached(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, form, platform): what providers' rows of a group are known by, for the entry that they name: variants and other sizes are none."""
+    named = lambda c: keys.catalogue_name(c, variants=False)
+    spelled = rows.withColumn("_n", named(F.col("model_id"))).withColumn("_i", keys.catalogue_signature(F.col("_n")))
+    e = entries.select("id", "grp", "org_id", keys.catalogue_signature(named(F.regexp_replace("id", r"^[^/]*/", ""))).alias("_i"))
+    fits = spelled.join(e, ["grp", "_i"]).select("id", F.explode(keys.surface_forms(F.col("model_id"), F.col("_n"), F.col("org_id"))).alias("form"), "platform", "pos")
+    stolen = match.stolen_forms(fits.select("form", "id").distinct(), entries.select(F.col("id").alias("form"), "id"))
+    fits = fits.join(stolen.select("form", "id"), ["form", "id"], "left_anti")
+    return fits.groupBy("id", "form").agg(F.min_by("platform", F.when(F.col("platform").isNotNull(), F.col("pos"))).alias("platform"))

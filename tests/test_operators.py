@@ -202,6 +202,9 @@ def test_repeated_records_have_no_false_parents_and_the_last_fact_wins(spark):
     entities = spark.createDataFrame([], "id string, entity_type string")
     base = jobs.sync_records(_records(spark, [one]), nothing, entities)["facts"]
     out = jobs.sync_records(_records(spark, [one, one, two]).coalesce(1), nothing, entities, known_facts=base.limit(0), run_id="r", now="t")
+    pair = ("e2", "org/m", [("alpha", "D", 1.0), ("beta", "D", 2.0), ("gamma", "E", 3.0)])
+    twice = facts.result_rows(_records(spark, [pair, pair])).collect()
+    assert sorted((r.name, str(r.parent)) for r in twice) == sorted([("alpha", "D"), ("beta", "D"), ("gamma", "None")] * 2)
     rows = out["facts"].collect()
     assert len(rows) == 3 and all(r.parent_benchmark_id is None for r in rows)
     assert [r.score for r in out["all_facts"].collect()] == [2.0]

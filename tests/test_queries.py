@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kinfold.plans import more_queries, queries, reconcile_queries  # noqa: F401  (the others add to the same tables)
+from kinfold.plans import minting_queries, more_queries, queries, reconcile_queries  # noqa: F401  (the others add to the same tables)
 
 SF = "/root/testdata/sf0.001"
 
