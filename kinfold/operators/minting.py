@@ -25,10 +25,10 @@ def _prefix(c: Column) -> Column:
 
 
 def infer_base_by_token(drafts: DataFrame, aliases: DataFrame, org_map: DataFrame, tokens: tuple[str, ...] = BASE_TOKENS) -> DataFrame:
-    """(id, base): of drafts (id, raw_value) the model that the longest stem of their name's base token on names, by an exact or normalized alias.
+    """(id, base, rest): of drafts (id, raw_value) the model that the longest stem of their name's base token on names, by an exact or normalized alias.
 
     The first token of ``tokens`` that a word equals, or begins with before a digit, tells where stems start. A stem under the org
-    goes before the bare one of its length. What is the same name as the draft is no base.
+    goes before the bare one of its length. What is the same name as the draft is no base. ``rest``: the words behind the stem, dashed.
     """
     name = F.regexp_replace("raw_value", r"^[^/]*/", "")
     words = F.filter(F.split(F.lower(name), r"[\s\-_/.:]+"), lambda w: w != "")
@@ -38,14 +38,14 @@ def infer_base_by_token(drafts: DataFrame, aliases: DataFrame, org_map: DataFram
     d = d.withColumn("_s", start).where("_s is not null").join(org_map.select("name", F.col("org").alias("_d")), "name", "left").withColumn("_o", F.coalesce("_d", "_o"))
     d = d.withColumn("_t", F.expr("slice(_w, cast(_s as int), size(_w))")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("_t"))))
     stem = F.array_join(F.expr("slice(_t, 1, n)"), "-")
-    d = d.select("id", "raw_value", "_name", "n", F.explode(F.array_compact(F.array(F.when(F.col("_o").isNotNull(), F.struct(F.lit(0).alias("bare"), F.concat("_o", F.lit("/"), stem).alias("stem"))), F.struct(F.lit(1).alias("bare"), stem.alias("stem"))))).alias("_x")).select("*", "_x.*").drop("_x")
+    d = d.select("id", "raw_value", "_name", "n", F.array_join(F.expr("slice(_t, n + 1, size(_t))"), "-").alias("rest"), F.explode(F.array_compact(F.array(F.when(F.col("_o").isNotNull(), F.struct(F.lit(0).alias("bare"), F.concat("_o", F.lit("/"), stem).alias("stem"))), F.struct(F.lit(1).alias("bare"), stem.alias("stem"))))).alias("_x")).select("*", "_x.*").drop("_x")
     d = d.where(keys.index_key(F.col("stem")) != keys.index_key(F.col("raw_value")))
     probe = d.select("stem").distinct()
     hits = match.resolve(probe.select(F.col("stem").alias("raw_value"), F.lit("model").alias("entity_type"), F.lit(None).cast("string").alias("source_config")), aliases, mode="exact").where("canonical_id is not null")
     d = d.join(hits.select(F.col("raw_value").alias("stem"), F.col("canonical_id").alias("base")), "stem")
     nz = lambda c: keys.index_key(c)
     other = (nz(F.col("base")) != nz(F.col("raw_value"))) & (nz(F.regexp_replace("base", r"^[^/]*/", "")) != nz(F.col("_name"))) & (nz(F.col("base")) != nz(F.col("id")))
-    return d.where(other).groupBy("id").agg(F.min_by("base", F.struct((-F.col("n")).alias("n"), "bare")).alias("base"))
+    return d.where(other).groupBy("id").agg(F.min_by(F.struct("base", "rest"), F.struct((-F.col("n")).alias("n"), "bare")).alias("_b")).select("id", "_b.*")
 
 
 def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFrame, external: DataFrame | None = None, org_map: DataFrame | None = None) -> dict[str, DataFrame]:
