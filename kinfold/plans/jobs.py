@@ -130,7 +130,7 @@ def regenerate_catalogue(
     rows = rows.withColumn("id", F.coalesce("_repo", "_key", "mint")).withColumn("deferred", F.col("_repo").isNotNull()).withColumn("adopted", F.col("_repo").isNull() & F.col("_key").isNotNull())
     rows = stored(rows.drop("_repo", "_key"), "adopted")
     platform = F.col("platform") if "platform" in groups.columns else F.lit(None).cast("string")
-    attached = _attached(rows, groups.select("grp", "model_id", "pos", platform.alias("platform")))
+    attached = _attached(rows, org_map, groups.select("grp", "model_id", "pos", platform.alias("platform")))
     hosted = attached.where("form <> id").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "platform")))).alias("platforms"))
     one = rows.groupBy("id").agg(
         *(F.min_by(c, "grp").alias(c) for c in ("org_id", "family")), F.min(F.coalesce("name", keys.display_name(F.col("mint")))).alias("display_name"), F.min("release_date").alias("release_date"), F.bool_or("open_weights").alias("open_weights"),
@@ -147,12 +147,18 @@ def regenerate_catalogue(
     return {"entries": entries, "claims": claims, "remap": batch["remap"].unionByName(carried["remap"]), "report": carried["report"], "suppressed": out["suppressed"], "vetoed": out["vetoed"], "dropped": batch["dropped"], "lost": out["lost"]}
 
 
-def _attached(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, form, platform): what providers' rows of a group are known by, for the entry that they name: variants and other sizes are none."""
+def _attached(entries: DataFrame, org_map: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, form, platform): what providers' rows of a group are known by, for the entry that they name: variants and other sizes are none.
+
+    A row may name the entry with its org's brand in front.
+    """
     named = lambda c: keys.catalogue_name(c, variants=False)
-    spelled = rows.withColumn("_n", named(F.col("model_id"))).withColumn("_i", keys.catalogue_signature(F.col("_n")))
+    spelled = rows.withColumn("_n", named(F.col("model_id"))).withColumn("name", F.substring_index("_n", "-", 1)).join(org_map.select("name", F.col("org").alias("_brand")), "name", "left").drop("name")
+    whole = F.struct(F.lit(False).alias("bare"), keys.catalogue_signature(F.col("_n")).alias("_i"))
+    bare = F.struct(F.lit(True).alias("bare"), keys.catalogue_signature(F.regexp_replace("_n", "^[^-]*-", "")).alias("_i"))
+    spelled = spelled.withColumn("_x", F.explode(F.array_compact(F.array(whole, F.when(F.col("_brand").isNotNull() & F.col("_n").contains("-"), bare))))).select("*", "_x.*").drop("_x")
     e = entries.select("id", "grp", "org_id", keys.catalogue_signature(named(F.regexp_replace("id", r"^[^/]*/", ""))).alias("_i"))
-    fits = spelled.join(e, ["grp", "_i"]).select("id", F.explode(keys.surface_forms(F.col("model_id"), F.col("_n"), F.col("org_id"))).alias("form"), "platform", "pos")
+    fits = spelled.join(e, ["grp", "_i"]).where("not bare or _brand = org_id").select("id", F.explode(keys.surface_forms(F.col("model_id"), F.col("_n"), F.col("org_id"))).alias("form"), "platform", "pos")
     stolen = match.stolen_forms(fits.select("form", "id").distinct(), entries.select(F.col("id").alias("form"), "id"))
     fits = fits.join(stolen.select("form", "id"), ["form", "id"], "left_anti")
     return fits.groupBy("id", "form").agg(F.min_by("platform", F.when(F.col("platform").isNotNull(), F.col("pos"))).alias("platform"))
