@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
@@ -100,20 +102,27 @@ def derive_lineage(models: DataFrame, same_org: str = "org_id") -> DataFrame:
     return out.withColumn("lineage_origin_model_id", F.nullif("_origin", "id")).withColumn("lineage_origin_model_org_id", F.coalesce("_oorg", same_org)).drop("_origin", "_oorg")
 
 
-def inherit(nodes: DataFrame, attribute: str, condition: str = INHERITED, most_rounds: int = 64) -> DataFrame:
-    """(id, attribute): a node's own value, else the first explicit one up its walk."""
-    step = next_step(edges(nodes), nodes, condition).join(nodes.select("id", F.col(attribute).alias("v")), "id")
-    state = stored(step.select("id", F.when(F.col("v").isNull(), F.col("up")).alias("at"), "v"))
+def inherit(nodes: DataFrame, attributes: str | list[str], condition: str = INHERITED, most_rounds: int = 64) -> DataFrame:
+    """(id, the attributes): for each attribute a node's own value, else the first explicit one up its walk.
+
+    One walk serves all attributes. After k rounds a row holds what 2**k nodes of its walk give and the node behind them
+    (``at``); it is settled once every attribute has a value or the walk has ended. Only open rows are joined again.
+    A walk into a cycle ends when it has seen the whole cycle. Repeated ids are an error of the caller.
+    """
+    names = [attributes] if isinstance(attributes, str) else list(attributes)
+    lacking = reduce(lambda a, b: a | b, (F.col(n).isNull() for n in names))
+    step = next_step(edges(nodes), nodes, condition).join(nodes.select("id", *names), "id")
+    state = stored(step.select("id", F.when(lacking, F.col("up")).alias("at"), *names))
     n = state.count()
     for k in range(most_rounds):
-        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("v").alias("_v"))
-        new = stored(state.join(ahead, "at", "left").select("id", F.when(F.col("v").isNull() & F.col("_v").isNull(), F.col("_at")).alias("at"), F.coalesce("v", "_v").alias("v")))
-        if new.where("at is not null").isEmpty():
-            return new.select("id", F.col("v").alias(attribute))
+        waiting = state.where("at is not null")
         # What is left open after as many hops as there are nodes goes round a cycle without a value.
-        if 2 ** (k + 1) > n:
-            return new.select("id", F.col("v").alias(attribute))
-        state = new
+        if 2**k > n or waiting.isEmpty():
+            return state.drop("at")
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), *(F.col(c).alias(f"_{c}") for c in names))
+        both = waiting.join(ahead, "at").select("id", "_at", *(F.coalesce(c, f"_{c}").alias(c) for c in names))
+        moved = both.select("id", F.when(lacking, F.col("_at")).alias("at"), *names)
+        state = stored(moved.unionByName(state.where("at is null")))
     raise RuntimeError("the walk did not settle")
 
 

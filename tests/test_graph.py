@@ -2,7 +2,7 @@
 
 import random
 
-from kinfold.operators import graph
+from kinfold.operators import attributes, graph
 
 
 def walked(up, node):
@@ -34,3 +34,43 @@ def test_inherited_values_round_a_cycle(spark):
     rows = [("a", edge("b"), None), ("b", edge("c"), None), ("c", edge("a"), None), ("d", edge("a"), None), ("x", edge("y"), None), ("y", edge("x"), True), ("z", edge("x"), None)]
     nodes = spark.createDataFrame(rows, "id string, parents array<struct<id:string,relationship:string,axis:string>>, open_weights boolean")
     assert {r.id: r.open_weights for r in graph.inherit(nodes, "open_weights").collect()} == {"a": None, "b": None, "c": None, "d": None, "x": True, "y": True, "z": True}
+
+
+EDGES = "array<struct<id:string,relationship:string,axis:string>>"
+
+
+def test_three_attributes_in_one_walk(spark):
+    draw = random.Random(5)
+    up = {k: draw.choice([None, *range(80)]) for k in range(80)} | {k: k - 1 for k in range(80, 140)}
+    value = lambda share: {k: draw.choice("xyz") if draw.random() < share else None for k in up}
+    given = {"u": value(0.1), "v": value(0.5), "w": value(0.02)}
+    rows = [(str(k), [(str(p), "variant", None)] if p is not None else None, *(given[c][k] for c in "uvw")) for k, p in up.items()]
+    nodes = spark.createDataFrame(rows, f"id string, parents {EDGES}, u string, v string, w string")
+
+    def first(c, k):
+        seen = set()
+        while k is not None and k not in seen:
+            if given[c][k] is not None:
+                return given[c][k]
+            seen.add(k)
+            k = up[k]
+
+    got = {int(r.id): tuple(r[c] for c in "uvw") for r in graph.inherit(nodes, ["u", "v", "w"]).collect()}
+    assert got == {k: tuple(first(c, k) for c in "uvw") for k in up}
+    assert graph.inherit(nodes.limit(0), ["u", "v"]).count() == 0
+
+
+def test_attributes_have_their_own_fallbacks(spark):
+    variant = lambda p: [(p, "variant", "version")]
+    rows = [
+        ("Lab-HF/m-1", None, [], None, True, ["org-unknown", "x"]), ("lab/m-1-2025-03-04", None, variant("Lab-HF/m-1"), " ", None, None), ("new/m-20240230", "kept", variant("lab/m-1-2025-03-04"), "2020", False, ["a"]),
+        ("new/m-20240132", None, variant("new/m-20240230"), None, None, ["org-unknown"]), ("bare-2025-13", None, variant("gone"), None, None, ["b"]), ("q", "unknown", variant("q"), None, None, None), ("/odd", None, None, None, None, ["org-unknown"]), ("e/m", "", None, None, None, None),
+    ]
+    models = spark.createDataFrame(rows, f"id string, org_id string, parents {EDGES}, release_date string, open_weights boolean, tags array<string>")
+    out = attributes.derive(models, spark.createDataFrame([("lab-hf", "lab")], "name string, org string"), spark.createDataFrame([("lab",)], "id string"))
+    got = {r.id: (r.org_id, r.release_date, r.open_weights, r.tags, r.model_group_id) for r in out["models"].collect()}
+    assert got == {
+        "Lab-HF/m-1": ("lab", None, True, ["x"], "Lab-HF/m-1"), "lab/m-1-2025-03-04": ("lab", "2025-03-04", True, None, "Lab-HF/m-1"), "new/m-20240230": ("kept", "2020", False, ["a"], "new/m-20240230"), "new/m-20240132": ("new", None, False, [], "new/m-20240132"),
+        "bare-2025-13": (None, None, None, ["b", "org-unknown"], "bare-2025-13"), "q": ("unknown", None, None, ["org-unknown"], "q"), "/odd": (None, None, None, ["org-unknown"], "/odd"), "e/m": ("", None, None, None, "e/m"),
+    }
+    assert [tuple(r) for r in out["orgs"].collect()] == [("new", "new", "new", "community", "reviewed")]
