@@ -52,8 +52,10 @@ def derive(models: DataFrame, org_map: DataFrame, orgs: DataFrame | None = None,
     kinds = {"org_id": "string", "release_date": "string", "tags": "array<string>"}
     full = models.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in models.columns})
     settled = sync_org_tag(settle_dates(settle_orgs(full, org_map)))
-    values = graph.inherit(settled, list(inherited))
-    out = {"models": graph.derive_lineage(settled).drop(*inherited).join(values, "id", "left")}
+    lineage = graph.derive_lineage(settled)
+    if inherited:
+        lineage = lineage.drop(*inherited).join(graph.inherit(settled, list(inherited)), "id", "left")
+    out = {"models": lineage}
     if orgs is not None:
         out["orgs"] = community_orgs(full, settled, orgs)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
@@ -209,3 +211,18 @@ def bad_metric_folds(folds: DataFrame, benchmarks: DataFrame, metrics: DataFrame
 def below_floor(df: DataFrame, least: int) -> DataFrame:
     """The row count, where it is below the floor."""
     return df.agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
+def report(models: DataFrame, aliases: DataFrame, claims: DataFrame, orgs: DataFrame | None = None, benchmarks: DataFrame | None = None) -> DataFrame:
+    """(check, offender): what the checks of a built registry find; offenders of several ids are joined by a bar."""
+    ids = F.array_join("ids", "|")
+    found = {
+        "same id but for case": duplicate_ids(models).select(ids), "edge to nothing": dangling_edges(models).select(F.concat_ws(">", "child", "parent")), "no group or family": not_total(models).select(F.concat_ws(":", "field", "id")),
+        "own origin": self_origin(models).select("id"), "group over orgs": crossing_orgs(models).select("model_group_id"), "raw name": raw_display_names(models).select("id"), "claimed twice": claims.select("raw_value"),
+        "no alias of its own": not_own_alias(models, aliases.withColumn("status", F.lit(None).cast("string"))).select("id"), "edge to an alias": renamed_edges(models, aliases).select(F.concat_ws(">", "child", "parent")), "same identity": shared_identity(models).select(ids),
+    }
+    if orgs is not None:
+        found |= {"org without row": dangling_orgs(models, orgs).select(F.concat_ws(":", "id", "org")), "split org": split_orgs(orgs).select(ids)}
+    if benchmarks is not None:
+        found["benchmark twins"] = separator_twins(benchmarks).select(ids)
+    return reduce(DataFrame.unionByName, (df.toDF("offender").select(F.lit(name).alias("check"), "offender") for name, df in found.items()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import catalogue, changes, checks, facts, graph, match, merge, minting, reconcile
+from ..operators import attributes, catalogue, changes, checks, facts, graph, match, merge, minting, reconcile
 from ..storage import stored
 
 
@@ -49,16 +51,79 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     return out
 
 
-def build_registry(layers: DataFrame, org_map: DataFrame, scalars: list[str], unions: list[str]) -> dict[str, DataFrame]:
-    """Layered model entries to merged, attributed and folded models with lineage, and their aliases."""
-    merged = merge.merge_layers(layers, scalars, unions)
+def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], unions: list[str], orgs: DataFrame | None = None, weak: DataFrame | None = None, weak_fields: list[str] = (), never: DataFrame | None = None, prefer: DataFrame | None = None, forced: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Layered entries to models: merged by rank, attributed, collisions folded, edges repointed, gaps filled, attributes and lineage derived.
+
+    ``layers``: id, layer_rank, file, pos, the scalars (``display_name``, ``org_id``, ``resolution_source`` among them) and lists, and where
+    there are any, ``parents``. ``never``, ``prefer`` and ``forced`` steer the folds (``merge.fold_collisions``). ``weak`` (id, the weak fields,
+    and their order) fills what is still empty after the folds, under the winners' ids, but no date that the id itself tells.
+    Gives ``models``, ``remap``, ``attributed`` (before the folds) and, with ``orgs``, the ``orgs`` that have to be added.
+    """
+    if "parents" not in layers.columns:
+        layers = layers.withColumn("parents", F.array().cast(reconcile.EDGES))
+    merged = stored(merge.merge_layers(layers, scalars, unions, edges="parents"), "merged")
     attributed, merges = match.attribute_orgs(merged, org_map)
-    ranked = attributed.withColumn("source_rank", F.lit(0)).withColumn("is_real", F.col("resolution_source").isin("curated", "models_dev"))
-    remap = merge.fold_collisions(ranked, forced=merges.select(F.col("id").alias("loser"), F.col("into").alias("winner")))
+    source = F.col("resolution_source")
+    ranked = attributed.withColumn("source_rank", F.when(source == "curated", 2).when(source == "hf", 1).otherwise(0)).withColumn("is_real", F.coalesce(source.isin("curated", "hf"), F.lit(False)))
+    wanted = merges.select(F.col("id").alias("loser"), F.col("into").alias("winner"))
+    remap = stored(merge.fold_collisions(ranked, never, prefer, wanted if forced is None else wanted.unionByName(forced)), "remap")
     folded = merge.apply_remap(attributed, remap, unions)
-    named = folded.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id"))))
-    aliases, claims = changes.seed_aliases(named.withColumn("entity_type", F.lit("model")))
-    return {"models": named, "aliases": aliases, "claims": claims, "remap": remap}
+    links = graph.repoint(graph.edges(attributed), remap).join(folded.select(F.col("id").alias("child")), "child", "left_semi")
+    edge = F.struct(F.col("parent").alias("id"), "relationship", "axis").alias("e")
+    lists = links.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", edge))).alias("_l")).select("id", F.transform("_l", lambda x: x["e"]).alias("parents"))
+    models = folded.drop("parents").join(lists, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast(reconcile.EDGES)))
+    if weak is not None:
+        moved = weak.join(remap.select(F.col("loser").alias("id"), "winner"), "id", "left").withColumn("id", F.coalesce("winner", "id")).drop("winner")
+        if "release_date" in weak_fields:
+            moved = moved.withColumn("release_date", F.when(keys.id_date(F.col("id")).isNull(), F.col("release_date")))
+        if "explicit_keys" not in models.columns:
+            models = models.withColumn("explicit_keys", F.array().cast("array<string>"))
+        models = merge.fill_weak(models, moved, list(weak_fields))
+    named = stored(models.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id")))), "folded")
+    inherited = ("open_weights",) if "open_weights" in named.columns else ()
+    return {**attributes.derive(named, org_map, orgs, inherited), "remap": remap, "attributed": attributed}
+
+
+def build_registry(
+    layers: DataFrame, org_map: DataFrame, scalars: list[str], unions: list[str], orgs: tuple[DataFrame, DataFrame] | None = None, benchmarks: tuple[DataFrame, DataFrame] | None = None, benchmark_fields: list[str] = ("display_name",), scoped: DataFrame | None = None,
+    before: dict[str, DataFrame] | None = None, **settings,
+) -> dict[str, DataFrame]:
+    """The whole registry from its layers: ``models``, ``orgs``, ``benchmarks``, ``aliases``, ``claims``, ``remap``, ``checks``; after pruning, ``entities`` too.
+
+    ``orgs`` and ``benchmarks`` are (generated, curated). A curated org takes the place of a generated one (id, hf_org, display_name, aliases, kind, seq; where
+    none are given, models seed their aliases without ranks); a curated benchmark overrides the fields it states (``explicit_keys``). Orgs that models name and
+    nobody lists get a row. ``before`` has the stored ``aliases`` (id, entity_type, raw_value, source_config, canonical_id, strategy) and ``entities``
+    (entity_type, id, review_status): what an earlier seed left in them and this one lacks goes, but for orgs that models still name, and entities that other aliases use.
+    ``settings`` go to ``settle_models``; ``checks`` has every offender (``checks.report``).
+    """
+    generated = None if orgs is None else stored(merge.replace_whole(*orgs), "orgs")
+    made = settle_models(layers, org_map, scalars, unions, generated, **settings)
+    models = stored(made["models"], "models")
+    model_rows = models.withColumn("entity_type", F.lit("model"))
+    out = {"models": models, "remap": made["remap"]}
+    rows = []
+    if benchmarks is not None:
+        out["benchmarks"] = stored(merge.override_merge(*benchmarks, list(benchmark_fields), ["aliases"]), "benchmarks")
+        rows.append(out["benchmarks"].withColumn("entity_type", F.lit("benchmark")))
+    if generated is None:
+        aliases, claims = changes.seed_aliases(model_rows, scoped)
+        out |= {"aliases": aliases, "claims": claims}
+    else:
+        new = made["orgs"].withColumn("aliases", F.array().cast("array<string>")).withColumn("seq", F.lit(None).cast("long"))
+        out["orgs"] = all_orgs = stored(generated.unionByName(new, allowMissingColumns=True), "all_orgs")
+        rows.append(all_orgs.withColumn("entity_type", F.lit("org")))
+        ranked = {"entity_type": "string", "id": "string", "display_name": "string", "aliases": "array<string>", "org_id": "string", "resolution_source": "string", "review_status": "string", "seq": "long"}
+        table = [r.select(*((F.col(c) if c in r.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ranked.items())) for r in (model_rows, *rows)]
+        seeded = minting.seed_by_rank(reduce(DataFrame.unionByName, table), all_orgs, org_map, scoped)
+        out |= {"aliases": stored(seeded["aliases"], "aliases"), "claims": seeded["claims"]}
+    if before is not None:
+        kept = reduce(DataFrame.unionByName, (r.select("id") for r in (model_rows, *rows))).distinct()
+        named = models.select(F.explode(F.array("org_id", "lineage_origin_model_org_id")).alias("id"))
+        if generated is not None and "parent_org_id" in generated.columns:
+            named = named.unionByName(generated.select(F.col("parent_org_id").alias("id")))
+        out["kept_aliases"], out["entities"] = changes.prune_stale(before["aliases"], before["entities"], out["aliases"], kept, named.where("id is not null").distinct())
+    out["checks"] = checks.report(models, out["aliases"], out["claims"], out.get("orgs"), out.get("benchmarks"))
+    return out
 
 
 def add_lineage(models: DataFrame) -> DataFrame:

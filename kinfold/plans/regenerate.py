@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys
-from ..operators import graph, match, merge, minting, reconcile, residual
+from ..operators import merge, minting, reconcile, residual
 from ..sources import publish
 from ..storage import stored
 from . import jobs
@@ -59,18 +59,9 @@ def _owned(layers: DataFrame) -> DataFrame:
 
 
 def _models(layers: DataFrame, org_map: DataFrame) -> DataFrame:
-    """Layers to models: fields merged by rank, collisions folded, edges repointed, orgs, dates and lineage derived."""
+    """Layers to models (``jobs.settle_models``)."""
     rows = layers.withColumn("file", F.lit("layer")).withColumn("pos", F.lit(0))
-    merged = stored(merge.merge_layers(rows, ["display_name", "org_id", "release_date", "open_weights", "review_status", "resolution_source", *FACTS], ["aliases"], edges="parents"), "merged")
-    attributed, merges = match.attribute_orgs(merged, org_map)
-    ranked = attributed.withColumn("source_rank", F.when(F.col("resolution_source") == "curated", 2).when(F.col("resolution_source") == "hf", 1).otherwise(0)).withColumn("is_real", F.col("resolution_source").isin("curated", "hf"))
-    remap = stored(merge.fold_collisions(ranked, forced=merges.select(F.col("id").alias("loser"), F.col("into").alias("winner"))), "remap")
-    folded = merge.apply_remap(attributed, remap, ["aliases"])
-    edges = graph.repoint(graph.edges(attributed), remap).join(folded.select(F.col("id").alias("child")), "child", "left_semi")
-    lists = edges.groupBy("child").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("parent").alias("id"), "relationship", "axis"))).alias("_e")).select(F.col("child").alias("id"), F.transform("_e", lambda e: F.struct(e["id"].alias("id"), e["relationship"].alias("relationship"), e["axis"].alias("axis"))).alias("parents"))
-    models = stored(folded.drop("parents").join(lists, "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast(reconcile.EDGES))), "folded")
-    models = models.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id")))).withColumn("release_date", F.coalesce("release_date", keys.id_date(F.col("id"))))
-    return jobs.add_lineage(models).drop("n_rows")
+    return jobs.settle_models(rows, org_map, ["display_name", "org_id", "release_date", "open_weights", "review_status", "resolution_source", *FACTS], ["aliases"])["models"].drop("n_rows", "tags")
 
 
 def registry_stage(x: dict[str, DataFrame]) -> DataFrame:
