@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import attributes, reconcile
+from ..operators import attributes, graph, reconcile
+from ..storage import shared_folder
+from ..streaming import log, resolve
 from . import jobs
 from .minting_queries import _closed
 from .queries import FAMILY, GROUP, LINEAGE, MODELS, models, nothing, query, t, walk_sql
@@ -84,3 +86,25 @@ def settled_attributes(spark, d):
     rows = m.select(F.col("name").alias("id"), "org_id", F.when(F.col("_up").isNotNull(), edge).alias("parents"), "open_weights", "release_date", "size", F.when(F.col("org_id").isNotNull(), F.array(F.lit(attributes.NO_ORG_TAG))).alias("tags"))
     out = attributes.derive(rows, spark.createDataFrame([("brand#11", "eleven")], "name string, org string"), inherited=("open_weights", "size"))["models"]
     return out.select("id", "org_id", "release_date", "open_weights", "size", F.coalesce(F.array_contains("tags", attributes.NO_ORG_TAG), F.lit(False)).alias("tagged"), "model_group_id", "model_family_id", "lineage_origin_model_id")
+
+
+@query("""WITH u AS (SELECT user_id AS u, count(*) AS requests FROM events GROUP BY 1)
+    SELECT 'U' || u AS raw_value, requests, CASE WHEN u % 5 <> 4 THEN 'u-' || u END AS canonical_id, CASE WHEN u % 5 <> 4 THEN 'normalized' ELSE 'no_match' END AS strategy, CASE WHEN u % 5 = 4 THEN NULL WHEN u % 3 = 0 THEN 'F' || (u % 10) WHEN u % 3 = 1 AND u - 1 IN (SELECT u FROM u) THEN 'u-' || (u - 1) ELSE 'u-' || u END AS family_id,
+        CASE WHEN u % 5 <> 4 AND u % 3 = 0 AND u % 10 < 5 THEN 'C' || (u % 10) END AS composite_id, CASE WHEN u % 5 <> 4 THEN CASE WHEN u % 3 = 1 THEN 'slice' ELSE 'benchmark' END END AS level, CASE WHEN u % 5 <> 4 AND u % 3 = 1 THEN 'U' || u END AS matched_subset,
+        CASE WHEN u % 5 <> 4 THEN concat_ws('|', CASE WHEN u % 3 = 0 THEN 'F' || (u % 10) || ':family' WHEN u % 3 = 1 AND u - 1 IN (SELECT u FROM u) THEN 'u-' || (u - 1) || ':family' END, CASE WHEN u % 3 = 0 AND u % 10 < 5 THEN 'C' || (u % 10) || ':composite' END) END AS above FROM u""")
+def stream_log(spark, d):
+    """Users as benchmarks, a third of them slices of the one before: what a stream over the events logs, its only batch written twice."""
+    ev = t(spark, d, "events")
+    u = F.col("user_id")
+    known = ev.select("user_id").distinct().select("user_id", F.concat(F.lit("u-"), "user_id").alias("id"), F.when(u % 3 == 1, F.concat(F.lit("u-"), u - 1)).alias("parent_benchmark_id"))
+    alias = known.where(u % 5 != 4).select(F.concat(F.lit("u"), "user_id").alias("raw_value"), F.lit("benchmark").alias("entity_type"), nothing().alias("source_config"), F.col("id").alias("canonical_id"), F.lit("auto").alias("status"), F.lit(1).alias("seq"))
+    families = known.where(u % 3 == 0).groupBy((u % 10).alias("seq")).agg(F.collect_list("id").alias("benchmark_ids")).select(F.concat(F.lit("F"), "seq").alias("id"), "seq", "benchmark_ids")
+    composites = families.where("seq < 5").select(F.concat(F.lit("C"), "seq").alias("id"), F.col("id").alias("family_id"))
+    levels = {"families": families, "roots": graph.benchmark_family(known, families), "composites": composites, "parents": known}
+    said = lambda df: df.select("event_id", F.concat(F.lit("U"), "user_id").alias("raw_value"), F.lit("benchmark").alias("entity_type"), nothing().alias("source_config"))
+    root = shared_folder(spark, "stream")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{d}/events*.parquet")
+    resolve.resolve_stream(said(stream), alias, f"{root}/out", f"{root}/state", f"{root}/log", trigger={"availableNow": True}, levels=levels).awaitTermination()
+    resolve.batch_writer(alias, f"{root}/out", f"{root}/state", f"{root}/log", levels)(said(ev), 0)
+    above = F.array_join(F.transform("ancestry", lambda x: F.concat_ws(":", x["canonical_id"], x["level"])), "|")
+    return log.read_log(spark, f"{root}/log").select("raw_value", "requests", "canonical_id", "strategy", "family_id", "composite_id", "resolution_detail.level", "resolution_detail.matched_subset", above.alias("above"))
