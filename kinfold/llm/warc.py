@@ -27,6 +27,8 @@ from .common import bounded_batches, shared_folder, shuffle_partitions, small_ba
 
 BLOCK_LINES = 1024
 SALTS = 16
+#: So many repeated digests, of about 100 bytes each, may be sent to every task.
+BROADCAST_DIGESTS = 100_000
 #: Pages carry no time of capture, so all records have this one.
 CAPTURED = "2000-01-01T00:00:00Z"
 GZIP_LEVEL = 3
@@ -48,14 +50,19 @@ def capture_key(url: Column, page_id: Column) -> Column:
 def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Add ``digest`` (hex SHA-1 of html), ``record_type`` and ``refers_to`` to (page_id, url, html).
 
-    Only digests that occur more than once are joined, on the digest and a salt, so that a payload that
-    many pages share is dealt out.
+    Digests are judged without their payloads; those that occur more than once, each with its response, are
+    stored and counted. Up to ``BROADCAST_DIGESTS`` of them go to every task, and no payload is shuffled. More
+    are joined on the digest and a salt, so that a payload that many pages share is dealt out.
     """
     page = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1("html")).withColumn("_long", F.octet_length("html") >= least_bytes)
     again = page.where("_long").groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    page = page.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = page.join(again, ["digest", "_salt"], "left")
+    again = stored(again, "repeated")
+    if again.count() <= BROADCAST_DIGESTS:
+        joined = page.join(F.broadcast(again), "digest", "left")
+    else:
+        salted = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        page = page.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = page.join(salted, ["digest", "_salt"], "left")
     revisit = F.col("_long") & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 

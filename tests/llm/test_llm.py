@@ -115,7 +115,9 @@ def test_recall_on_given_vectors(spark):
     assert np.mean([len(got[q] & set(np.argsort(-s[q])[:5])) / 5 for q in range(0, len(x), 50)]) >= 0.9
 
 
-def test_archive(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_archive(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
     pages = [(k, f"http://A.example.com/p{k % 3}?q={k}", t) for k, t in enumerate(["<a>", "<b>", "<a>", "", None, "<a>", "é" * 5000])]
     pages += [(7, None, "<b>"), (8, "no scheme here", "z"), (None, "http://x/y", "<a>"), (2, "http://A.example.com/p2?q=2", "<a>"), (9, "http://h/" + "l" * 5000, "q")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
