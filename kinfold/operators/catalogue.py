@@ -106,11 +106,3 @@ def residual_mint(unmatched: DataFrame, existing: DataFrame, org_map: DataFrame)
     new = left.where("org is not null").withColumn("_k", keys.name_key(F.regexp_replace("id", r"^[^/]*/", ""))).withColumn("_s", keys.size_signature(F.col("id")))
     best = new.groupBy(*twin).agg(F.min_by("id", F.struct((F.col("id") == F.lower("id")).alias("a"), F.length("id").alias("l"), "id")).alias("draft"))
     return {"folds": folds, "drafts": new.join(best, twin).select("raw_value", "draft"), "review": left.where("org is null").select("raw_value")}
-
-
-def refresh_enrichment(drafts: DataFrame, external: DataFrame, index: DataFrame, committed: DataFrame) -> DataFrame:
-    """Drafts enriched from external rows, and committed rows that are missing now, tagged removed."""
-    from . import changes
-
-    fresh = merge.latest_by_id(changes.enrich_drafts(drafts, external, index))
-    return merge.carry_forward(fresh, committed)

@@ -212,13 +212,6 @@ def missing_orgs(entries: DataFrame, orgs: DataFrame) -> DataFrame:
     return wanted.join(orgs.select("id"), "id", "left_anti").withColumn("_k", keys.org_key(F.col("id"))).join(twins, "_k", "left_anti").drop("_k")
 
 
-def apply_folds(entries: DataFrame, folds: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, report): confirmed folds (id, target, match_type) applied, aliases given to the target."""
-    take = folds.join(confirmed.select("id"), "id", "left_semi")
-    out = apply_remap(entries, take.select(F.col("id").alias("loser"), F.col("target").alias("winner")), ["aliases"])
-    return out, take.groupBy("match_type").agg(F.count("*").alias("n"))
-
-
 def without_own_output(entities: DataFrame, aliases: DataFrame, prior: DataFrame, source: str = "inferred") -> tuple[DataFrame, DataFrame]:
     """Entities and aliases without what this job made before (ids in ``prior``), so that reruns agree."""
     own = prior.select("id").join(entities.where(F.col("resolution_source") == source).select("id"), "id", "left_semi")

@@ -52,6 +52,44 @@ def _repointed(entries: DataFrame, remap: DataFrame) -> DataFrame:
     return entries.join(lists, "id", "left").withColumn("parents", F.when(F.col("parents").isNotNull(), F.coalesce("_new", F.array().cast(EDGES)))).drop("_new")
 
 
+def _gained(lost: DataFrame, kept: DataFrame, items: Column, have: str, name: str) -> DataFrame:
+    """(id, name): what winners gain from losers (id, winner, ...) in order of the losers' ids; nothing that they have in any case, nor their own id."""
+    each = lost.select("winner", "id", F.posexplode(items).alias("pos", "item")).where("item <> '' and item <> winner")
+    had = kept.select(F.col("id").alias("winner"), F.explode(_list(have)).alias("item")).select("winner", F.lower("item").alias("_l")).distinct()
+    first = each.groupBy("winner", F.lower("item").alias("_l")).agg(F.min(F.struct("id", "pos", "item")).alias("_f")).join(had, ["winner", "_l"], "left_anti")
+    return first.groupBy(F.col("winner").alias("id")).agg(F.transform(F.array_sort(F.collect_list("_f")), lambda x: x["item"]).alias(name))
+
+
+def apply_folds(entries: DataFrame, folds: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, report): confirmed folds (id, target, match_type) applied; a target takes over what a folded entry has.
+
+    Its id, name and aliases become aliases and its providers are added, where the target hasn't got them in any case; its date and openness
+    fill gaps, of several entries the first one's; edges to it lead to the target. Entries may lack any of these columns but ``id``
+    and ``aliases``. A chain of folds ends at its last target. A fold whose entry or target has no row isn't applied; the report (match_type,
+    n, missing) counts it as missing.
+    """
+    take = folds.join(confirmed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    there = entries.select("id", F.lit(True).alias("_t")).distinct()
+    take = take.join(there, "id", "left").withColumnRenamed("_t", "_from").join(there.withColumnRenamed("id", "target"), "target", "left")
+    take = stored(take.withColumn("missing", F.col("_from").isNull() | F.col("_t").isNull()), "folds")
+    report = take.groupBy("match_type").agg(F.count_if(~F.col("missing")).alias("n"), F.count_if("missing").alias("missing"))
+    remap = stored(graph.compress_remap(take.where("not missing").select(F.col("id").alias("loser"), F.col("target").alias("winner"))), "remap")
+    lost = entries.join(remap.withColumnRenamed("loser", "id"), "id")
+    kept = entries.join(remap.select(F.col("loser").alias("id")), "id", "left_anti")
+    winners = kept.join(remap.select(F.col("winner").alias("id")).distinct(), "id", "left_semi")
+    named = F.array("id", "display_name") if "display_name" in entries.columns else F.array("id")
+    out = kept
+    for c, items in (("aliases", F.concat(named, _list("aliases"))), ("providers", _list("providers") if "providers" in entries.columns else None)):
+        if items is not None:
+            out = out.join(_gained(lost, winners, items, c, "_g"), "id", "left").withColumn(c, F.when(F.col("_g").isNull(), F.col(c)).otherwise(F.concat(_list(c), "_g"))).drop("_g")
+    for c in ("release_date", "open_weights"):
+        if c in entries.columns:
+            first = lost.where(_filled(c, entries.schema[c].dataType.simpleString())).groupBy(F.col("winner").alias("_w")).agg(F.min_by(c, "id").alias("_g"))
+            own = F.when(_filled(c, entries.schema[c].dataType.simpleString()), F.col(c))
+            out = out.join(first, F.col("id") == F.col("_w"), "left").withColumn(c, F.coalesce(own, "_g", c)).drop("_w", "_g")
+    return (_repointed(out, remap) if "parents" in entries.columns else out), report
+
+
 # --- within one batch ------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..operators import attributes, catalogue, changes, checks, facts, graph, match, merge, minting, reconcile
+from ..operators import attributes, catalogue, changes, checks, enrichment, facts, graph, match, merge, minting, reconcile
+from ..sources import publish
 from ..storage import stored
 
 
@@ -227,3 +228,23 @@ def _attached(entries: DataFrame, org_map: DataFrame, rows: DataFrame) -> DataFr
     stolen = match.stolen_forms(fits.select("form", "id").distinct(), entries.select(F.col("id").alias("form"), "id"))
     fits = fits.join(stolen.select("form", "id"), ["form", "id"], "left_anti")
     return fits.groupBy("id", "form").agg(F.min_by("platform", F.when(F.col("platform").isNotNull(), F.col("pos"))).alias("platform"))
+
+
+def refresh_enrichment(entries: DataFrame, spellings: DataFrame, repos: DataFrame, org_map: DataFrame, path: str, tag: str | None = None) -> str:
+    """Enrich known entries (``enrichment.enrich_known``) and publish the rows under ``path``: ``written``, ``same`` or ``skipped``.
+
+    It is skipped, and the large table isn't read, where the snapshot ``tag`` was asked for all candidates before and a result is there. Without a
+    tag it always runs. What was asked for is noted last, so a run that breaks off is done again. Entries that aren't found any more keep what was
+    published for them, as removed.
+    """
+    spark = entries.sparkSession
+    wanted = stored(enrichment.candidates(entries, spellings), "candidates")
+    new = wanted.join(publish.checked_ids(spark, f"{path}/_checked", tag), "id", "left_anti")
+    there = "enrichment" in publish.load_manifest(spark, path)
+    if there and new.isEmpty():
+        return "skipped"
+    committed = publish.read_published(spark, path, "enrichment") if there else None
+    said = publish.publish({"enrichment": enrichment.enrich_known(entries, spellings, repos, org_map, committed)}, path)["enrichment"]
+    if tag is not None:
+        new.select(F.lit(tag).alias("snapshot_tag"), "id").write.mode("append").parquet(f"{path}/_checked")
+    return said

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
-from ..operators import catalogue, checks, facts, graph, match, merge
+from ..operators import catalogue, checks, facts, graph, match, merge, reconcile
 from ..sources import registry
 from ..storage import shared_folder, stored
 from . import jobs
@@ -145,7 +145,7 @@ def curated_folds(spark, d):
     e = lambda c: F.concat(F.lit("e"), c)
     entries = p.select(e("k").alias("id"), F.array(e("k")).alias("aliases"))
     folds = p.where("k > 0").select(e("k").alias("id"), e(F.col("k") - 1).alias("target"), F.lit("name").alias("match_type"))
-    out, _ = merge.apply_folds(entries, folds, p.where("k % 10 = 1").select(e("k").alias("id")))
+    out, _ = reconcile.apply_folds(entries, folds, p.where("k % 10 = 1").select(e("k").alias("id")))
     return out.select("id", F.size("aliases").alias("aliases"))
 
 
