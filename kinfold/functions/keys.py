@@ -237,7 +237,7 @@ def clean_name(c: Column, trailing: Sequence[str] = TRAILING_METRICS) -> Column:
 def name_segments(c: Column) -> Column:
     """Parts of a dotted name without blanks, numbers, ``overall`` and adjacent repeats; null if there are none."""
     text = F.trim(c)
-    parts = F.filter(F.transform(F.split(text, r"\."), F.trim), lambda p: (p != "") & ~p.rlike(r"^\d+$") & (F.lower(p) != "overall"))
+    parts = F.filter(F.transform(F.split(text, r"\."), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^\d+$") & (F.lower(p) != "overall"))
     kept = F.filter(parts, lambda p, k: (k == 0) | (F.lower(p) != F.lower(F.get(parts, k - 1))))
     return F.when(text.contains(".") & ~text.contains(" ") & (F.size(kept) > 0), kept)
 
