@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kinfold.plans import enrichment_queries, minting_queries, more_queries, queries, reconcile_queries, registry_queries  # noqa: F401  (the others add to the same tables)
+from kinfold.plans import branch_queries, enrichment_queries, minting_queries, more_queries, queries, reconcile_queries, registry_queries  # noqa: F401  (the others add to the same tables)
 
 SF = "/root/testdata/sf0.001"
 
