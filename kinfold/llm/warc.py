@@ -42,7 +42,8 @@ def capture_key(url: Column, page_id: Column) -> Column:
     rest = F.lower(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
     labels = F.array_join(F.reverse(F.split(host, r"\.")), ",")
     surt = F.when(host == "", F.lit("-")).otherwise(F.concat(labels, F.lit(")"), rest))
-    page = F.coalesce(F.lpad(page_id.cast("string"), 20, "0"), F.lit("-"))
+    page = page_id.cast("string")
+    page = F.coalesce(F.lpad(page, F.greatest(F.length(page), F.lit(20)), F.lit("0")), F.lit("-"))
     # Line breaks and blanks would break index lines.
     return F.concat(F.regexp_replace(surt, r"\s", "%20"), F.lit(" "), page)
 
