@@ -132,7 +132,11 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Replace packed ids by the bytes they stand for; null counts as no ids."""
+    """Replace packed ids by the bytes they stand for; null counts as no ids.
+
+    An id that isn't in the vocabulary, or a value that isn't whole 32-bit ids, ends the job with an error, as no bytes would be right for it.
+    Repeated rows are decoded each for itself, an input column named like ``decoded`` is replaced, an empty table gives an empty result.
+    """
 
     def make():
         decoder = codec(path, pattern)

@@ -77,7 +77,11 @@ def node_keys(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> lis
 
 
 def sketch(df: DataFrame, text: str = "text", permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Replace the text by ``n_shingles``, ``node`` (128-bit hash of the set, null if empty) and ``bands``."""
+    """Replace the text by ``n_shingles``, ``node`` (128-bit hash of the set, null if empty) and ``bands``.
+
+    A null text, or one without words, has no shingles and no node; its bands are zeros that mean nothing. Rows are sketched each for itself, so repeated ones stay and nulls in
+    other columns are carried along; an input column named like an output column is replaced. An empty table gives an empty result.
+    """
     small_batches(df.sparkSession)
     names = [c for c in df.columns if c not in (text, "n_shingles", "node", "bands")]
     at, source = [df.columns.index(c) for c in names], df.columns.index(text)

@@ -112,7 +112,11 @@ def assign_shards(df: DataFrame, order_by: list[str], n_shards: int, seed: int =
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """Write one folder for each shard, rows in the order of their slots."""
+    """Write one folder for each shard, rows in the order of their slots.
+
+    ``assigned`` has ``shard`` and ``slot`` (see ``assign_shards``); all other columns are written as they are, nulls included, and repeated rows, which
+    have slots of their own, stay. A shard without rows gets no folder, an empty table none at all. A ``path`` that exists is an error.
+    """
     parts = shuffle_partitions(assigned.sparkSession)
     ordered = assigned.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.write.partitionBy("shard").parquet(path)

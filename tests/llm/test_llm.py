@@ -133,6 +133,27 @@ def test_archive(spark, monkeypatch, broadcast):
     assert all(r.record_type == "response" for r in warc.archive(df, least_bytes=1).collect() if r.payload_bytes == 0)
 
 
+def test_archive_of_long_text_ids(spark):
+    rows = [("page-with-a-very-long-name-" + str(k), "http://same/url", f"<p>{k % 5}") for k in range(40)]
+    got = {r.page_id: r for r in warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)).collect()}
+    first = {html: min(i for i, _, h in rows if h == html) for _, _, html in rows}
+    for i, _, html in rows:
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if first[html] == i else ("revisit", first[html]))
+        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
+def test_ids_that_cannot_be_decoded(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    decode = lambda values: byte_bpe.decode_ids(spark.createDataFrame([(v, b"x") for v in values], "ids binary, decoded binary"), path, pattern)
+    assert [bytes(r.decoded) for r in decode([None, bytearray(b"")]).collect()] == [b"", b""]
+    assert decode([bytearray(4)]).limit(0).count() == 0
+    for wrong in (b"\xff\xff\xff\x7f", b"\x01\x00\x00"):
+        with pytest.raises(Exception):
+            decode([bytearray(wrong)]).collect()
+
+
 def test_index_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     df = spark.range(200).selectExpr("id AS page_id", "concat('http://h', id % 5, '.org/', id % 7) AS url", "concat('x', id % 50) AS html")
