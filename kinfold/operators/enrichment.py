@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
-from ..storage import stored
+from ..storage import sized
 from . import match, merge, reconcile
 
 FACTS = ("release_date", "params_billions", "open_weights", "tags")
@@ -90,7 +90,7 @@ def base_edges(repos: DataFrame, pairs: DataFrame, index: DataFrame, org_map: Da
     for column, name in (("base", "_a"), ("_c", "_b")):
         bases = bases.withColumn("key", keys.match_key(F.col(column))).join(index.select("key", F.col("owner").alias(name)), "key", "left").drop("key")
     bases = bases.select("repo", "id", "pos", F.coalesce("_a", "_b").alias("parent"), F.coalesce("relation", F.lit("finetune")).alias("relationship"), F.lit(None).cast("string").alias("axis"))
-    bases = stored(bases.where("parent <> id"), "bases")
+    bases = sized(bases.where("parent <> id"), "bases")
     forms = index.select("form", F.col("owner").alias("canonical_id"))
     dated = match.infer_snapshot_edges(pairs.select(F.col("repo").alias("id")), forms).withColumnRenamed("id", "repo").join(pairs, "repo").where("parent <> id")
     dated = dated.select("repo", "id", F.lit(1 << 30).alias("pos"), "parent", F.lit("variant").alias("relationship"), F.lit("version").alias("axis"))
@@ -110,9 +110,9 @@ def enrich_known(entries: DataFrame, spellings: DataFrame, repos: DataFrame, org
     greater id), with the aliases of all. ``repo_id`` says that the entry is that repository: it is null where the entry is spelled otherwise and
     the repository isn't an entry itself. Rows of ``committed`` (an earlier result) whose entry isn't found any more stay, as removed.
     """
-    found = stored(repos.join(candidates(entries, spellings), "id", "left_semi").dropDuplicates(["id"]), "found")
-    index, names = stored(form_index(entries), "forms"), name_index(entries)
-    pairs = stored(targets(found, entries, index, org_map), "targets")
+    found = sized(repos.join(candidates(entries, spellings), "id", "left_semi").dropDuplicates(["id"]), "found")
+    index, names = sized(form_index(entries), "forms"), name_index(entries)
+    pairs = sized(targets(found, entries, index, org_map), "targets")
     parents, origins = base_edges(found, pairs, index, org_map)
     free = free_aliases(pairs, index, names).select("repo", F.array("repo").alias("aliases"))
     own = index.select("key", F.col("owner").alias("_owner"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys
-from ..storage import stored
+from ..storage import sized
 
 
 def score_of(result: str) -> Column:
@@ -38,7 +38,7 @@ def explode_results(records: DataFrame) -> DataFrame:
         "record", F.coalesce(_filled("evaluation_id", "source_metadata.evaluation_id", "source_metadata.id"), own).alias("evaluation_id"), "source_config", "model_raw",
         _filled("eval_library.name", "eval_library.library_name").alias("harness_raw"), F.posexplode("evaluation_results").alias("result_index", "r"),
     )
-    rows = stored(base.where("r.evaluation_name <> ''").select(
+    rows = sized(base.where("r.evaluation_name <> ''").select(
         "record", "evaluation_id", "source_config", "result_index", "model_raw", "harness_raw", F.col("r.evaluation_name").alias("name"), F.col("r.source_data.dataset_name").alias("dataset"),
         _filled("r.metric_config.metric_name", "r.metric_config.metric_id", "r.metric_config.evaluation_description").alias("_metric"), score_of("r").alias("score"),
     ), "results")
@@ -50,7 +50,7 @@ def explode_results(records: DataFrame) -> DataFrame:
 def result_rows(records: DataFrame) -> DataFrame:
     """The records' results with their parents, stored: mentions and facts are both taken from them."""
     rows = explode_results(records)
-    return stored(rows.join(detect_parents(rows, "record"), ["record", "name"], "left"), "rows")
+    return sized(rows.join(detect_parents(rows, "record"), ["record", "name"], "left"), "rows")
 
 
 def detect_parents(results: DataFrame, record: str = "evaluation_id", name: str = "name", dataset: str = "dataset", position: str = "result_index") -> DataFrame:

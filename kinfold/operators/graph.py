@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
-from ..storage import stored
+from ..storage import sized, stored
 
 IDENTITY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode'))"
 FAMILY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode', 'training_stage', 'size', 'tier'))"
@@ -46,7 +46,7 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round doubles the distance looked ahead, so a chain of any length takes logarithmically many rounds. A
     walk that runs into a cycle ends at the node before the place where it came in.
     """
-    jump = stored(steps.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
+    jump = sized(steps.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
     n = jump.count()
     for k in range(most_rounds):
         # After k rounds 2**k hops are looked ahead; who isn't done by n hops has gone into a cycle.
@@ -55,7 +55,7 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
         over = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
         ahead = jump.join(over, "at")
         far = ahead.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("_d")).alias("depth"), (F.col("done") | F.col("_done")).alias("done"))
-        jump = stored(far)
+        jump = sized(far)
     else:
         raise RuntimeError("the walk did not settle")
     done = jump.where("done").select("id", F.col("at").alias("root"), "depth")
@@ -67,16 +67,16 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 def _into_cycles(steps: DataFrame, members: DataFrame) -> DataFrame:
     """(id, root, depth) of walks that end in cycles, whose ``members`` are given."""
-    members = stored(members)
+    members = sized(members)
     inside = members.withColumn("_in", F.lit(True))
-    steps = stored(steps.join(inside, "id", "left"))
+    steps = sized(steps.join(inside, "id", "left"))
     entries = walk_up(steps.select("id", F.when(F.col("_in").isNull(), F.col("up")).alias("up")))
     ring = steps.where("_in").select("id", "up")
     # Each member's cycle is named by its least member, found by doubling; the count of members is the length.
     state = ring.select("id", F.col("up").alias("at"), F.least("id", "up").alias("least"))
     for _ in range(members.count().bit_length()):
         over = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_l"))
-        state = stored(state.join(over, "at").select("id", F.col("_at").alias("at"), F.least("least", "_l").alias("least")))
+        state = sized(state.join(over, "at").select("id", F.col("_at").alias("at"), F.least("least", "_l").alias("least")))
     lengths = state.join(state.groupBy("least").agg(F.count("*").alias("_n")), "least").select(F.col("id").alias("_entry"), "_n")
     before = ring.select(F.col("up").alias("_entry"), F.col("id").alias("root"))
     out = entries.select("id", F.col("root").alias("_entry"), "depth").join(before, "_entry").join(lengths, "_entry")
@@ -112,7 +112,7 @@ def inherit(nodes: DataFrame, attributes: str | list[str], condition: str = INHE
     names = [attributes] if isinstance(attributes, str) else list(attributes)
     lacking = reduce(lambda a, b: a | b, (F.col(n).isNull() for n in names))
     step = next_step(edges(nodes), nodes, condition).join(nodes.select("id", *names), "id")
-    state = stored(step.select("id", F.when(lacking, F.col("up")).alias("at"), *names))
+    state = sized(step.select("id", F.when(lacking, F.col("up")).alias("at"), *names))
     n = state.count()
     for k in range(most_rounds):
         waiting = state.where("at is not null")
@@ -122,7 +122,7 @@ def inherit(nodes: DataFrame, attributes: str | list[str], condition: str = INHE
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), *(F.col(c).alias(f"_{c}") for c in names))
         both = waiting.join(ahead, "at").select("id", "_at", *(F.coalesce(c, f"_{c}").alias(c) for c in names))
         moved = both.select("id", F.when(lacking, F.col("_at")).alias("at"), *names)
-        state = stored(moved.unionByName(state.where("at is null")))
+        state = sized(moved.unionByName(state.where("at is null")))
     raise RuntimeError("the walk did not settle")
 
 

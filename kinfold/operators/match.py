@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.keys import FuzzyRules
-from ..storage import stored
+from ..storage import sized
 
 KEY = ["raw_value", "entity_type", "source_config"]
 
@@ -154,7 +154,7 @@ def resolve(mentions: DataFrame, aliases: DataFrame, external: DataFrame | None
     out = out.withColumn("attested_id", F.when(~F.col("attested_id").eqNullSafe(F.col("exact_id")), F.col("attested_id")))
     if mode != "exact" and rules is not None:
         # Both the open rest and the final join read this, so it is made once.
-        out = stored(out)
+        out = sized(out)
         open_ = out.where(F.coalesce(*(c for c, _, _ in stages)).isNull())
         nobody = mentions.sparkSession.createDataFrame([], "name string, org string, id string")
         fuzzy = match_fuzzy(open_, aliases, rules, nobody if org_map is None else org_map, nobody if known_orgs is None else known_orgs)

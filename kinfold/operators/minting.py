@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys
-from ..storage import stored
+from ..storage import sized
 from . import match
 
 #: Families that a name may be built on, in order of precedence, and prefixes that stand for no org.
@@ -75,7 +75,7 @@ def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFram
         m = m.join(external.groupBy(F.lower("id").alias("_l")).agg(F.min("id").alias("_x")), "_l", "left").withColumn("_repo", F.when(model, F.coalesce("_x", "attested_id"))).drop("_x")
     there = entities.where("entity_type = 'model'").groupBy(F.lower("id").alias("_r")).agg(F.min("id").alias("_old"))
     m = m.withColumn("_r", F.lower("_repo")).join(there, "_r", "left").drop("_r", "_l")
-    m = stored(m.withColumn("_k", F.coalesce(F.concat(F.lit("r:"), F.lower("_repo")), F.concat(F.lit("k:"), keys.match_key(F.col("raw_value"))))), "open")
+    m = sized(m.withColumn("_k", F.coalesce(F.concat(F.lit("r:"), F.lower("_repo")), F.concat(F.lit("k:"), keys.match_key(F.col("raw_value"))))), "open")
     reused = m.where("_old is not null").select("raw_value", "entity_type", "source_config", F.col("_old").alias("canonical_id"))
     new = m.where("_old is null")
     one = new.groupBy("entity_type", "_k").agg(F.min("raw_value").alias("raw_value"), F.min("_repo").alias("_repo"))
@@ -83,7 +83,7 @@ def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFram
     # Orgs that models need: those of repos by id, those of other names by what their prefix resolves to.
     models = one.where("entity_type = 'model'").withColumn("_raw_org", F.when(F.col("_repo").isNotNull(), F.substring_index("_repo", "/", 1)).otherwise(_prefix(F.col("raw_value")))).withColumn("name", F.lower("_raw_org"))
     models = models.join(named.select("name", F.col("org").alias("_dev")), "name", "left").drop("name")
-    models = stored(models, "models")
+    models = sized(models, "models")
     asked = models.where("_repo is null and _raw_org is not null").select(F.col("_raw_org").alias("raw_value"), F.lit("org").alias("entity_type"), F.lit(None).cast("string").alias("source_config")).distinct()
     known = match.resolve(asked, aliases, mode="exact").where("canonical_id is not null").select(F.col("raw_value").alias("_raw_org"), F.col("canonical_id").alias("_org"))
     models = models.join(known, "_raw_org", "left")
@@ -98,13 +98,13 @@ def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFram
         out = df.join(taken, ["id", "entity_type"], "left")
         return out.withColumn("id", F.when(F.col("_t") | (n > 1), F.concat("id", F.lit("-"), F.substring(F.sha2("raw_value", 256), 1, 6))).otherwise(F.col("id"))).drop("_t")
 
-    orgs = stored(free(orgs.withColumn("entity_type", F.lit("org")).withColumn("id", keys.slug(F.col("raw_value")))), "orgs")
+    orgs = sized(free(orgs.withColumn("entity_type", F.lit("org")).withColumn("id", keys.slug(F.col("raw_value")))), "orgs")
     draft_org = orgs.select("_k", F.col("id").alias("_new"))
     models = models.withColumn("_ok", F.when(F.col("_repo").isNull(), F.concat(F.lit("k:"), keys.match_key(F.col("_raw_org"))))).join(draft_org.withColumnRenamed("_k", "_ok"), "_ok", "left")
     org = F.when(F.col("_repo").isNotNull(), F.coalesce("_dev", "_raw_org")).otherwise(F.coalesce("_org", "_new"))
     shaped = keys.is_repo_id(F.col("raw_value"))
     models = models.withColumn("org_id", org).withColumn("id", F.coalesce("_repo", F.when(shaped, F.trim("raw_value")).otherwise(keys.slug(F.col("raw_value")))))
-    models = stored(free(models.select("entity_type", "_k", "raw_value", "_repo", "org_id", "id")), "named")
+    models = sized(free(models.select("entity_type", "_k", "raw_value", "_repo", "org_id", "id")), "named")
     repo_orgs = models.where("_repo is not null").select(F.col("org_id").alias("id")).distinct().join(entities.where("entity_type = 'org'").select("id"), "id", "left_anti").join(orgs.select("id"), "id", "left_anti")
 
     # Edges, each kind only where the ones before leave room.
@@ -122,7 +122,7 @@ def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFram
     rows = rows.join(dated, "raw_value", "left")
     has_version = F.exists("_based", lambda e: (e["relationship"] == "variant") & (e["axis"] == "version"))
     versioned = ~F.coalesce(has_version, F.lit(False)) & F.col("_family").isNotNull() & (F.col("_family") != F.col("id"))
-    rows = stored(rows.withColumn("_based", F.when(versioned, F.array_append("_based", edge(F.col("_family"), F.lit("variant"), "version"))).otherwise(F.col("_based"))).drop("_family"), "edges")
+    rows = sized(rows.withColumn("_based", F.when(versioned, F.array_append("_based", edge(F.col("_family"), F.lit("variant"), "version"))).otherwise(F.col("_based"))).drop("_family"), "edges")
     base = infer_base_by_token(rows.where("_repo is null and size(_based) = 0").select("id", "raw_value"), aliases, named)
     rows = rows.join(base, "id", "left").withColumn("parents", F.when(F.col("base").isNotNull(), F.array(edge(F.col("base"), F.lit("finetune"), None))).otherwise(F.col("_based")))
 
@@ -142,7 +142,7 @@ def mint_dependents(unmatched: DataFrame, entities: DataFrame, aliases: DataFram
 
     others = free(one.where("entity_type not in ('model', 'org')").withColumn("id", keys.slug(F.col("raw_value"))))
     communities = repo_orgs.withColumn("entity_type", F.lit("org")).withColumn("raw_value", F.col("id")).withColumn("_k", none)
-    drafts = stored(made.unionByName(plain(orgs, F.lit("unknown"), "draft")).unionByName(plain(communities, F.lit("community"), "reviewed")).unionByName(plain(others, none, "draft")), "drafts")
+    drafts = sized(made.unionByName(plain(orgs, F.lit("unknown"), "draft")).unionByName(plain(communities, F.lit("community"), "reviewed")).unionByName(plain(others, none, "draft")), "drafts")
     spelled = new.select("raw_value", "entity_type", "source_config", "attested_id", "_k").unionByName(open_orgs.select("raw_value", F.lit("org").alias("entity_type"), none.alias("source_config"), none.alias("attested_id"), F.concat(F.lit("k:"), keys.match_key(F.col("raw_value"))).alias("_k"))).distinct()
     sure = F.col("attested_id").isNotNull()
     links = spelled.join(drafts.where("_k is not null").select("entity_type", "_k", F.col("id").alias("canonical_id")), ["entity_type", "_k"])
@@ -174,7 +174,7 @@ def seed_by_rank(entities: DataFrame, orgs: DataFrame, org_map: DataFrame, scope
     e = e.withColumn("_dev", F.coalesce(F.nullif("org_id", F.lit("")), "_mapped", "_named", "_p")).join(orgs.select(F.col("id").alias("_dev"), (F.col("kind") == "lab").alias("_lab")).distinct(), "_dev", "left")
     model = F.col("entity_type") == "model"
     e = e.withColumn("_lab", model & F.coalesce("_lab", F.lit(False))).withColumn("_sure", model & F.col("id").contains("/") & (F.col("resolution_source").eqNullSafe("hf") | F.col("review_status").eqNullSafe("reviewed")))
-    e = stored(e.select("entity_type", "id", "display_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "seq", "_dev", "_lab", "_sure"), "seeds")
+    e = sized(e.select("entity_type", "id", "display_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "seq", "_dev", "_lab", "_sure"), "seeds")
     leaf = keys.match_key(F.regexp_replace("id", r"^[^/]*/", ""))
     sure = e.where("_sure").withColumn("_k", leaf)
     labs = sure.where("_lab").groupBy("_k").agg(F.min_by(F.struct("id", "_dev"), F.struct("seq", "id")).alias("_b")).select("_k", F.col("_b.id").alias("_lab_id"), F.col("_b._dev").alias("_lab_dev"))
@@ -187,7 +187,7 @@ def seed_by_rank(entities: DataFrame, orgs: DataFrame, org_map: DataFrame, scope
     is_model = F.col("entity_type") == "model"
     to_lab = is_model & F.col("_lab_id").isNotNull() & (F.col("_lab_id") != F.col("id")) & (~F.col("_lab") | (F.col("_lab_dev") == F.col("_dev")))
     to_only = is_model & ~F.col("_lab") & ~F.col("_sure") & F.col("_only").isNotNull() & (F.col("_only") != F.col("id"))
-    forms = stored(forms.withColumn("canonical_id", F.when(to_lab, F.col("_lab_id")).when(to_only, F.col("_only")).otherwise(F.col("id"))).select("entity_type", "raw_value", F.lit(None).cast("string").alias("source_config"), "canonical_id", F.col("id").alias("declared_by"), "_hidden"), "forms")
+    forms = sized(forms.withColumn("canonical_id", F.when(to_lab, F.col("_lab_id")).when(to_only, F.col("_only")).otherwise(F.col("id"))).select("entity_type", "raw_value", F.lit(None).cast("string").alias("source_config"), "canonical_id", F.col("id").alias("declared_by"), "_hidden"), "forms")
     seen = forms.where("not _hidden").drop("_hidden")
     if scoped is not None:
         seen = seen.unionByName(scoped.where("raw_value is not null and raw_value <> ''").select("entity_type", "raw_value", F.nullif("source_config", F.lit("")).alias("source_config"), F.col("id").alias("canonical_id"), F.col("id").alias("declared_by")))

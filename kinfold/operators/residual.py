@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
-from ..storage import stored
+from ..storage import sized
 from . import match, merge, minting
 
 EDGE = "struct<id:string,relationship:string,axis:string>"
@@ -48,7 +48,7 @@ def residual_layer(mentions: DataFrame, entities: DataFrame, aliases: DataFrame,
     ``entries`` without a display name are enrichments: an entity's further forms.
     """
     models, known = clean_universe(entities, aliases, prior, claims)
-    models, known = stored(models, "models"), stored(known, "known")
+    models, known = sized(models, "models"), sized(known, "known")
     placed = claims.select("form").limit(0) if curated is None else curated.select("form").distinct()
     lead = F.lower(F.trim(F.substring_index("raw_value", "/", 1)))
     bare_name = F.regexp_replace("raw_value", r"^[^/]*/", "")
@@ -61,9 +61,9 @@ def residual_layer(mentions: DataFrame, entities: DataFrame, aliases: DataFrame,
     firm = F.col("to").isNotNull() & (F.col("how") != "fuzzy")
     m = mentions.select("raw_value").distinct().withColumn("_sentinel", F.col("raw_value").contains("/") & lead.isin(*minting.NO_ORGS)).withColumn("_bare", F.when(F.col("_sentinel"), bare_name))
     homeless = m.where("_sentinel").join(look(m.where("_sentinel"), "_bare").where(firm), "_bare").select("raw_value", F.col("to").alias("target"), F.lit("sentinel").alias("why"))
-    homeless = stored(homeless, "sentinels")
+    homeless = sized(homeless, "sentinels")
     rest = m.join(homeless, "raw_value", "left_anti")
-    rest = stored(rest.join(look(rest, "raw_value").where("to is null").select("raw_value"), "raw_value", "left_semi"), "residual")
+    rest = sized(rest.join(look(rest, "raw_value").where("to is null").select("raw_value"), "raw_value", "left_semi"), "residual")
     claimed = rest.join(placed.select(F.col("form").alias("raw_value")), "raw_value", "left_semi")
     rest = rest.join(claimed, "raw_value", "left_anti")
 
@@ -76,16 +76,16 @@ def residual_layer(mentions: DataFrame, entities: DataFrame, aliases: DataFrame,
     folds = match.decide_folds(new.groupBy("id").agg(F.min("org_id").alias("org"), F.collect_set("raw_value").alias("forms")), models.select("id", F.col("org_id").alias("org"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "seq"), org_map)
     near = models.select(keys.collision_key(F.col("id")).alias("_c"), keys.size_signature(F.col("id")).alias("_s"), F.col("id").alias("_twin")).groupBy("_c", "_s").agg(F.min("_twin").alias("_twin"))
     new = new.join(folds.select("id", "target"), "id", "left").withColumn("_c", keys.collision_key(F.col("id"))).withColumn("_s", keys.size_signature(F.col("id"))).join(near, ["_c", "_s"], "left").drop("_c", "_s")
-    new = stored(new.withColumn("target", F.coalesce("target", "_twin")).drop("_twin"), "new")
+    new = sized(new.withColumn("target", F.coalesce("target", "_twin")).drop("_twin"), "new")
     folded = new.where("target is not null").select("raw_value", "target", F.lit("fold").alias("why"))
     mint = new.where("target is null").drop("target").join(taken.withColumn("_t", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("_t"), F.concat("id", F.lit("-inferred"))).otherwise(F.col("id"))).drop("_t")
     leaf = F.regexp_replace("id", r"^[^/]*/", "")
     twin = F.when(F.col("org_id").isNotNull(), F.concat_ws("\n", F.lower("org_id"), keys.name_key(leaf), keys.size_signature(F.col("id")).cast("string"))).otherwise(F.lower("id"))
     mint = mint.withColumn("_g", twin)
     best = mint.groupBy("_g").agg(F.min_by("id", F.struct((F.col("id") == F.lower("id")).alias("a"), F.length("id").alias("l"), "id")).alias("_w"))
-    mint = stored(mint.join(best, "_g"), "mints")
+    mint = sized(mint.join(best, "_g"), "mints")
     base = minting.infer_base_by_token(mint.select(F.col("raw_value").alias("id"), "raw_value"), known, org_map).withColumnRenamed("id", "raw_value")
-    mint = stored(mint.join(base, "raw_value", "left"), "based")
+    mint = sized(mint.join(base, "raw_value", "left"), "based")
     version = F.col("rest").rlike(r"^v?\d+(?:[.-]\d+)*$")
     edge = F.when(F.col("base").isNotNull(), F.struct(F.col("base").alias("id"), F.when(version, "variant").otherwise("finetune").alias("relationship"), F.when(version, "version").alias("axis")))
     forms = mint.select("_w", F.explode(F.array("raw_value", "id")).alias("_f")).groupBy("_w").agg(F.array_sort(F.collect_set("_f")).alias("aliases"))
@@ -94,21 +94,21 @@ def residual_layer(mentions: DataFrame, entities: DataFrame, aliases: DataFrame,
         F.col("_w").alias("id"), "display_name", "org_id", "aliases", F.when(F.col("_e").isNotNull(), F.array("_e")).otherwise(F.array()).cast(f"array<{EDGE}>").alias("parents"),
         F.when(F.col("org_id").isNull(), F.array(F.lit("org-unknown"))).otherwise(F.array().cast("array<string>")).alias("tags"),
     )
-    drafts = stored(drafts, "drafts")
+    drafts = sized(drafts, "drafts")
     review = mint.where("org_id is null").select("raw_value", F.col("_w").alias("id"), F.col("base").alias("inferred_base"), F.when(F.col("base").contains("/"), F.substring_index("base", "/", 1)).alias("proposed_org"))
 
     # The floor under what was emitted before.
     given = homeless.unionByName(folded)
     emitted = record_forms(drafts).select("form").unionByName(given.select(F.col("raw_value").alias("form"))).unionByName(given.select(F.col("target").alias("form"))).distinct()
     before = record_forms(prior).join(emitted, "form", "left_anti").join(placed, "form", "left_anti").join(claims.select(F.col("id").alias("form")).distinct(), "form", "left_anti")
-    before = stored(before, "before")
+    before = sized(before, "before")
     routes = merge.nothing_removed(before, emitted, look(before, "form").select(F.col("form").alias("raw_value"), F.col("to").alias("canonical_id"), F.col("how").alias("strategy")))
     before = before.join(routes.select("form", "canonical_id", "route"), "form").where("route <> 'fine'")
     pinned = before.where("route = 'pinned'").groupBy("home").agg(F.min_by("canonical_id", F.struct("pos", "form")).alias("_first"))
     homes = look(before.select("home").distinct(), "home").where(firm).select("home", F.col("to").alias("_lead"))
     reborn = record_forms(drafts).groupBy(F.lower("form").alias("_l")).agg(F.min("home").alias("_draft"))
     before = before.join(pinned, "home", "left").join(homes, "home", "left").join(reborn, F.lower("home") == F.col("_l"), "left")
-    before = stored(before.withColumn("target", F.when(F.col("route") == "pinned", F.col("canonical_id")).otherwise(F.coalesce("_first", "_lead", "_draft"))).select("home", "form", "target"), "floor")
+    before = sized(before.withColumn("target", F.when(F.col("route") == "pinned", F.col("canonical_id")).otherwise(F.coalesce("_first", "_lead", "_draft"))).select("home", "form", "target"), "floor")
     kept = before.where("target is not null and target <> form").select(F.col("form").alias("raw_value"), "target", F.lit("floor").alias("why"))
     given = given.unionByName(kept)
     more = given.where("raw_value <> target").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("raw_value")).alias("_more"))

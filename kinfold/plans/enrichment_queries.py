@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import enrichment, reconcile
+from ..storage import sized
 from .minting_queries import _closed
 from .queries import query, t
 from .reconcile_queries import _c
@@ -24,7 +25,7 @@ def _rows(df: DataFrame, kinds: dict[str, str], rows: list[dict]) -> DataFrame:
         return F.lit(x).cast(kind)
 
     one = lambda r: F.struct(*(value(r.get(c), kind).alias(c) for c, kind in kinds.items()))
-    return df.select(F.explode(F.array(*map(one, rows))).alias("_x")).select("_x.*")
+    return sized(df.select(F.explode(F.array(*map(one, rows))).alias("_x")).select("_x.*"), "rows")
 
 
 def _edges(c: str) -> Column:

@@ -10,7 +10,7 @@ from ..functions import keys
 from ..functions.keys import FuzzyRules
 from ..operators import attributes, catalogue, changes, checks, enrichment, facts, graph, match, merge, minting, reconcile
 from ..sources import publish
-from ..storage import stored
+from ..storage import sized
 
 
 def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, fields: list[str], **options) -> DataFrame:
@@ -29,18 +29,18 @@ def sync_records(records: DataFrame, aliases: DataFrame, entities: DataFrame, ru
     rows = facts.result_rows(records)
     mentions = facts.mentions_of(rows).distinct()
     # Distinct mentions are few beside the facts; all outputs read this one table.
-    resolved = stored(match.resolve(mentions, aliases, rules=rules, **options))
+    resolved = sized(match.resolve(mentions, aliases, rules=rules, **options))
     # What nothing matches, and attested repos that nobody has registered.
     ids_ = entities.where("entity_type = 'model'").select(F.col("id").alias("canonical_id"))
     attested = resolved.where("startswith(strategy, 'attested')").join(ids_, "canonical_id", "left_anti")
     open_ = checks.unresolved(resolved).select(*match.KEY, F.lit(None).cast("string").alias("attested_id")).unionByName(attested.select(*match.KEY, F.col("canonical_id").alias("attested_id")))
     minted = minting.mint_dependents(open_, entities, aliases, repos, options.get("org_map"))
-    drafts, made = minted["drafts"], stored(minted["aliases"])
+    drafts, made = minted["drafts"], sized(minted["aliases"])
     key = ["raw_value", "entity_type"]
     new = drafts.select("entity_type", F.col("id").alias("canonical_id"), F.lit(True).alias("_made"))
     ids = made.join(new, ["entity_type", "canonical_id"], "left").select(*key, F.coalesce("source_config", F.lit("")).alias("_s"), F.col("canonical_id").alias("_d"), "_made").distinct()
     full = resolved.withColumn("_s", F.coalesce("source_config", F.lit(""))).join(ids, [*key, "_s"], "left").withColumn("created_new", F.coalesce("_made", F.lit(False))).withColumn("canonical_id", F.coalesce("_d", "canonical_id")).drop("_s", "_d", "_made")
-    full = stored(full)
+    full = sized(full)
     numbered = facts.flatten_records(rows, full, numbered=True)
     out = {"facts": numbered.drop("seq"), "drafts": drafts.drop("_k"), "aliases": made, "log": changes.log_rows(full, run_id, now)}
     if known_facts is not None:
@@ -62,12 +62,12 @@ def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], uni
     """
     if "parents" not in layers.columns:
         layers = layers.withColumn("parents", F.array().cast(reconcile.EDGES))
-    merged = stored(merge.merge_layers(layers, scalars, unions, edges="parents"), "merged")
+    merged = sized(merge.merge_layers(layers, scalars, unions, edges="parents"), "merged")
     attributed, merges = match.attribute_orgs(merged, org_map)
     source = F.col("resolution_source")
     ranked = attributed.withColumn("source_rank", F.when(source == "curated", 2).when(source == "hf", 1).otherwise(0)).withColumn("is_real", F.coalesce(source.isin("curated", "hf"), F.lit(False)))
     wanted = merges.select(F.col("id").alias("loser"), F.col("into").alias("winner"))
-    remap = stored(merge.fold_collisions(ranked, never, prefer, wanted if forced is None else wanted.unionByName(forced)), "remap")
+    remap = sized(merge.fold_collisions(ranked, never, prefer, wanted if forced is None else wanted.unionByName(forced)), "remap")
     folded = merge.apply_remap(attributed, remap, unions)
     links = graph.repoint(graph.edges(attributed), remap).join(folded.select(F.col("id").alias("child")), "child", "left_semi")
     edge = F.struct(F.col("parent").alias("id"), "relationship", "axis").alias("e")
@@ -80,7 +80,7 @@ def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], uni
         if "explicit_keys" not in models.columns:
             models = models.withColumn("explicit_keys", F.array().cast("array<string>"))
         models = merge.fill_weak(models, moved, list(weak_fields))
-    named = stored(models.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id")))), "folded")
+    named = sized(models.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id")))), "folded")
     inherited = ("open_weights",) if "open_weights" in named.columns else ()
     return {**attributes.derive(named, org_map, orgs, inherited), "remap": remap, "attributed": attributed}
 
@@ -97,26 +97,26 @@ def build_registry(
     (entity_type, id, review_status): what an earlier seed left in them and this one lacks goes, but for orgs that models still name, and entities that other aliases use.
     ``settings`` go to ``settle_models``; ``checks`` has every offender (``checks.report``).
     """
-    generated = None if orgs is None else stored(merge.replace_whole(*orgs), "orgs")
+    generated = None if orgs is None else sized(merge.replace_whole(*orgs), "orgs")
     made = settle_models(layers, org_map, scalars, unions, generated, **settings)
-    models = stored(made["models"], "models")
+    models = sized(made["models"], "models")
     model_rows = models.withColumn("entity_type", F.lit("model"))
     out = {"models": models, "remap": made["remap"]}
     rows = []
     if benchmarks is not None:
-        out["benchmarks"] = stored(merge.override_merge(*benchmarks, list(benchmark_fields), ["aliases"]), "benchmarks")
+        out["benchmarks"] = sized(merge.override_merge(*benchmarks, list(benchmark_fields), ["aliases"]), "benchmarks")
         rows.append(out["benchmarks"].withColumn("entity_type", F.lit("benchmark")))
     if generated is None:
         aliases, claims = changes.seed_aliases(model_rows, scoped)
         out |= {"aliases": aliases, "claims": claims}
     else:
         new = made["orgs"].withColumn("aliases", F.array().cast("array<string>")).withColumn("seq", F.lit(None).cast("long"))
-        out["orgs"] = all_orgs = stored(generated.unionByName(new, allowMissingColumns=True), "all_orgs")
+        out["orgs"] = all_orgs = sized(generated.unionByName(new, allowMissingColumns=True), "all_orgs")
         rows.append(all_orgs.withColumn("entity_type", F.lit("org")))
         ranked = {"entity_type": "string", "id": "string", "display_name": "string", "aliases": "array<string>", "org_id": "string", "resolution_source": "string", "review_status": "string", "seq": "long"}
         table = [r.select(*((F.col(c) if c in r.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ranked.items())) for r in (model_rows, *rows)]
         seeded = minting.seed_by_rank(reduce(DataFrame.unionByName, table), all_orgs, org_map, scoped)
-        out |= {"aliases": stored(seeded["aliases"], "aliases"), "claims": seeded["claims"]}
+        out |= {"aliases": sized(seeded["aliases"], "aliases"), "claims": seeded["claims"]}
     if before is not None:
         kept = reduce(DataFrame.unionByName, (r.select("id") for r in (model_rows, *rows))).distinct()
         named = models.select(F.explode(F.array("org_id", "lineage_origin_model_org_id")).alias("id"))
@@ -142,8 +142,8 @@ def oracle_layer(truth: DataFrame, models: DataFrame, org_map: DataFrame, deny:
     """
     fixed = truth.where("status in ('fixed_exact', 'fixed_near_miss') and contains(fixed_id, '/')").select("raw_value", "fixed_id", "status").distinct()
     near = fixed.where("status = 'fixed_near_miss'").select(F.col("raw_value").alias("raw"), F.col("fixed_id").alias("fixed"))
-    good = stored(match.guard_redirects(near, deny, org_map).select("raw", "fixed").distinct())
-    targets = stored(catalogue.partition_targets(fixed.select(F.col("fixed_id").alias("id")), models.select("id")))
+    good = sized(match.guard_redirects(near, deny, org_map).select("raw", "fixed").distinct())
+    targets = sized(catalogue.partition_targets(fixed.select(F.col("fixed_id").alias("id")), models.select("id")))
     pairs = fixed.where("status = 'fixed_exact'").select("raw_value", F.col("fixed_id").alias("canonical_id")).unionByName(good.select(F.col("raw").alias("raw_value"), F.col("fixed").alias("canonical_id")))
     remap = targets.where("action = 'rekey'").select(F.col("incumbent").alias("loser"), F.col("id").alias("winner"))
     return {"targets": targets, "aliases": pairs.where("raw_value <> canonical_id").distinct(), "refused": near.join(good, ["raw", "fixed"], "left_anti"), "edges": graph.repoint(graph.edges(models), remap)}
@@ -179,11 +179,11 @@ def regenerate_catalogue(
     ``match.defer_targets``; ``external``: keys that a group without a repo may take as its id (not those in ``denied``). ``committed``, ``independent`` and
     ``derived`` are entries (see ``reconcile``). Besides ``entries``, the steps' own outputs: claims, remap, report, suppressed, vetoed, dropped.
     """
-    groups = stored(merge.group_catalogue(records), "groups")
+    groups = sized(merge.group_catalogue(records), "groups")
     heads = match.vendor_by_token(merge.pick_heads(groups), "grp", org_map.select(F.col("name").alias("token"), F.col("org").alias("vendor")))
     slugged = keys.slug(keys.catalogue_name(F.col("spelling"), variants=False))
     mints = heads.select("grp", F.concat_ws("/", F.col("vendor"), slugged).alias("mint"), F.col("vendor").alias("org_id"), "name", "family", "release_date", "open_weights")
-    mints = stored(mints, "mints")
+    mints = sized(mints, "mints")
     spelled = groups.select("grp", F.col("model_id").alias("form")).unionByName(mints.select("grp", F.col("mint").alias("form"))).distinct()
     names = spelled.groupBy("grp").agg(F.collect_set("form").alias("forms")).join(mints.select("grp", "org_id"), "grp").where("org_id is not null")
     deferred = match.defer_targets(names.select(F.col("grp").alias("id"), F.col("org_id").alias("org"), "forms"), repos, org_map).select(F.col("id").alias("grp"), F.col("target").alias("_repo"))
@@ -194,7 +194,7 @@ def regenerate_catalogue(
         free = rows.where("_repo is null and org_id is not null").select(F.col("mint").alias("id"), "org_id").distinct()
         rows = rows.join(merge.adopt_external_ids(free, external, denied).select(F.col("id").alias("mint"), F.col("key").alias("_key")), "mint", "left")
     rows = rows.withColumn("id", F.coalesce("_repo", "_key", "mint")).withColumn("deferred", F.col("_repo").isNotNull()).withColumn("adopted", F.col("_repo").isNull() & F.col("_key").isNotNull())
-    rows = stored(rows.drop("_repo", "_key"), "adopted")
+    rows = sized(rows.drop("_repo", "_key"), "adopted")
     platform = F.col("platform") if "platform" in groups.columns else F.lit(None).cast("string")
     attached = _attached(rows, org_map, groups.select("grp", "model_id", "pos", platform.alias("platform")))
     hosted = attached.where("form <> id").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "platform")))).alias("platforms"))
@@ -203,10 +203,10 @@ def regenerate_catalogue(
         F.bool_or("deferred").alias("deferred"), F.bool_or("adopted").alias("adopted"), F.collect_set("mint").alias("_m"),
     )
     one = one.join(hosted, "id", "left").withColumn("aliases", F.array_sort(F.array_except(F.array_union("_m", F.coalesce(F.map_keys("platforms"), F.array().cast("array<string>"))), F.array("id")))).drop("_m")
-    batch = reconcile.reconcile_batch(stored(one.withColumn("review_status", F.lit("draft")), "one"), org_map, weak)
+    batch = reconcile.reconcile_batch(sized(one.withColumn("review_status", F.lit("draft")), "one"), org_map, weak)
     carried = reconcile.carry_forward(batch["entries"], committed, org_map, weak, skip, independent.select(F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"), "id"), hosts, migrate)
-    claims = stored(carried["claims"], "claims")
-    out = reconcile.reconcile_existing(stored(carried["entries"], "carried"), independent, derived, org_map, weak, claims)
+    claims = sized(carried["claims"], "claims")
+    out = reconcile.reconcile_existing(sized(carried["entries"], "carried"), independent, derived, org_map, weak, claims)
     entries = out["entries"]
     if casing is not None and distinct_orgs is not None:
         entries = merge.canonicalize_orgs(entries, "org_id", org_map, casing, distinct_orgs)
@@ -238,7 +238,7 @@ def refresh_enrichment(entries: DataFrame, spellings: DataFrame, repos: DataFram
     published for them, as removed.
     """
     spark = entries.sparkSession
-    wanted = stored(enrichment.candidates(entries, spellings), "candidates")
+    wanted = sized(enrichment.candidates(entries, spellings), "candidates")
     new = wanted.join(publish.checked_ids(spark, f"{path}/_checked", tag), "id", "left_anti")
     there = "enrichment" in publish.load_manifest(spark, path)
     if there and new.isEmpty():

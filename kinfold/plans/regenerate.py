@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import keys
 from ..operators import merge, minting, reconcile, residual
 from ..sources import publish
-from ..storage import stored
+from ..storage import sized
 from . import jobs
 
 FACTS = ("family", "params_billions")
@@ -66,7 +66,7 @@ def _models(layers: DataFrame, org_map: DataFrame) -> DataFrame:
 
 def registry_stage(x: dict[str, DataFrame]) -> DataFrame:
     layers = _entries(x["core"], "curated", 9).unionByName(x["oracle"]).unionByName(x["catalogue"]).unionByName(x["enrichment"])
-    return _models(_owned(stored(layers.withColumn("layer_rank", F.when(F.col("layer_rank") == 9, 0).otherwise(F.col("layer_rank"))), "layers")), x["org_map"])
+    return _models(_owned(sized(layers.withColumn("layer_rank", F.when(F.col("layer_rank") == 9, 0).otherwise(F.col("layer_rank"))), "layers")), x["org_map"])
 
 
 def _alias_table(models: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def residual_stage(x: dict[str, DataFrame]) -> DataFrame:
 def models_stage(x: dict[str, DataFrame]) -> DataFrame:
     """The registry with the residual layer, orgs in one spelling, every form with one owner."""
     base = x["registry"].select("id", "display_name", "org_id", "aliases", "parents", "release_date", "open_weights", "review_status", *FACTS, "resolution_source", F.lit(0).alias("layer_rank"))
-    layers = stored(base.unionByName(_entries(x["residual"], "inferred", 4).withColumn("resolution_source", F.when(F.col("display_name").isNotNull(), F.col("resolution_source")))), "layers")
+    layers = sized(base.unionByName(_entries(x["residual"], "inferred", 4).withColumn("resolution_source", F.when(F.col("display_name").isNotNull(), F.col("resolution_source")))), "layers")
     casing = merge.community_casing(layers.where("layer_rank = 0"), "org_id")
     layers = merge.canonicalize_orgs(layers, "org_id", x["org_map"], casing, x["org_map"].select("org").limit(0))
     return _models(_owned(layers), x["org_map"])
