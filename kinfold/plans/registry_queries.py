@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import attributes, graph, reconcile
-from ..storage import shared_folder
+from ..storage import shared_folder, sized
 from ..streaming import log, resolve
 from . import jobs
 from .minting_queries import _closed
-from .queries import FAMILY, GROUP, LINEAGE, MODELS, models, nothing, query, t, walk_sql
+from .queries import FAMILY, GROUP, LINEAGE, MODELS, models, nothing, query, sized_parts, t, walk_sql
 from .reconcile_queries import _c
 
 _BUILT = {
@@ -33,7 +33,7 @@ _BUILT = {
 @query(_closed(_BUILT) + " UNION ALL SELECT 'org', 'lab', 'Lab;lab'")
 def built_registry(spark, d):
     """Every part: a lab's model, its snapshot, another's finetune, two spellings of one id, and a child of the losing one; an earlier seed to prune."""
-    p = t(spark, d, "part")
+    p = sized_parts(spark, d)
     k = F.col("p_partkey").cast("string")
     edge = lambda to, kind, axis=None: F.struct(to.alias("id"), F.lit(kind).alias("relationship"), F.lit(axis).cast("string").alias("axis"))
     e = lambda rank, id_, name, source, alias=(), parents=(), open_=None, status="draft": F.struct(F.lit(rank).alias("layer_rank"), id_.alias("id"), name.alias("display_name"), nothing().alias("org_id"), nothing().alias("release_date"), F.lit(open_).cast("boolean").alias("open_weights"), F.lit(source).alias("resolution_source"), F.lit(status).alias("review_status"), F.array(*alias).cast("array<string>").alias("aliases"), F.array(*parents).cast(reconcile.EDGES).alias("parents"))
@@ -42,7 +42,7 @@ def built_registry(spark, d):
         e(2, _c("ext", k, "/fork-", k), _c("Fork ", k), "hf", [_c("twice-", k)], [edge(_c("lab/base-", k), "finetune")]), e(0, _c("lab/v1.5-", k), _c("Vee ", k), "curated", open_=False), e(1, _c("lab/v1-5-", k), nothing(), "models_dev"),
         e(1, _c("lab/kid-", k), _c("Kid ", k), "models_dev", parents=[edge(_c("lab/v1-5-", k), "variant", "mode"), edge(_c("lab/none-", k), "finetune")]),
     ]
-    several = lambda *x: p.select(F.explode(F.array(*x)).alias("_x")).select("_x.*")
+    several = lambda *x: sized(p.select(F.explode(F.array(*x)).alias("_x")).select("_x.*"))
     pair = lambda **x: F.struct(*((v if not isinstance(v, str) else F.lit(v)).alias(n) for n, v in x.items()))
     layers = several(*rows).withColumn("file", F.lit("f")).withColumn("pos", F.lit(0))
     weak = several(pair(id=_c("lab/v1-5-", k), release_date="2023-01-01"), pair(id=_c("lab/base-", k, "-2024-05-06"), release_date="2020-01-01")).select("*", F.lit(5).alias("layer_rank"), F.lit("w").alias("file"), F.lit(0).alias("pos"))
