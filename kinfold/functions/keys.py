@@ -51,7 +51,10 @@ SEGMENT_KINDS: dict[str, tuple[str, str | None]] = {
 
 @dataclass(frozen=True)
 class CatalogueRules:
-    """Rule tables of catalogue ids; the defaults are fixed values. ``paths`` and ``prefixes`` are patterns, tried once each in order."""
+    """Rule tables of catalogue ids; the defaults are fixed values. ``paths`` and ``prefixes`` are patterns, tried once each in order.
+
+    ``stamps`` are patterns of the words that are dates wherever they stand; a catalogue whose numbers are serial ones has none.
+    """
 
     paths: tuple[str, ...] = ("accounts/[^/]+/models/", "hf:", "@cf/", "clarifai/[^/]+/models/", "route/", "orcarouter/")
     prefixes: tuple[str, ...] = ("databricks-", "azure-", "aws-", "openai-", "anthropic-", "ai21-", "stealth/")
@@ -59,6 +62,7 @@ class CatalogueRules:
     hosts: tuple[str, ...] = ("amazon", "anthropic", "qwen", "meta", "google", "cohere", "ai21", "deepseek", "mistral")
     serving: tuple[str, ...] = ("fast", "precision", "free", "maas", "tee")
     variants: tuple[str, ...] = ("thinking", "think", "reasoner", "reasoning", "turbo", "fp8", "bf16", "int8", "awq", "gptq")
+    stamps: tuple[str, ...] = (r"\d{8}", r"\d{6}")
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:
@@ -141,7 +145,9 @@ def catalogue_key(c: Column, rules: CatalogueRules | None = None) -> Column:
     """The model behind a provider's id: its catalogue name without ``latest`` (``old``, ``new``), dates and a trailing ``vN``."""
     out = F.regexp_replace(catalogue_name(c, rules), "-(?:latest|old|new)$", "")
     out = F.regexp_replace(F.regexp_replace(out, r"-\d{4}-\d{2}-\d{2}$", ""), r"-\d{2}-\d{2}$", "")
-    out = F.array_join(F.filter(F.split(out, "-"), lambda w: ~w.rlike(r"^(?:\d{8}|\d{6})$")), "-")
+    stamps = (rules or CatalogueRules()).stamps
+    if stamps:
+        out = F.array_join(F.filter(F.split(out, "-"), lambda w: ~w.rlike("^(?:" + "|".join(stamps) + ")$")), "-")
     return F.regexp_replace(out, r"(?:^|-)v\d+$", "")
 
 

@@ -171,17 +171,18 @@ def audit(mentions: DataFrame, aliases: DataFrame, top: int = 20, **options) ->
 def regenerate_catalogue(
     records: DataFrame, org_map: DataFrame, repos: DataFrame, committed: DataFrame, independent: DataFrame, derived: DataFrame, external: DataFrame | None = None, denied: DataFrame | None = None,
     skip: DataFrame | None = None, casing: DataFrame | None = None, distinct_orgs: DataFrame | None = None, weak: tuple[str, ...] = ("family",), hosts: tuple[str, ...] = (), migrate: bool = False,
+    rules: keys.CatalogueRules | None = None,
 ) -> dict[str, DataFrame]:
     """A provider catalogue to the next generation of entries, in order: group, defer to repos or adopt an external key or mint, attach the
     providers' spellings, merge what is the same, carry the committed generation forward, reconcile with other sources, settle orgs.
 
     ``records``: provider, model_id, family, name, release_date, open_weights, pos and, where known, platform. ``repos``: known repos as in
     ``match.defer_targets``; ``external``: keys that a group without a repo may take as its id (not those in ``denied``). ``committed``, ``independent`` and
-    ``derived`` are entries (see ``reconcile``). Besides ``entries``, the steps' own outputs: claims, remap, report, suppressed, vetoed, dropped.
+    ``derived`` are entries (see ``reconcile``). ``rules`` tell how the providers spell ids. Besides ``entries``, the steps' own outputs: claims, remap, report, suppressed, vetoed, dropped.
     """
-    groups = sized(merge.group_catalogue(records), "groups")
+    groups = sized(merge.group_catalogue(records, rules), "groups")
     heads = match.vendor_by_token(merge.pick_heads(groups), "grp", org_map.select(F.col("name").alias("token"), F.col("org").alias("vendor")))
-    slugged = keys.slug(keys.catalogue_name(F.col("spelling"), variants=False))
+    slugged = keys.slug(keys.catalogue_name(F.col("spelling"), rules, variants=False))
     mints = heads.select("grp", F.concat_ws("/", F.col("vendor"), slugged).alias("mint"), F.col("vendor").alias("org_id"), "name", "family", "release_date", "open_weights")
     mints = sized(mints, "mints")
     spelled = groups.select("grp", F.col("model_id").alias("form")).unionByName(mints.select("grp", F.col("mint").alias("form"))).distinct()
@@ -196,7 +197,7 @@ def regenerate_catalogue(
     rows = rows.withColumn("id", F.coalesce("_repo", "_key", "mint")).withColumn("deferred", F.col("_repo").isNotNull()).withColumn("adopted", F.col("_repo").isNull() & F.col("_key").isNotNull())
     rows = sized(rows.drop("_repo", "_key"), "adopted")
     platform = F.col("platform") if "platform" in groups.columns else F.lit(None).cast("string")
-    attached = _attached(rows, org_map, groups.select("grp", "model_id", "pos", platform.alias("platform")))
+    attached = _attached(rows, org_map, groups.select("grp", "model_id", "pos", platform.alias("platform")), rules)
     hosted = attached.where("form <> id").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "platform")))).alias("platforms"))
     one = rows.groupBy("id").agg(
         *(F.min_by(c, "grp").alias(c) for c in ("org_id", "family")), F.min(F.coalesce("name", keys.display_name(F.col("mint")))).alias("display_name"), F.min("release_date").alias("release_date"), F.bool_or("open_weights").alias("open_weights"),
@@ -213,12 +214,12 @@ def regenerate_catalogue(
     return {"entries": entries, "claims": claims, "remap": batch["remap"].unionByName(carried["remap"]), "report": carried["report"], "suppressed": out["suppressed"], "vetoed": out["vetoed"], "dropped": batch["dropped"], "lost": out["lost"]}
 
 
-def _attached(entries: DataFrame, org_map: DataFrame, rows: DataFrame) -> DataFrame:
+def _attached(entries: DataFrame, org_map: DataFrame, rows: DataFrame, rules: keys.CatalogueRules | None = None) -> DataFrame:
     """(id, form, platform): what providers' rows of a group are known by, for the entry that they name: variants and other sizes are none.
 
     A row may name the entry with its org's brand in front.
     """
-    named = lambda c: keys.catalogue_name(c, variants=False)
+    named = lambda c: keys.catalogue_name(c, rules, variants=False)
     spelled = rows.withColumn("_n", named(F.col("model_id"))).withColumn("name", F.substring_index("_n", "-", 1)).join(org_map.select("name", F.col("org").alias("_brand")), "name", "left").drop("name")
     whole = F.struct(F.lit(False).alias("bare"), keys.catalogue_signature(F.col("_n")).alias("_i"))
     bare = F.struct(F.lit(True).alias("bare"), keys.catalogue_signature(F.regexp_replace("_n", "^[^-]*-", "")).alias("_i"))

@@ -1,10 +1,12 @@
 """Reconciling batches: literal cases beside those of the queries, and repeated runs."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import keys
 from kinfold.operators import reconcile
-from kinfold.plans import jobs
+from kinfold.plans import jobs, queries, reconcile_queries  # noqa: F401  (the last adds to the queries)
 
 ENTRY = "id string, display_name string, org_id string, aliases array<string>, release_date string, deferred boolean, seq long, family string"
 
@@ -93,3 +95,20 @@ def test_catalogue_generation_is_stable(spark, org_map):
     forms = {r.id: set(r.aliases or []) for r in first["entries"].collect()}
     for r in again["entries"].collect():
         assert set(r.aliases or []) >= forms[r.id]
+
+
+def test_parts_whose_numbers_look_like_dates(spark, tmp_path):
+    """The catalogue query and its SQL over parts of six and eight digits: none is a date, each is its own group."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * REPLACE (k AS p_partkey) FROM (SELECT * FROM '/root/testdata/sf0.001/part.parquet' WHERE p_partkey = 1), (SELECT unnest([7, 99999, 100001, 202401, 240101, 1000000, 20240101]) AS k)")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet'")
+    got = queries.QUERIES["catalogue_generation"](spark, str(tmp_path)).select("id", "state", "aliases").collect()
+    want = con.execute(f"SELECT id, state, aliases FROM ({queries.SQL['catalogue_generation']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_number_words_are_dates_by_the_rules(spark):
+    names = spark.createDataFrame([("acme-a-100001",), ("acme-a-20240101-b",)], "n string")
+    key = lambda rules: [r[0] for r in names.select(keys.catalogue_key(F.col("n"), rules)).collect()]
+    assert key(None) == ["acme-a", "acme-a-b"]
+    assert key(keys.CatalogueRules(stamps=())) == ["acme-a-100001", "acme-a-20240101-b"]
