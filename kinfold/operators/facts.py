@@ -42,15 +42,22 @@ def explode_results(records: DataFrame) -> DataFrame:
         "record", "evaluation_id", "source_config", "result_index", "model_raw", "harness_raw", F.col("r.evaluation_name").alias("name"), F.col("r.source_data.dataset_name").alias("dataset"),
         _filled("r.metric_config.metric_name", "r.metric_config.metric_id", "r.metric_config.evaluation_description").alias("_metric"), score_of("r").alias("score"),
     ), "results")
-    names = rows.select("name").distinct().withColumn("benchmark_raw", keys.clean_name(F.col("name")))
-    metrics = rows.select("_metric").distinct().where("_metric is not null").withColumn("metric_raw", F.nullif(keys.metric_phrase(F.col("_metric")), F.lit("")))
+    # Stored, these dictionaries have a known size: small ones are broadcast, and the results aren't shuffled by a few frequent names.
+    names = sized(rows.select("name").distinct(), "names").withColumn("benchmark_raw", keys.clean_name(F.col("name")))
+    metrics = sized(rows.select("_metric").distinct().where("_metric is not null"), "metrics").withColumn("metric_raw", F.nullif(keys.metric_phrase(F.col("_metric")), F.lit("")))
     return rows.join(names, "name").join(metrics, "_metric", "left").drop("_metric")
 
 
 def result_rows(records: DataFrame) -> DataFrame:
     """The records' results with their parents, stored: mentions and facts are both taken from them."""
-    rows = explode_results(records)
-    return sized(rows.join(detect_parents(rows, "record"), ["record", "name"], "left"), "rows")
+    return sized(_with_parents(explode_results(records)), "rows")
+
+
+def _with_parents(rows: DataFrame) -> DataFrame:
+    """The rows with what ``detect_parents`` says of each, in one shuffle by record: both windows lie within one."""
+    own, named = Window.partitionBy("record", "dataset"), Window.partitionBy("record", "name")
+    counted = rows.repartition("record").withColumn("_p", F.when(F.col("dataset").isNotNull() & (F.count("*").over(own) > 1), F.col("dataset")))
+    return counted.withColumn("parent", F.max_by("_p", "result_index").over(named)).drop("_p")
 
 
 def detect_parents(results: DataFrame, record: str = "evaluation_id", name: str = "name", dataset: str = "dataset", position: str = "result_index") -> DataFrame:
@@ -72,9 +79,11 @@ def mentions_of(results: DataFrame) -> DataFrame:
 
 def flatten_records(rows: DataFrame, resolved: DataFrame, numbered: bool = False) -> DataFrame:
     """Fact rows (with ``seq``, the place of their record, if ``numbered``) out of ``result_rows``: ids of model, harness, benchmark, parent and metric from ``resolved`` (mention key to canonical_id)."""
-    look = resolved.select(F.col("raw_value").alias("_raw"), F.col("entity_type").alias("_type"), F.col("source_config"), F.col("canonical_id").alias("_id")).distinct()
+    look = sized(resolved.select(F.col("raw_value").alias("_raw"), F.col("entity_type").alias("_type"), F.col("source_config"), F.col("canonical_id").alias("_id")).distinct(), "look")
+    # Each kind is stored for itself, as models are many where the others are few: what is small is broadcast, and the facts aren't shuffled by it.
+    of = {kind: sized(look.where(F.col("_type") == kind).drop("_type"), kind) for kind in ("model", "harness", "benchmark", "metric")}
     for column, kind, name in (("model_raw", "model", "model_id"), ("harness_raw", "harness", "harness_id"), ("benchmark_raw", "benchmark", "benchmark_id"), ("parent", "benchmark", "parent_benchmark_id"), ("metric_raw", "metric", "metric_id")):
-        hit = look.where(F.col("_type") == kind).select(F.col("_raw").alias(column), "source_config", F.col("_id").alias(name))
+        hit = of[kind].select(F.col("_raw").alias(column), "source_config", F.col("_id").alias(name))
         rows = rows.join(hit, [column, "source_config"], "left")
     return rows.select(record_id(F.col("evaluation_id"), F.col("result_index")).alias("id"), "evaluation_id", "result_index", "source_config", "model_id", "harness_id", "benchmark_id", "parent_benchmark_id", "metric_id", "score", *([F.col("record").alias("seq")] if numbered else []))
 

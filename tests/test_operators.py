@@ -222,3 +222,20 @@ def test_a_loser_without_its_winner_stays(spark):
     e = spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", None)], "id string, aliases array<string>")
     got = {r.id: r.aliases for r in merge.apply_remap(e, spark.createDataFrame([("a", "gone"), ("b", "c")], "loser string, winner string"), ["aliases"]).collect()}
     assert got == {"a": ["x"], "c": ["b", "y"]}
+
+
+def test_facts_are_not_shuffled_by_small_dictionaries(spark):
+    """Few names are broadcast to the results, whatever Spark guesses of the table that they come from."""
+    rows = spark.createDataFrame([(0, "e1", "c", 0, "n acc", "m", "h", "n", "p", "acc", 1.0), (0, "e1", "c", 1, "n elo", "m", "h", "n", None, "elo", 2.0)], "record long, evaluation_id string, source_config string, result_index int, name string, model_raw string, harness_raw string, benchmark_raw string, parent string, metric_raw string, score double")
+    out = facts.flatten_records(rows, facts.mentions_of(rows).distinct().withColumn("canonical_id", F.concat("entity_type", F.lit(":"), "raw_value")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 5 and "SortMergeJoin" not in plan
+    assert {(r.result_index, r.model_id, r.harness_id, r.benchmark_id, r.parent_benchmark_id, r.metric_id) for r in out.collect()} == {(0, "model:m", "harness:h", "benchmark:n", "benchmark:p", "metric:acc"), (1, "model:m", "harness:h", "benchmark:n", None, "metric:elo")}
+
+
+def test_parents_of_rows_are_those_detected(spark):
+    """Repeated names in a record, the last of which decides, beside a record of the same names."""
+    rows = spark.createDataFrame([(1, "a", "d", 0), (1, "a", "x", 1), (1, "b", "d", 2), (1, "c", None, 3), (1, "c", None, 4), (2, "a", "d", 0), (2, "b", "x", 1), (3, "a", "z", 1), (3, "a", "z", 0)], "record long, name string, dataset string, result_index int")
+    want = {(r.record, r.name): r.parent for r in facts.detect_parents(rows, "record").collect()}
+    got = facts._with_parents(rows).collect()
+    assert len(got) == 9 and {(r.record, r.name): r.parent for r in got} == want == {(1, "a"): None, (1, "b"): "d", (1, "c"): None, (2, "a"): None, (2, "b"): None, (3, "a"): "z"}
