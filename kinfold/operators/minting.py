@@ -33,8 +33,10 @@ def infer_base_by_token(drafts: DataFrame, aliases: DataFrame, org_map: DataFram
     name = F.regexp_replace("raw_value", r"^[^/]*/", "")
     words = F.filter(F.split(F.lower(name), r"[\s\-_/.:]+"), lambda w: w != "")
     d = drafts.select("id", "raw_value", words.alias("_w"), name.alias("_name"), F.lower(_prefix(F.col("raw_value"))).alias("name"), _prefix(F.col("raw_value")).alias("_o"))
-    at = lambda token: F.array_position(F.transform("_w", lambda w: (w == token) | w.rlike(f"^{token}[0-9]")), True)
-    start = F.coalesce(*(F.nullif(at(token), F.lit(0)) for token in tokens))
+    # Of each word only its first token in their order can decide; it is looked for once, and in names that hold a token only.
+    any_ = "(?:" + "|".join(tokens) + ")"
+    d = d.where(F.lower("_name").rlike(any_)).withColumn("_h", F.transform("_w", lambda w: F.regexp_extract(w, rf"^({any_})(?=[0-9]|\z)", 1)))
+    start = F.coalesce(*(F.nullif(F.array_position("_h", token), F.lit(0)) for token in tokens))
     d = d.withColumn("_s", start).where("_s is not null").join(org_map.select("name", F.col("org").alias("_d")), "name", "left").withColumn("_o", F.coalesce("_d", "_o"))
     d = d.withColumn("_t", F.expr("slice(_w, cast(_s as int), size(_w))")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("_t"))))
     stem = F.array_join(F.expr("slice(_t, 1, n)"), "-")
