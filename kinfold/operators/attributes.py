@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
+from ..storage import sized
 from . import graph
 
 NO_ORG = "unknown"
@@ -51,7 +52,8 @@ def derive(models: DataFrame, org_map: DataFrame, orgs: DataFrame | None = None,
     """
     kinds = {"org_id": "string", "release_date": "string", "tags": "array<string>"}
     full = models.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in models.columns})
-    settled = sync_org_tag(settle_dates(settle_orgs(full, org_map)))
+    # Stored once: each graph reads it for its nodes, its edges and their ends.
+    settled = sized(sync_org_tag(settle_dates(settle_orgs(full, org_map))), "settled")
     lineage = graph.derive_lineage(settled)
     if inherited:
         lineage = lineage.drop(*inherited).join(graph.inherit(settled, list(inherited)), "id", "left")

@@ -53,9 +53,9 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
         if 2**k > n or jump.where("not done").isEmpty():
             break
         over = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
-        ahead = jump.join(over, "at")
-        far = ahead.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("_d")).alias("depth"), (F.col("done") | F.col("_done")).alias("done"))
-        jump = sized(far)
+        # Who is done stays as it is; only the others are joined again.
+        ahead = jump.where("not done").join(over, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_done").alias("done"))
+        jump = sized(ahead.unionByName(jump.where("done")))
     else:
         raise RuntimeError("the walk did not settle")
     done = jump.where("done").select("id", F.col("at").alias("root"), "depth")
@@ -85,14 +85,17 @@ def _into_cycles(steps: DataFrame, members: DataFrame) -> DataFrame:
 
 def derive_lineage(models: DataFrame, same_org: str = "org_id") -> DataFrame:
     """Add model_group_id, model_family_id (self at the root), lineage_origin_model_id (null at the origin) and its org."""
-    e = edges(models)
-    kinds = {"group": next_step(e, models, IDENTITY, same_org), "family": next_step(e, models, FAMILY, same_org), "origin": next_step(e, models, LINEAGE)}
+    own = models.select(F.col("id").alias("child"), F.col(same_org).alias("_co"), F.explode("parents").alias("_p")).select("child", "_co", F.col("_p.id").alias("parent"), "_p.relationship", "_p.axis")
+    far = models.select(F.col("id").alias("parent"), F.col(same_org).alias("_po"), F.lit(True).alias("_known"))
+    # As in ``next_step``, for all three graphs over one join: the least parent is taken before looking whether it exists.
+    e = own.where("parent is not null and parent <> child").join(far, "parent", "left")
+    shared = "(_co = _po or _known is null and _co is not null)"
+    kinds = {"group": f"({IDENTITY}) and {shared}", "family": f"({FAMILY}) and {shared}", "origin": LINEAGE}
+    least = e.groupBy(F.col("child").alias("id")).agg(*(F.min(F.when(F.expr(c), F.struct("parent", "_known"))).alias(f"_{kind}") for kind, c in kinds.items()))
     # One walk over the three graphs side by side: its nodes are (kind, id).
     node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
-    steps = None
-    for kind, step in kinds.items():
-        one = step.select(node(kind, "id").alias("id"), F.when(F.col("up").isNotNull(), node(kind, "up")).alias("up"))
-        steps = one if steps is None else steps.unionByName(one)
+    step = lambda kind: F.struct(node(kind, "id").alias("id"), F.when(F.col(f"_{kind}._known"), node(kind, f"_{kind}.parent")).alias("up"))
+    steps = models.select("id").join(least, "id", "left").select(F.explode(F.array(*map(step, kinds))).alias("_s")).select("_s.*")
     ends = walk_up(steps)
     root = lambda kind: F.max(F.when(F.col("id.kind") == kind, F.col("root.id")))
     roots = ends.groupBy(F.col("id.id").alias("id")).agg(root("group").alias("model_group_id"), root("family").alias("model_family_id"), root("origin").alias("_origin"))

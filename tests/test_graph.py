@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from kinfold.operators import attributes, graph
 
 
@@ -74,3 +76,21 @@ def test_attributes_have_their_own_fallbacks(spark):
         "bare-2025-13": (None, None, None, ["b", "org-unknown"], "bare-2025-13"), "q": ("unknown", None, None, ["org-unknown"], "q"), "/odd": (None, None, None, ["org-unknown"], "/odd"), "e/m": ("", None, None, None, "e/m"),
     }
     assert [tuple(r) for r in out["orgs"].collect()] == [("new", "new", "new", "community", "reviewed")]
+
+
+def test_attributes_work_their_models_out_once(spark):
+    """However many graphs and walks read them, the models' own plan runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    edge = "array<struct<id:string,relationship:string,axis:string>>"
+    rows = [("a", "o", None, True), ("b", "o", [("a", "variant", "version")], None), ("c", None, [("b", "finetune", None)], None), ("d", "o", [("0", "quantized", None), ("b", "quantized", None)], None), ("e", "p", [("b", "variant", "size"), ("d", "finetune", None)], None)]
+    models = spark.createDataFrame(rows, f"id string, org_id string, parents {edge}, open_weights boolean").withColumn("org_id", F.udf(noted, "string").asNondeterministic()("org_id"))
+    out = attributes.derive(models, spark.createDataFrame([], "name string, org string"))["models"].collect()
+    assert seen.value == 5
+    got = {r.id: (r.model_group_id, r.model_family_id, r.lineage_origin_model_id, r.open_weights) for r in out}
+    # d's least parent isn't there and ends its walks; c and e lie in other orgs than their parents.
+    assert got == {"a": ("a", "a", None, True), "b": ("a", "a", None, True), "c": ("c", "c", "b", None), "d": ("d", "d", None, None), "e": ("e", "e", "d", True)}
