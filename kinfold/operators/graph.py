@@ -150,6 +150,7 @@ def repoint(edges_: DataFrame, remap: DataFrame) -> DataFrame:
 
 def compress_remap(remap: DataFrame) -> DataFrame:
     """(loser, winner) with every winner at the end of its own chain."""
+    remap = sized(remap, "pairs")
     nodes = remap.select(F.col("loser").alias("id")).unionByName(remap.select(F.col("winner").alias("id"))).distinct()
     once = remap.groupBy(F.col("loser").alias("id")).agg(F.min("winner").alias("up")).where("up <> id")
     ends = walk_up(nodes.join(once, "id", "left"))

@@ -64,11 +64,13 @@ def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], uni
         layers = layers.withColumn("parents", F.array().cast(reconcile.EDGES))
     merged = sized(merge.merge_layers(layers, scalars, unions, edges="parents"), "merged")
     attributed, merges = match.attribute_orgs(merged, org_map)
+    # Folds, edges and models all start from these rows.
+    attributed = sized(attributed, "attributed")
     source = F.col("resolution_source")
     ranked = attributed.withColumn("source_rank", F.when(source == "curated", 2).when(source == "hf", 1).otherwise(0)).withColumn("is_real", F.coalesce(source.isin("curated", "hf"), F.lit(False)))
     wanted = merges.select(F.col("id").alias("loser"), F.col("into").alias("winner"))
     remap = sized(merge.fold_collisions(ranked, never, prefer, wanted if forced is None else wanted.unionByName(forced)), "remap")
-    folded = merge.apply_remap(attributed, remap, unions)
+    folded = sized(merge.apply_remap(attributed, remap, unions), "kept")
     links = graph.repoint(graph.edges(attributed), remap).join(folded.select(F.col("id").alias("child")), "child", "left_semi")
     edge = F.struct(F.col("parent").alias("id"), "relationship", "axis").alias("e")
     lists = links.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", edge))).alias("_l")).select("id", F.transform("_l", lambda x: x["e"]).alias("parents"))
