@@ -194,7 +194,8 @@ def seed_by_rank(entities: DataFrame, orgs: DataFrame, org_map: DataFrame, scope
     if scoped is not None:
         seen = seen.unionByName(scoped.where("raw_value is not null and raw_value <> ''").select("entity_type", "raw_value", F.nullif("source_config", F.lit("")).alias("source_config"), F.col("id").alias("canonical_id"), F.col("id").alias("declared_by")))
     key = ["entity_type", "raw_value", "source_config"]
-    grouped = seen.groupBy(*key).agg(F.min("canonical_id").alias("canonical_id"), F.max("canonical_id").alias("_m"))
+    # Aliases, claims and changes all read these groups.
+    grouped = sized(seen.groupBy(*key).agg(F.min("canonical_id").alias("canonical_id"), F.max("canonical_id").alias("_m")), "grouped")
     ok = grouped.where("canonical_id = _m").drop("_m")
     double = grouped.where("canonical_id <> _m").select(*(F.col(c).alias(f"_{c}") for c in key))
     claims = seen.join(double, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).groupBy(*key).agg(F.array_sort(F.collect_set("canonical_id")).alias("owners"), F.array_sort(F.collect_set("declared_by")).alias("declarers"))
