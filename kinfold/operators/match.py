@@ -262,20 +262,19 @@ def decide_folds(mints: DataFrame, targets: DataFrame, org_map: DataFrame) -> Da
     """
     stripped = lambda c, o: F.regexp_replace(keys.name_key(c), F.concat(F.lit("^"), keys.org_key(F.coalesce(o, F.lit("")))), "")
     leaf = lambda c: F.regexp_replace(c, r"^[^/]*/", "")
+    keyed = lambda df, o: df.withColumn("_n", keys.name_key(leaf(F.col("form")))).withColumn("_s", stripped(leaf(F.col("form")), F.col(o)))
     m = mints.select("id", F.col("org").alias("m_org"), F.explode(F.array_distinct(F.concat(F.array("id"), "forms"))).alias("form"))
-    forms = targets.select(F.col("id").alias("target"), F.col("org").alias("t_org"), "seq", F.explode(F.array_distinct(F.concat(F.array("id"), "aliases"))).alias("t_form"))
-    same_org = F.col("m_org").isNotNull() & (F.lower("m_org") == F.lower("t_org"))
-    tiers = [
-        (1, F.col("form"), F.col("t_form"), F.col("t_form") == F.col("target")),
-        (2, F.lower("form"), F.lower("t_form"), same_org | F.col("m_org").isNull()),
-        (3, keys.name_key(leaf(F.col("form"))), keys.name_key(leaf(F.col("t_form"))), same_org),
-        (4, stripped(leaf(F.col("form")), F.col("m_org")), stripped(leaf(F.col("t_form")), F.col("t_org")), same_org),
-    ]
-    out = None
-    for tier, left, right, ok in tiers:
-        hit = m.withColumn("_k", left).join(forms.withColumn("_k", right), "_k").where(ok & (F.col("_k") != "")).select("id", "target", F.lit(tier).alias("tier"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("id").agg(F.min(F.struct("tier", "target")).alias("_b")).select("id", F.col("_b.target").alias("target"), F.col("_b.tier").alias("tier"))
+    forms = targets.select(F.col("id").alias("target"), F.col("org").alias("t_org"), F.explode(F.array_distinct(F.concat(F.array("id"), "aliases"))).alias("form"))
+    m, forms = sized(keyed(m, "m_org"), "mint_names"), sized(keyed(forms, "t_org"), "target_names")
+    # All tiers are one join; names count under their org only.
+    tier = lambda n, key, ok: F.when(ok & (key != ""), F.struct(F.lit(n).alias("tier"), key.alias("_k")))
+    tiers = lambda o, first: F.explode(F.array_compact(F.array(
+        tier(1, F.col("form"), first), tier(2, F.lower("form"), F.lit(True)), *(F.when(F.col(c) != "", tier(n, F.concat_ws("\n", F.lower(o), c), F.col(o).isNotNull())) for n, c in ((3, "_n"), (4, "_s")))
+    ))).alias("_x")
+    left = m.select("id", F.lower("m_org").alias("_m"), tiers("m_org", F.lit(True))).select("id", "_m", "_x.*")
+    right = forms.select("target", F.lower("t_org").alias("_t"), tiers("t_org", F.col("form") == F.col("target"))).select("target", "_t", "_x.*")
+    hits = left.join(right, ["tier", "_k"]).where("tier <> 2 or _m is null or _m = _t")
+    return hits.groupBy("id").agg(F.min(F.struct("tier", "target")).alias("_b")).select("id", F.col("_b.target").alias("target"), F.col("_b.tier").alias("tier"))
 
 
 def vendor_by_token(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
@@ -336,9 +335,10 @@ def defer_targets(groups: DataFrame, authority: DataFrame, org_map: DataFrame) -
     real = authority.where("status in ('fixed_exact', 'fixed_near_miss') and contains(fixed_id, '/')")
     real = real.withColumn("name", F.lower(F.substring_index("fixed_id", "/", 1))).join(org_map, "name", "left")
     real = real.groupBy(F.coalesce("org", "name").alias("org"), keys.match_key(F.regexp_replace("fixed_id", "^[^/]*/", "")).alias("_k")).agg(F.min_by("fixed_id", F.struct("seq", "fixed_id")).alias("target"))
-    g = groups.where("org is not null").select("id", "org", F.explode(F.array_union(F.filter("forms", lambda x: x.isNotNull()), F.array("id"))).alias("_f")).withColumn("_k", leaf(F.col("_f")))
+    g = groups.where("org is not null").select("id", "org", F.explode(F.array_union(F.filter("forms", lambda x: x.isNotNull()), F.array("id"))).alias("_f"))
+    g = sized(g.select("id", "org", leaf(F.col("_f")).alias("_k")), "leaves")
     branded = g.withColumn("name", F.substring_index("_k", " ", 1)).join(org_map.withColumnRenamed("org", "_o"), "name").where("_o = org and contains(_k, ' ')")
-    names = g.select("id", "org", "_k").unionByName(branded.select("id", "org", F.regexp_replace("_k", "^[^ ]* ", "").alias("_k"))).where("_k <> ''")
+    names = g.unionByName(branded.select("id", "org", F.regexp_replace("_k", "^[^ ]* ", "").alias("_k"))).where("_k <> ''")
     spaces = F.length("_k") - F.length(F.replace("_k", F.lit(" "), F.lit("")))
     return names.join(real, ["org", "_k"]).groupBy("id").agg(F.min_by("target", F.struct(spaces.alias("s"), F.length("_k").alias("l"), "_k")).alias("target"))
 

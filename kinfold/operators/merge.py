@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys
+from ..storage import sized
 from . import graph
 
 
@@ -232,7 +233,7 @@ def group_catalogue(records: DataFrame, rules: keys.CatalogueRules | None = None
     none. Keys of one signature are orders of the same words, so the sorted list is short however many rows there are. Rows
     with an empty key are left out.
     """
-    rows = records.withColumn("_key", keys.catalogue_key(F.col("model_id"), rules)).where("_key <> ''")
+    rows = sized(records.withColumn("_key", keys.catalogue_key(F.col("model_id"), rules)), "keyed").where("_key <> ''")
     each = rows.groupBy("_key").agg(F.collect_set(F.nullif("family", F.lit(""))).alias("fams"))
     listed = each.groupBy(keys.catalogue_signature(F.col("_key")).alias("_sig")).agg(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("key"), "fams"))).alias("all"))
 

@@ -183,8 +183,9 @@ def regenerate_catalogue(
     ``derived`` are entries (see ``reconcile``). ``rules`` tell how the providers spell ids. Besides ``entries``, the steps' own outputs: claims, remap, report, suppressed, vetoed, dropped.
     """
     groups = sized(merge.group_catalogue(records, rules), "groups")
-    heads = match.vendor_by_token(merge.pick_heads(groups), "grp", org_map.select(F.col("name").alias("token"), F.col("org").alias("vendor")))
-    slugged = keys.slug(keys.catalogue_name(F.col("spelling"), rules, variants=False))
+    named = sized(merge.pick_heads(groups).withColumn("_name", keys.catalogue_name(F.col("spelling"), rules, variants=False)), "heads")
+    heads = match.vendor_by_token(named, "grp", org_map.select(F.col("name").alias("token"), F.col("org").alias("vendor")))
+    slugged = keys.slug(F.col("_name"))
     mints = heads.select("grp", F.concat_ws("/", F.col("vendor"), slugged).alias("mint"), F.col("vendor").alias("org_id"), "name", "family", "release_date", "open_weights")
     mints = sized(mints, "mints")
     spelled = groups.select("grp", F.col("model_id").alias("form")).unionByName(mints.select("grp", F.col("mint").alias("form"))).distinct()
@@ -209,7 +210,7 @@ def regenerate_catalogue(
     batch = reconcile.reconcile_batch(sized(one.withColumn("review_status", F.lit("draft")), "one"), org_map, weak)
     carried = reconcile.carry_forward(batch["entries"], committed, org_map, weak, skip, independent.select(F.explode(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"), "id"), hosts, migrate)
     claims = sized(carried["claims"], "claims")
-    out = reconcile.reconcile_existing(sized(carried["entries"], "carried"), independent, derived, org_map, weak, claims)
+    out = reconcile.reconcile_existing(carried["entries"], independent, derived, org_map, weak, claims)
     entries = out["entries"]
     if casing is not None and distinct_orgs is not None:
         entries = merge.canonicalize_orgs(entries, "org_id", org_map, casing, distinct_orgs)
@@ -222,12 +223,13 @@ def _attached(entries: DataFrame, org_map: DataFrame, rows: DataFrame, rules: ke
     A row may name the entry with its org's brand in front.
     """
     named = lambda c: keys.catalogue_name(c, rules, variants=False)
-    spelled = rows.withColumn("_n", named(F.col("model_id"))).withColumn("name", F.substring_index("_n", "-", 1)).join(org_map.select("name", F.col("org").alias("_brand")), "name", "left").drop("name")
+    spelled = sized(rows.withColumn("_n", named(F.col("model_id"))), "cleaned").withColumn("name", F.substring_index("_n", "-", 1)).join(org_map.select("name", F.col("org").alias("_brand")), "name", "left").drop("name")
     whole = F.struct(F.lit(False).alias("bare"), keys.catalogue_signature(F.col("_n")).alias("_i"))
     bare = F.struct(F.lit(True).alias("bare"), keys.catalogue_signature(F.regexp_replace("_n", "^[^-]*-", "")).alias("_i"))
-    spelled = spelled.withColumn("_x", F.explode(F.array_compact(F.array(whole, F.when(F.col("_brand").isNotNull() & F.col("_n").contains("-"), bare))))).select("*", "_x.*").drop("_x")
+    spelled = sized(spelled.withColumn("_x", F.explode(F.array_compact(F.array(whole, F.when(F.col("_brand").isNotNull() & F.col("_n").contains("-"), bare))))).select("*", "_x.*").drop("_x"), "spelled")
     e = entries.select("id", "grp", "org_id", keys.catalogue_signature(named(F.regexp_replace("id", r"^[^/]*/", ""))).alias("_i"))
-    fits = spelled.join(e, ["grp", "_i"]).where("not bare or _brand = org_id").select("id", F.explode(keys.surface_forms(F.col("model_id"), F.col("_n"), F.col("org_id"))).alias("form"), "platform", "pos")
+    fits = spelled.join(sized(e, "named"), ["grp", "_i"]).where("not bare or _brand = org_id").select("id", F.explode(keys.surface_forms(F.col("model_id"), F.col("_n"), F.col("org_id"))).alias("form"), "platform", "pos")
+    fits = sized(fits, "fits")
     stolen = match.stolen_forms(fits.select("form", "id").distinct(), entries.select(F.col("id").alias("form"), "id"))
     fits = fits.join(stolen.select("form", "id"), ["form", "id"], "left_anti")
     return fits.groupBy("id", "form").agg(F.min_by("platform", F.when(F.col("platform").isNotNull(), F.col("pos"))).alias("platform"))
