@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
-from ..storage import sized, stored
+from ..storage import released, sized, stored
 
 IDENTITY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode'))"
 FAMILY = "relationship = 'quantized' or (relationship = 'variant' and axis in ('version', 'mode', 'training_stage', 'size', 'tier'))"
@@ -46,19 +46,25 @@ def walk_up(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round doubles the distance looked ahead, so a chain of any length takes logarithmically many rounds. A
     walk that runs into a cycle ends at the node before the place where it came in.
     """
-    jump = sized(steps.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
-    n = jump.count()
+    steps = sized(steps.select("id", "up"))
+    n, last = steps.count(), None
+    # Ends are in ``steps`` only; the rounds store who has somewhere to go, and each takes the place of the one before.
+    ends = steps.where("up is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    jump = steps.where("up is not null").select("id", F.col("up").alias("at"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"))
     for k in range(most_rounds):
         # After k rounds 2**k hops are looked ahead; who isn't done by n hops has gone into a cycle.
         if 2**k > n or jump.where("not done").isEmpty():
             break
         over = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
-        # Who is done stays as it is; only the others are joined again.
-        ahead = jump.where("not done").join(over, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_done").alias("done"))
+        # Who is done stays as it is; only the others are joined again. Who isn't found here is an end.
+        ahead = jump.where("not done").join(over, "at", "left").select("id", F.coalesce("_at", "at").alias("at"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done"))
         jump = sized(ahead.unionByName(jump.where("done")))
+        if last is not None:
+            released(last)
+        last = jump
     else:
         raise RuntimeError("the walk did not settle")
-    done = jump.where("done").select("id", F.col("at").alias("root"), "depth")
+    done = jump.where("done").select("id", F.col("at").alias("root"), "depth").unionByName(ends)
     loose = jump.where("not done")
     if loose.isEmpty():
         return done
@@ -125,7 +131,8 @@ def inherit(nodes: DataFrame, attributes: str | list[str], condition: str = INHE
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), *(F.col(c).alias(f"_{c}") for c in names))
         both = waiting.join(ahead, "at").select("id", "_at", *(F.coalesce(c, f"_{c}").alias(c) for c in names))
         moved = both.select("id", F.when(lacking, F.col("_at")).alias("at"), *names)
-        state = sized(moved.unionByName(state.where("at is null")))
+        before, state = state, sized(moved.unionByName(state.where("at is null")))
+        released(before)
     raise RuntimeError("the walk did not settle")
 
 
@@ -183,7 +190,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     pairs = stored(pairs, "links")
     seen = None
     for _ in range(most_rounds):
-        pairs = stored(_star(_star(pairs, True), False), "stars")
+        before, pairs = pairs, stored(_star(_star(pairs, True), False), "stars")
+        released(before)
         # A fixed point maps every node straight to its component; a sum of row hashes shows it.
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys
-from ..storage import sized
+from ..storage import released, sized
 from . import match
 
 #: Families that a name may be built on, in order of precedence, and prefixes that stand for no org.
@@ -189,15 +189,18 @@ def seed_by_rank(entities: DataFrame, orgs: DataFrame, org_map: DataFrame, scope
     is_model = F.col("entity_type") == "model"
     to_lab = is_model & F.col("_lab_id").isNotNull() & (F.col("_lab_id") != F.col("id")) & (~F.col("_lab") | (F.col("_lab_dev") == F.col("_dev")))
     to_only = is_model & ~F.col("_lab") & ~F.col("_sure") & F.col("_only").isNotNull() & (F.col("_only") != F.col("id"))
-    forms = sized(forms.withColumn("canonical_id", F.when(to_lab, F.col("_lab_id")).when(to_only, F.col("_only")).otherwise(F.col("id"))).select("entity_type", "raw_value", F.lit(None).cast("string").alias("source_config"), "canonical_id", F.col("id").alias("declared_by"), "_hidden"), "forms")
+    forms = sized(forms.withColumn("canonical_id", F.when(to_lab, F.col("_lab_id")).when(to_only, F.col("_only")).otherwise(F.col("id"))).select("entity_type", "raw_value", F.lit(None).cast("string").alias("source_config"), "canonical_id", F.nullif(F.col("id"), F.col("canonical_id")).alias("declared_by"), "_hidden"), "forms")
+    released(e)
+    # Most forms lead to who declares them, so only others are written.
+    forms = forms.withColumn("declared_by", F.coalesce("declared_by", "canonical_id"))
     seen = forms.where("not _hidden").drop("_hidden")
     if scoped is not None:
         seen = seen.unionByName(scoped.where("raw_value is not null and raw_value <> ''").select("entity_type", "raw_value", F.nullif("source_config", F.lit("")).alias("source_config"), F.col("id").alias("canonical_id"), F.col("id").alias("declared_by")))
     key = ["entity_type", "raw_value", "source_config"]
     # Aliases, claims and changes all read these groups.
-    grouped = sized(seen.groupBy(*key).agg(F.min("canonical_id").alias("canonical_id"), F.max("canonical_id").alias("_m")), "grouped")
-    ok = grouped.where("canonical_id = _m").drop("_m")
-    double = grouped.where("canonical_id <> _m").select(*(F.col(c).alias(f"_{c}") for c in key))
+    grouped = sized(seen.groupBy(*key).agg(F.min("canonical_id").alias("canonical_id"), (F.min("canonical_id") == F.max("canonical_id")).alias("_one")), "grouped")
+    ok = grouped.where("_one").drop("_one")
+    double = grouped.where("not _one").select(*(F.col(c).alias(f"_{c}") for c in key))
     claims = seen.join(double, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).groupBy(*key).agg(F.array_sort(F.collect_set("canonical_id")).alias("owners"), F.array_sort(F.collect_set("declared_by")).alias("declarers"))
     out = {"aliases": ok, "claims": claims, "redirected": forms.where("not _hidden and canonical_id <> declared_by").drop("_hidden", "source_config"), "shadowed": forms.where("_hidden").select("raw_value", "declared_by")}
     if existing is not None:

@@ -10,7 +10,7 @@ from ..functions import keys
 from ..functions.keys import FuzzyRules
 from ..operators import attributes, catalogue, changes, checks, enrichment, facts, graph, match, merge, minting, reconcile
 from ..sources import publish
-from ..storage import sized
+from ..storage import released, sized
 
 
 def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, fields: list[str], **options) -> DataFrame:
@@ -70,6 +70,7 @@ def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], uni
     ranked = attributed.withColumn("source_rank", F.when(source == "curated", 2).when(source == "hf", 1).otherwise(0)).withColumn("is_real", F.coalesce(source.isin("curated", "hf"), F.lit(False)))
     wanted = merges.select(F.col("id").alias("loser"), F.col("into").alias("winner"))
     remap = sized(merge.fold_collisions(ranked, never, prefer, wanted if forced is None else wanted.unionByName(forced)), "remap")
+    released(merged)
     folded = sized(merge.apply_remap(attributed, remap, unions), "kept")
     links = graph.repoint(graph.edges(attributed), remap).join(folded.select(F.col("id").alias("child")), "child", "left_semi")
     edge = F.struct(F.col("parent").alias("id"), "relationship", "axis").alias("e")
@@ -83,6 +84,7 @@ def settle_models(layers: DataFrame, org_map: DataFrame, scalars: list[str], uni
             models = models.withColumn("explicit_keys", F.array().cast("array<string>"))
         models = merge.fill_weak(models, moved, list(weak_fields))
     named = sized(models.withColumn("display_name", F.coalesce("display_name", keys.display_name(F.col("id")))), "folded")
+    released(folded)
     inherited = ("open_weights",) if "open_weights" in named.columns else ()
     return {**attributes.derive(named, org_map, orgs, inherited), "remap": remap, "attributed": attributed}
 
@@ -102,6 +104,7 @@ def build_registry(
     generated = None if orgs is None else sized(merge.replace_whole(*orgs), "orgs")
     made = settle_models(layers, org_map, scalars, unions, generated, **settings)
     models = sized(made["models"], "models")
+    released(made["attributed"])
     model_rows = models.withColumn("entity_type", F.lit("model"))
     out = {"models": models, "remap": made["remap"]}
     rows = []
@@ -118,7 +121,7 @@ def build_registry(
         ranked = {"entity_type": "string", "id": "string", "display_name": "string", "aliases": "array<string>", "org_id": "string", "resolution_source": "string", "review_status": "string", "seq": "long"}
         table = [r.select(*((F.col(c) if c in r.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ranked.items())) for r in (model_rows, *rows)]
         seeded = minting.seed_by_rank(reduce(DataFrame.unionByName, table), all_orgs, org_map, scoped)
-        out |= {"aliases": sized(seeded["aliases"], "aliases"), "claims": seeded["claims"]}
+        out |= {"aliases": seeded["aliases"], "claims": seeded["claims"]}
     if before is not None:
         kept = reduce(DataFrame.unionByName, (r.select("id") for r in (model_rows, *rows))).distinct()
         named = models.select(F.explode(F.array("org_id", "lineage_origin_model_org_id")).alias("id"))

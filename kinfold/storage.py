@@ -44,4 +44,16 @@ def sized(df: DataFrame, name: str = "step") -> DataFrame:
 def _written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_in = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete the folders of ``tables`` that ``stored`` or ``sized`` gave and that nothing reads any more, so that the disk holds only what is still needed.
+
+    Whatever was made of them must have been stored; a table that is only planned would miss them.
+    """
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from kinfold.operators import match, reconcile
+import os
+import uuid
+
+from kinfold import storage
+from kinfold.operators import graph, match, reconcile
 from kinfold.plans import queries, reconcile_queries
 
 
@@ -36,3 +40,11 @@ def test_forms_are_looked_up_as_they_are_and_by_key_only(spark):
     out = reconcile.reconcile_existing(fresh, e, e.limit(0), spark.createDataFrame([], "name string, org string"))
     assert [r["aliases"] for r in out["entries"].collect()] == [["y-1"]]
     assert "held" in str(out["entries"].inputFiles()) and _plan(out["vetoed"]).count("Join") == 0
+
+
+def test_walks_keep_their_last_round_without_ends(spark, tmp_path, monkeypatch):
+    """Ends are stored once, with the steps, and a round goes when the next is there."""
+    monkeypatch.setattr(storage, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    ends = graph.walk_up(spark.range(40).selectExpr("id", "if(id % 20 = 0, null, id - 1) as up")).collect()
+    assert sorted(map(tuple, ends)) == [(k, k - k % 20, k % 20) for k in range(40)]
+    assert sorted(spark.read.parquet(f"{tmp_path}/{f}").count() for f in os.listdir(tmp_path)) == [38, 40]
